@@ -241,5 +241,5 @@ def read_token_files(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
     # A row per file, not per document: one task orders them.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     placed = files.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"))
-    dealt = placed.repartition(max(1, files.rdd.getNumPartitions()), "path")
+    dealt = placed.repartition(max(1, files.rdd.getNumPartitions()))
     return dealt.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("doc_id", id_col)
