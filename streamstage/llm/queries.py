@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from streamstage.llm import dedup, media, packing, secret_scan, tokens
+from streamstage.llm import dedup, licenses, media, minhash, packing, quality, secret_scan, segment, tokens, warc
 from streamstage.llm.common import documents
 
 #: The tokenizer file of the token queries; its place is looked up where it is used.
 VOCABULARY = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_flac_media(spark, sf_dir):
@@ -17,10 +18,22 @@ def op2_bin_completion(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir), VOCABULARY)
 
 
+def op3_quality_ranking(spark, sf_dir):
+    return quality.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op4_warc_archives(spark, sf_dir):
+    return warc.read_archives(warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
 def op5_exact_dedup(spark, sf_dir):
     return dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op6_license_scan(spark, sf_dir):
+    return licenses.license_report(documents(spark, sf_dir))
+
+
 def op7_token_files(spark, sf_dir):
     return tokens.read_token_files(tokens.write_token_files(documents(spark, sf_dir), VOCABULARY))
 
@@ -29,9 +42,31 @@ def op8_secret_scan(spark, sf_dir):
     return secret_scan.secret_report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_flac_media, op2_bin_completion, op5_exact_dedup, op7_token_files, op8_secret_scan)}
+def op9_near_dedup(spark, sf_dir):
+    """Four-word shingles, as this query's contract says; the operator's default is five."""
+    return minhash.near_groups(documents(spark, sf_dir), k=4)
+
+
+def op10_sampled_segmentation(spark, sf_dir):
+    return segment.segmentation_report(documents(spark, sf_dir), PIECES)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_flac_media, op2_bin_completion, op3_quality_ranking, op4_warc_archives, op5_exact_dedup,
+        op6_license_scan, op7_token_files, op8_secret_scan, op9_near_dedup, op10_sampled_segmentation,
+    )
+}
 
 ORACLE_SQL = {
+    "op4_warc_archives": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+             t AS (SELECT *, strlen(h) AS n, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+        SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest,
+               CASE WHEN n >= 1000 AND top > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND top > page_id THEN top END AS refers_to
+        FROM t""",
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
                sha256(coalesce(text, '')) AS text_sha256

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,11 @@ THETA = 1.0
 BYTE = 1e-7
 SEED = 17
 #: Bytes of text that are sampled together.
-TOGETHER = 2 << 20
+TOGETHER = 4 << 20
 SPACE = "▁"
-_WORD = re.compile("[ ]*[^ ]*")
+_WORD = re.compile("[ ]*[^ ]+|[ ]+")
 #: Words longer than this are cut into parts of that many characters, sampled apart.
-LONGEST = 256
+LONGEST = 48
 
 _models: dict[str, "Lattice"] = {}
 
@@ -62,13 +63,17 @@ class Lattice:
         self.weight = (np.arange(model.get_piece_size()) + 2.0) ** -THETA
         self.weight[self.byte] = BYTE
         self.longest = max(map(len, self.piece))
-        # Hashes of all pieces by length, sorted, for lookup of all substrings of one length at once.
+        # Hashes of all pieces' prefixes by length, sorted, to look up all substrings of one length at once: (hash, id or -1).
         rng = np.random.default_rng(7)
         self.base = int(rng.integers(1 << 62) * 2 + 1)
-        self.tables = []
-        for n in range(1, self.longest + 1):
-            own = sorted((self._hash(p), i) for p, i in self.piece.items() if len(p) == n)
-            self.tables.append((np.array([h for h, _ in own], np.uint64), np.array([i for _, i in own], np.int64)))
+        found: list[dict[int, int]] = [{} for _ in range(self.longest)]
+        for piece, i in self.piece.items():
+            for n in range(1, len(piece) + 1):
+                h = self._hash(piece[:n])
+                found[n - 1][h] = i if n == len(piece) else found[n - 1].get(h, -1)
+        self.tables = [(np.array(sorted(x), np.uint64), np.array([x[h] for h in sorted(x)], np.int64)) for x in found]
+        # What a character on its own weighs: as a piece, or else as bytes.
+        self.alone = {ord(c): self.weight[i] for c, i in self.piece.items() if len(c) == 1}
 
     @classmethod
     def of(cls, path: str) -> Lattice:
@@ -82,106 +87,106 @@ class Lattice:
             h = (h * self.base + ord(c) * 0x2545F4914F6CDD1D) % (1 << 64)
         return h
 
-    def _arcs(self, chars: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, length, id) of all pieces found in ``chars``; ``left``: characters to each word's end."""
-        starts, lengths, ids = [], [], []
-        h = np.zeros(len(chars), np.uint64)
-        live = np.arange(len(chars))
-        mixed = chars.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)
-        for n in range(1, self.longest + 1):
-            live = live[left[live] >= n]
-            if not len(live):
-                break
-            h[live] = h[live] * np.uint64(self.base) + mixed[live + n - 1]
-            keys, own = self.tables[n - 1]
-            if not len(keys):
-                continue
-            at = np.minimum(np.searchsorted(keys, h[live]), len(keys) - 1)
-            hit = keys[at] == h[live]
-            starts.append(live[hit])
-            lengths.append(np.full(int(hit.sum()), n))
-            ids.append(own[at[hit]])
-        return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, lengths, ids))
+    def _alone(self, chars: np.ndarray) -> np.ndarray:
+        kinds, which = np.unique(chars, return_inverse=True)
+        return np.array([self.alone.get(c) or BYTE ** len(chr(c).encode("utf-8", "surrogatepass")) for c in kinds.tolist()])[which]
 
     def prepare(self, words: list[str]) -> tuple[np.ndarray, ...]:
-        """Forward filtering of all words side by side.
+        """Forward filtering of all words (longest first) side by side.
+
+        Returns (each word's last node, each node's place in its word, first arc of each node, ``summed``, the arcs'
+        lengths and ids, the characters). Nodes are characters; arcs are those that end at a node, id -1 is a
+        character's bytes. ``summed`` grows from a node's number to that plus one by the arcs' chances, so that one
+        search finds the arc for any node and draw.
 
-        Returns (each word's last node, first arc of each node, summed chance at each arc, its length, its id): arcs are
-        those that end at a node, and ``summed`` grows from node number to node number plus one, so that one search
-        finds the arc for any node and draw. Nodes are characters; an arc of id -1 stands for a character's bytes.
+        Weights are taken relative to those of the characters alone. This multiplies all segmentations of a word by
+        the same number, and keeps sums within floating point without logarithms.
         """
         sizes = np.array([len(w) for w in words], np.int64)
-        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         first = np.cumsum(sizes) - sizes
         place = np.arange(len(chars)) - np.repeat(first, sizes)
-        start, length, ids = self._arcs(chars, np.repeat(sizes, sizes) - place)
-        width = 1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000)
-        start = np.concatenate([start, np.arange(len(chars))])
-        length = np.concatenate([length, np.ones(len(chars), np.int64)])
-        weight = np.concatenate([self.weight[ids], BYTE ** width.astype(np.float64)])
-        ids = np.concatenate([ids, np.full(len(chars), -1)])
-        end = start + length - 1
-        order = np.lexsort((ids, length, place[end]))  # by the place of their end, so that what an arc needs is done
-        start, length, weight, ids, end = (x[order] for x in (start, length, weight, ids, end))
-        alpha, scale = np.zeros(len(chars)), np.zeros(len(chars))  # chance at a node: alpha * exp(scale)
-        mass = np.zeros(len(start))
-        edges = np.searchsorted(place[end], np.arange(int(sizes.max(initial=0)) + 1))
+        left = np.repeat(sizes, sizes) - place
+        alone = self._alone(chars)
+        most = min(self.longest, int(sizes.max(initial=1)))
+        weight, ids = np.zeros((most + 1, len(chars))), np.full((most + 1, len(chars)), -1, np.int32)  # by length and last character
+        weight[1] = 1.0  # a character that is a piece, or its bytes
+        hashes, product = np.zeros(len(chars), np.uint64), np.ones(len(chars))
+        mixed = chars.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)
+        live = np.arange(len(chars))
+        for n in range(1, most + 1):
+            live = live[left[live] >= n]
+            h = hashes[live] * np.uint64(self.base) + mixed[live + n - 1]
+            keys, own = self.tables[n - 1]
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            hit = keys[at] == h
+            live, h, at = live[hit], h[hit], at[hit]
+            hashes[live] = h
+            product[live] *= alone[live + n - 1]
+            whole = own[at] >= 0
+            start, i = live[whole], own[at[whole]]
+            ids[n, start + n - 1] = i
+            weight[n, start + n - 1] = self.weight[i] / product[start]
+        alpha = np.zeros(len(chars))
         for p in range(int(sizes.max(initial=0))):
-            own = slice(int(edges[p]), int(edges[p + 1]))
-            s, e, w = start[own], end[own], weight[own]
-            inner = place[s] > 0
-            before = np.maximum(s - 1, 0)
-            log = np.where(inner, np.log(np.maximum(alpha[before], 1e-300)) + scale[before], 0.0) + np.log(w)
-            top = np.full(len(chars), -np.inf) if p == 0 else top_all
-            top_all = top
-            np.maximum.at(top, e, log)
-            mass[own] = np.exp(log - top[e])
-            np.add.at(alpha, e, mass[own])
-            scale[e] = top[e]
-        order = np.lexsort((ids, length, end))
-        length, ids, end, mass = length[order], ids[order], end[order], mass[order]
+            nodes = first[: np.searchsorted(-sizes, -p, "left")] + p
+            total = np.zeros(len(nodes))
+            for n in range(1, min(p + 1, most) + 1):
+                w = weight[n, nodes]
+                if n <= p:
+                    w = w * alpha[nodes - n]
+                weight[n, nodes] = w
+                total += w
+            alpha[nodes] = total
+        mass = np.ascontiguousarray(weight[1:].T)
+        end, length = np.nonzero(mass)
+        mass, length = mass[end, length], length + 1
         arc = np.searchsorted(end, np.arange(len(chars) + 1))
-        total = np.cumsum(mass)
-        begin = np.concatenate([[0.0], total])[arc[:-1]]
-        share = (total - begin[end]) / alpha[end]
-        summed = np.minimum(share, 1.0)
-        summed[arc[1:] - 1] = 1.0
-        return first + sizes - 1, place, arc, summed + end, length, ids, chars
+        share = np.cumsum(mass / alpha[end])
+        share -= np.concatenate([[0.0], share])[arc[end]]
+        share[arc[1:] - 1] = 1.0
+        return first + sizes - 1, place, arc, np.minimum(share, 1.0) + end, length, ids[length, end].astype(np.int64), chars
 
     def sample(self, text_list: list[str], keys: list[int], seed: int = SEED) -> list[np.ndarray]:
         """A sampled segmentation (ids) of each text, by its key and the seed alone."""
-        split = [[p for w in _WORD.findall(t) if w for p in ([w] if len(w) <= LONGEST else [w[i : i + LONGEST] for i in range(0, len(w), LONGEST)])] for t in text_list]
-        number: dict[str, int] = {}
-        for parts in split:
-            for w in parts:
-                if w not in number:
-                    number[w] = len(number)
-        if not number:
+        split = []
+        for text in text_list:
+            parts = _WORD.findall(text)
+            if parts and max(map(len, parts)) > LONGEST:
+                parts = [w[i : i + LONGEST] for w in parts for i in range(0, len(w), LONGEST)]
+            split.append(parts)
+        ordered = sorted(set().union(*split), key=len, reverse=True)
+        if not ordered:
             return [np.zeros(0, np.int64) for _ in text_list]
-        last, place, arc, summed, length, ids, chars = self.prepare(list(number))
+        number = {w: i for i, w in enumerate(ordered)}
+        last, place, arc, summed, length, ids, chars = self.prepare(ordered)
         counts = np.array([len(x) for x in split], np.int64)
-        word = np.fromiter((number[w] for parts in split for w in parts), np.int64, int(counts.sum()))
+        word = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         doc = np.repeat(np.arange(len(split)), counts)
         nth = np.arange(len(word)) - np.repeat(np.cumsum(counts) - counts, counts)
         key = (np.array([k & (1 << 64) - 1 for k in keys], np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed))[doc]
         key = (key ^ key >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93) + nth.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
-        live, node = np.arange(len(word)), last[word]
-        got_word, got_turn, got_id, got_char = [], [], [], []
+        live = np.argsort(word, kind="stable")  # equal words side by side look up the same places
+        node = last[word[live]]
+        taken = np.zeros(len(word), np.int64)
+        got = []
         turn = 0
         while len(live):
             draw = _uniform(key[live], np.full(len(live), turn))
             at = np.clip(np.searchsorted(summed, node + draw, "right"), arc[node], arc[node + 1] - 1)
-            got_word.append(live)
-            got_turn.append(np.full(len(live), turn))
-            got_id.append(ids[at])
-            got_char.append(chars[node])
+            got.append((live, ids[at], chars[node]))
+            taken[live] += 1
             more = place[node] >= length[at]
             node = (node - length[at])[more]
             live = live[more]
             turn += 1
-        got_word, got_turn, got_id, got_char = (np.concatenate(x) for x in (got_word, got_turn, got_id, got_char))
-        order = np.lexsort((-got_turn, got_word))  # words in order, each from front to back
-        got_word, got_id, got_char = got_word[order], got_id[order], got_char[order]
+        # The pieces came from back to front.
+        ends = np.cumsum(taken)
+        got_word = np.repeat(np.arange(len(word)), taken)
+        got_id, got_char = np.empty(len(got_word), np.int64), np.empty(len(got_word), np.int64)
+        for turn, (who, i, c) in enumerate(got):
+            at = ends[who] - 1 - turn
+            got_id[at], got_char[at] = i, c
         if (got_id < 0).any():  # characters as bytes
             raw = [self.byte[np.frombuffer(chr(c).encode("utf-8", "surrogatepass"), np.uint8)] for c in got_char[got_id < 0].tolist()]
             wide = np.ones(len(got_id), np.int64)
