@@ -15,10 +15,11 @@ def components(edges: DataFrame) -> DataFrame:
     after some rounds (logarithmic in practice) each edge leads from a node straight to its component.
     """
     now = cut(_large_star(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
-    while True:
-        then = now
-        now = cut(_large_star(_small_star(then)))
-        if _mark(now) == _mark(then):
+    mark = _mark(now)
+    while mark[0]:
+        now = cut(_large_star(_small_star(now)))
+        before, mark = mark, _mark(now)
+        if mark == before:
             break
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamstage.llm.common import chunks, cut, schema_of, texts
+from streamstage.llm.common import chunks, cut, fresh, schema_of, texts
 from streamstage.llm.graph import components
 
 #: Bands of so many registers. A pair at similarity 0.8 shares no band with probability (1 - 0.8^5)^36 < 1e-6.
@@ -20,8 +20,8 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, LAST = 1.001, 20.0, (1 << 16) - 2
 #: Standard deviations below the threshold at which an estimate still sends a pair to verification.
 MARGIN = 6.0
-#: Rounds in which each bucket's rows meet one leader, before what is left is compared pair by pair.
-ROUNDS = 3
+#: A bucket's members are compared with each other in blocks of at most so many members and so many shingles.
+BLOCK_NODES, BLOCK_SHINGLES = 512, 1 << 21
 SALTS = 64
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -181,63 +181,139 @@ def _bodies(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return docs.join(nodes, "node", "left_semi").mapInArrow(compute, "node long, body binary")
 
 
+def _compared(group: list[tuple], k: int, least: int) -> list[tuple[int, int]]:
+    """Links among one block pair's rows (key, band, one, two, node, component, n, registers, body) between components.
+
+    A pair is looked at in the first band that it shares only. Once a link joins two components, their other pairs are
+    skipped: one link is enough.
+    """
+    band, first, second = group[0][1], group[0][2], group[0][3]
+    nodes, root = [r[5] for r in group], {r[6]: r[6] for r in group}
+    side = np.array([r[4] for r in group])
+    comp = np.array([r[6] for r in group])
+    n = np.array([r[7] for r in group], np.float64)
+    registers = np.frombuffer(b"".join(r[8] for r in group), np.uint16).reshape(-1, REGISTERS)
+    rows = np.flatnonzero(side == first)
+    columns = rows if first == second else np.flatnonzero(side == second)
+    floor = least / 100 - MARGIN * (0.2 * 0.8 / REGISTERS) ** 0.5
+
+    def up(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    sets: dict[int, np.ndarray] = {}
+
+    def shingles(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingle_set(zlib.decompress(group[i][9]).split(), k)
+        return sets[i]
+
+    out = []
+    turned = np.ascontiguousarray(registers[columns].T)
+    for i in rows.tolist():
+        equal = (turned == registers[i][:, None]).astype(np.uint8)
+        close = (equal.sum(axis=0, dtype=np.int64) >= floor * REGISTERS) & (comp[columns] != comp[i])
+        close &= 100 * np.minimum(n[columns], n[i]) >= least * np.maximum(n[columns], n[i])
+        if first == second:
+            close &= columns > i
+        at = np.flatnonzero(close)
+        if not len(at):
+            continue
+        whole = equal[:, at].reshape(BANDS, ROWS, -1).all(axis=1)
+        at = at[whole.argmax(axis=0) == band]
+        if not len(at):
+            continue
+        other = columns[at]
+        near = estimate(np.broadcast_to(registers[i], (len(at), REGISTERS)), registers[other], np.full(len(at), n[i]), n[other])
+        for j in other[near >= floor].tolist():
+            x, y = up(group[i][6]), up(group[j][6])
+            if x == y:
+                continue
+            s, t = shingles(i), shingles(j)
+            both = len(np.intersect1d(s, t, assume_unique=True))
+            if 100 * both >= least * (len(s) + len(t) - both):
+                root[max(x, y)] = min(x, y)
+                out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+    return out
+
+
+def _rest(shared: DataFrame, comps: DataFrame, held: DataFrame, k: int, least: int) -> DataFrame:
+    """Links (a, b) between nodes of different components that share a bucket: each such pair is looked at.
+
+    Buckets with members of one component only are done with, and of buckets with the same members one is enough (that
+    of the lowest band). Members are dealt into blocks; a task compares two blocks at a time and gives links only, so
+    that neither memory nor rows grow with the square of a bucket.
+    """
+    sizes = held.select("node", "n")
+    placed = cut(shared.join(comps, "node").join(sizes, "node"))
+    buckets = placed.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"), F.min("band").alias("band"), F.bit_xor(F.xxhash64("node")).alias("who")
+    )
+    buckets = buckets.where("low < high").groupBy("who", "members").agg(F.min_by(F.struct("key", "shingles"), "band").alias("b"))
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK_NODES), F.ceil(F.col("b.shingles") / BLOCK_SHINGLES)).cast("int")
+    left = placed.join(cut(buckets.select("b.key", blocks.alias("blocks"))), "key")
+    own = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")
+    left = left.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = left.select("key", "band", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two"), "own", "node", "component")
+    full = left.join(held, "node").select("key", "band", "one", "two", "own", "node", "component", "n", "registers", "body")
+    dealt = full.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "node")
+
+    def compute(batches):
+        group: list[tuple] = []
+        for batch in batches:
+            found = []
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if group and (group[0][0], *group[0][2:4]) != (row[0], *row[2:4]):
+                    found += _compared(group, k, least) if len(group) > 1 else []
+                    group = []
+                group.append(row)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+        if len(group) > 1 and (found := _compared(group, k, least)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+
+    return dealt.mapInArrow(compute, "a long, b long").distinct()
+
+
+def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after the links (a, b) of nodes."""
+    side = lambda x, c: comps.select(F.col("node").alias(x), F.col("component").alias(c))
+    moved = components(links.join(side("a", "c"), "a").join(side("b", "d"), "b").select(F.col("c").alias("a"), F.col("d").alias("b")))
+    after = comps.join(moved.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    return cut(after.select("node", F.coalesce("to", "component").alias("component")))
+
+
 def near_groups(docs: DataFrame, k: int = 5, least: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, n_shingles, component_id, kept.
 
     Two documents are linked if 100 * |intersection| >= ``least`` * |union| of their sets of ``k``-word shingles;
     component_id is the smallest id that links lead to. Rows with one set count as one node. Nodes that share a band of
-    registers are candidates. In a few rounds each bucket's nodes meet one leader of it, which joins large groups by few
-    comparisons; nodes of a bucket that then still are in different components are compared pair by pair, so that no
-    candidate pair goes untested unless it is already joined. Sketches rule out what can't be similar; what is left is
-    verified on whole sets.
+    registers are candidates. First each node meets two leaders of its buckets, which joins large groups by few
+    comparisons; then all candidate pairs that still are in different components are compared, in blocks. Sketches rule
+    out what can't be similar; what is left is verified on whole sets.
 
     Null texts count as empty; empty sets have no links. A row without an id stays alone: its component_id is null and
     it is kept. Rows that repeat an id count as one document, and are all kept if it is.
     """
-    spark = docs.sparkSession
     plain = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = cut(_sketches(plain, k))
     alike = cut(_representatives(rows.where("n > 0 AND node IS NOT NULL")))
     known = rows.where("n > 0").join(alike.where("node = rep").select("node", "digest").distinct(), ["node", "digest"], "left_semi").select("node", "n", "keys", "registers")
-    banded = known.select("node", F.explode("keys").alias("key"))
+    banded = known.select("node", F.posexplode("keys").alias("band", "key"))
     # The leaders' table is written first, so that both sides of the join are dealt anew and a hot bucket can be split.
-    crowded = cut(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
-    shared = cut(banded.join(crowded, "key").distinct())
-    nodes = shared.select("node").distinct()
-    few = cut(known.join(nodes, "node", "left_semi").select("node", "n", "registers"))
-    bodies = cut(_bodies(plain, nodes))
+    leaders = cut(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.struct(F.xxhash64("node"), "node")).alias("lead")).where("n > 1").select("key", "lead"))
+    shared = cut(banded.join(leaders, "key").select("key", "band", "node", "lead").distinct())
+    nodes = cut(shared.select("node").distinct())
+    held = cut(known.join(nodes, "node", "left_semi").select("node", "n", "registers").join(_bodies(plain, nodes), "node"))
     comps = nodes.select("node", F.col("node").alias("component"))
-    links = spark.createDataFrame([], "a long, b long")
-
-    def joined(comps: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(components, links) after the pairs (a, b) have been tested."""
-        found = cut(_verified(_likely(pairs, few, least), bodies, k, least))
-        if found.isEmpty():
-            return comps, found
-        named = found.join(comps.select(F.col("node").alias("a"), F.col("component").alias("c")), "a").join(comps.select(F.col("node").alias("b"), F.col("component").alias("d")), "b")
-        moved = components(named.select(F.col("c").alias("a"), F.col("d").alias("b")))
-        after = comps.join(moved.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
-        return cut(after.select("node", F.coalesce("to", "component").alias("component"))), found
-
-    for turn in range(ROUNDS):
-        placed = cut(shared.join(comps, "node"))
-        leaders = placed.groupBy("key").agg(F.min_by(F.struct("node", "component"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("lead"), F.min("component").alias("low"), F.max("component").alias("high"))
-        leaders = cut(leaders.where("low < high").select("key", "lead"))
-        if leaders.isEmpty():
-            break
-        pairs = placed.join(leaders, "key").where("component <> lead.component")
-        if turn == 0:  # one leader for each node first: most of a large group is joined by that
-            pairs = pairs.groupBy("node").agg(F.min("lead.node").alias("to"))
-        else:
-            pairs = pairs.select("node", F.col("lead.node").alias("to")).distinct()
-        comps, links = joined(comps, pairs.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct())
-    placed = cut(shared.join(comps, "node"))
-    mixed = cut(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"))
-    if not mixed.isEmpty():
-        left = cut(placed.join(mixed, "key"))
-        other = left.select("key", F.col("node").alias("b"), F.col("component").alias("d"))
-        pairs = left.join(other, "key").where("node < b AND component <> d").select(F.col("node").alias("a"), "b").distinct()
-        comps, links = joined(comps, pairs)
+    met = shared.where("node <> lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("bands")).groupBy("node").agg(
+        F.max_by("lead", F.struct("bands", "lead")).alias("often"), F.min_by("lead", F.struct(F.xxhash64("lead"), "lead")).alias("first")
+    )
+    pairs = met.select("node", F.explode(F.array("often", "first")).alias("to")).select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
+    comps = _joined(comps, cut(_verified(_likely(pairs, held, least), held, k, least)))
+    comps = _joined(comps, cut(_rest(shared.drop("lead"), comps, held, k, least)))
     reps = alike.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
     reps = reps.groupBy("node").agg(F.min("component").alias("component_id"))
     out = rows.select("node", F.col("n").alias("n_shingles")).join(reps, "node", "left")
@@ -247,5 +323,6 @@ def near_groups(docs: DataFrame, k: int = 5, least: int = 80, id_col: str = "doc
 
 def near_dedup(docs: DataFrame, k: int = 5, least: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group, the one with the smallest id; all columns as they were."""
-    gone = near_groups(docs, k, least, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    who = fresh(docs, "__gone")
+    gone = near_groups(docs, k, least, id_col, text_col).where("NOT kept").select(F.col(id_col).alias(who)).distinct()
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col(who)), "left_anti")
