@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streamstage.llm.common import cut, text_of
+from streamstage.llm.common import cut, fresh, text_of
 
 #: Sub-groups into which the copies of one text are dealt. A group with a third of all rows puts 1/192 of them in one.
 SALTS = 64
@@ -45,6 +45,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` of which the text has no copy with a larger id; all columns stay."""
-    gone = exact_groups(docs, id_col, text_col, **how).where("NOT kept").select(F.col(id_col).alias("__gone"))
-    return docs.join(gone.distinct(), F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    """One row of ``docs`` for each text, that with the largest id; all columns stay. Of rows that repeat id and text, any one."""
+    groups = exact_groups(docs, id_col, text_col, **how)
+    who, what, text = (fresh(docs, x) for x in ("__gone", "__digest", "__text"))
+    gone = groups.where("NOT kept").select(F.col(id_col).alias(who), F.col("text_sha256").alias(what))
+    repeated = groups.where("kept").groupBy(id_col, "text_sha256").count().where("count > 1")
+    same = F.col(id_col).eqNullSafe(F.col(who)) & (F.sha2(text_of(text_col), 256) == F.col(what))
+    out = docs.join(gone.distinct(), same, "left_anti")
+    if repeated.isEmpty():
+        return out
+    return out.withColumn(text, text_of(text_col)).dropDuplicates([id_col, text]).select(*docs.columns)

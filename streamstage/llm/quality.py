@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streamstage.llm.common import chunks, cut, schema_of, texts
+from streamstage.llm.common import chunks, cut, fresh, schema_of, texts
 
 #: Labelled rows that a model is fitted on, at most: those with the lowest hash of their id.
 SAMPLE = 20_000
@@ -163,5 +163,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that count as good, all columns as they were. Rows with one id share one text's fate only if
     all of them are good."""
-    bad = quality_scores(docs, labels, id_col, text_col).where("predicted = 0").select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")
+    who = fresh(docs, "__bad")
+    bad = quality_scores(docs, labels, id_col, text_col).where("predicted = 0").select(F.col(id_col).alias(who)).distinct()
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col(who)), "left_anti")

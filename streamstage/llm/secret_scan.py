@@ -90,22 +90,22 @@ def _linked(parts: str) -> str:
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__base`` and ``__spans``: arrays of (start, rank, end, kind, part), sorted by start, then rank.
+    """(row, base, spans, n_assign, n_access, n_hex): the rows of ``docs`` as structs, which no name can clash with, and
+    arrays of (start, rank, end, kind, part), sorted by start, then rank.
 
-    Positions are code points, the end is exclusive. ``__base`` has the certain kinds; ``__spans`` adds weak secrets,
+    Positions are code points, the end is exclusive. ``base`` has the certain kinds; ``spans`` adds weak secrets,
     identifiers and endpoints, each only when within NEAR code points, in the same scope (no blank line between), a
     part stands that completes it: a secret needs an identifier or an endpoint, these need a secret. Certain finds
-    count as parts too. Null texts count as empty; every row gives one row; all other columns stay.
+    count as parts too. Null texts count as empty; every row gives one row.
     """
-    text = "__scan_text"
     # The distinct steps keep Spark from evaluating a pattern once for each use.
-    out = docs.withColumn(text, text_of(text_col))
-    out = out.withColumns({f"__s_{k}": _spans(text, k) for k in BASE} | {"__s_weak": _weak(text)})
-    out = out.withColumn("__base", F.array_sort(F.concat(*[F.col(f"__s_{k}") for k in BASE])))
-    out = out.withColumn("__parts", F.when(F.size("__s_weak") > 0, F.array_sort(F.concat("__base", "__s_weak"))).otherwise(F.expr(f"cast(array() as {_MATCH})")))
-    out = out.withColumn("__more", F.expr(f"if(size(__parts) > 0, {_linked('__parts')}, __parts)"))
-    out = out.withColumn("__spans", F.when(F.size("__more") > 0, F.array_sort(F.concat("__base", "__more"))).otherwise(F.col("__base")))
-    return out.withColumns({f"__n_{k}": F.size(f"__s_{k}").cast("long") for k in BASE}).drop(text, "__parts", "__more", "__s_weak", *[f"__s_{k}" for k in BASE])
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_of(text_col).alias("text"))
+    out = out.select("row", *[_spans("text", k).alias(k) for k in BASE], _weak("text").alias("loose"))
+    out = out.withColumn("base", F.array_sort(F.concat(*BASE)))
+    out = out.withColumn("parts", F.when(F.size("loose") > 0, F.array_sort(F.concat("base", "loose"))).otherwise(F.expr(f"cast(array() as {_MATCH})")))
+    out = out.withColumn("more", F.expr(f"if(size(parts) > 0, {_linked('parts')}, parts)"))
+    out = out.withColumn("spans", F.when(F.size("more") > 0, F.array_sort(F.concat("base", "more"))).otherwise(F.col("base")))
+    return out.select("row", "base", "spans", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE])
 
 
 def spans_string(column: str) -> Column:
@@ -114,20 +114,18 @@ def spans_string(column: str) -> Column:
 
 def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: its id, how many certain finds of each kind, their digest, and all spans as a string."""
-    found = scan(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")), "__t")
-    return found.select(F.col("__id").alias(id_col), *[F.col(f"__n_{k}").alias(f"n_{k}") for k in BASE], F.sha2(spans_string("__base"), 256).alias("base_sha256"), spans_string("__spans").alias("spans"))
+    found = scan(docs.select(id_col, text_col), text_col)
+    return found.select(F.col(f"row.{id_col}").alias(id_col), *[f"n_{k}" for k in BASE], F.sha2(spans_string("base"), 256).alias("base_sha256"), spans_string("spans").alias("spans"))
 
 
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with each found span (overlapping ones as one) replaced by ``mask``; rows without finds stay as they are."""
-    found = scan(docs, text_col)
-    merged = F.expr(f"""aggregate(__spans, cast(array() as array<struct<a:long,b:long>>),
+    merged = F.expr("""aggregate(spans, cast(array() as array<struct<a:long,b:long>>),
         (m, s) -> if(size(m) > 0 and element_at(m, -1).b >= s.start,
             array_append(slice(m, 1, size(m) - 1), named_struct('a', element_at(m, -1).a, 'b', greatest(element_at(m, -1).b, s.end))),
             array_append(m, named_struct('a', s.start, 'b', s.end))))""")
-    ends = F.expr("concat(array(0L), transform(__cut, c -> c.b))")
-    starts = F.expr(f"concat(transform(__cut, c -> c.a), array(cast(length({text_col}) as long)))")
-    pieces = f"array_join(zip_with(__ends, __starts, (e, s) -> substring({text_col}, cast(e + 1 as int), cast(s - e as int))), '{mask}')"
-    out = found.withColumn("__cut", merged).withColumn("__ends", ends).withColumn("__starts", starts)
-    out = out.withColumn(text_col, F.expr(f"if(size(__cut) > 0, {pieces}, {text_col})"))
-    return out.select(*docs.columns)
+    found = scan(docs, text_col).select("row", F.col(f"row.{text_col}").alias("text"), merged.alias("gone"))
+    found = found.withColumns({"ends": F.expr("concat(array(0L), transform(gone, c -> c.b))"), "starts": F.expr("concat(transform(gone, c -> c.a), array(cast(length(text) as long)))")})
+    left = F.expr("zip_with(ends, starts, (e, s) -> substring(text, cast(e + 1 as int), cast(s - e as int)))")
+    clean = F.when(F.size("gone") > 0, F.array_join(left, mask)).otherwise(F.col("text"))
+    return found.select(*[clean.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
