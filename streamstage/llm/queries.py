@@ -59,6 +59,8 @@ QUERIES = {
     )
 }
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
 ORACLE_SQL = {
     "op4_warc_archives": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
@@ -71,4 +73,11 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op9_near_dedup": f"""
+        WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, chr(10))] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], chr(10))) END) AS s FROM words),
+        one AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+        link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM one a JOIN one b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        reach AS (SELECT doc_id AS a, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM reach r JOIN link l ON r.a = l.a)
+        SELECT s.doc_id, len(s) AS n_shingles, min(root) AS component_id, s.doc_id = min(root) AS kept FROM sets s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, s.s""",
 }
