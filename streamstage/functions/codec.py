@@ -18,7 +18,7 @@ def _decoded(payload: str, f: Field) -> Column:
     at = f"try_variant_get({payload}, '$.{f.name}')"
     kind = f"schema_of_variant({at})"
     as_double = f"try_variant_get({payload}, '$.{f.name}', 'double')"
-    whole = f"({kind} = 'BIGINT' or {kind} rlike '^DECIMAL[(][0-9]+,0[)]$')"
+    whole = f"({kind} = 'BIGINT' or {kind} rlike '^DECIMAL[(](19|[23][0-9]),0[)]$')"  # shorter decimals come from text such as 2.0
     number = f"({kind} = 'BIGINT' or {kind} = 'DOUBLE' or {kind} like 'DECIMAL%')"
     integer = f"try_variant_get({payload}, '$.{f.name}', 'decimal(38,0)')"
     wrap = lambda bits: f"pmod({integer}, {1 << bits}BD)"

@@ -87,9 +87,9 @@ def test_old_file(tmp_path):
 
 def test_decode_rules(spark):
     record = types.Record.of("r", {"f": "f64", "u": "u64", "w": "u32", "i": "s32", "s": "string", "b": "bool", "o": "string?"})
-    texts = ['{"f": 2, "u": 18446744073709551615, "w": 4294967297, "i": 2147483648, "s": "x", "b": true, "o": 5}', '{"f": "x", "u": -3, "w": 3.5, "i": null, "s": 5}', "5", "[1]", '{"o": null}', "{bad", "", None]
+    texts = ['{"f": 2, "u": 18446744073709551615, "w": 4294967297, "i": 2147483648, "s": "x", "b": true, "o": 5}', '{"f": "x", "u": -3, "w": 3.5, "i": null, "s": 5}', '{"u": 2.0, "i": 7.0}', "5", "[1]", '{"o": null}', "{bad", "", None]
     rows = codec.decode(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, payload string"), record, keep=()).collect()
-    assert [tuple(r) for r in rows] == [(2.0, 18446744073709551615, 1, -2147483648, "x", True, "")] + [(0.0, 0, 0, 0, "", False, None)] * 4
+    assert [tuple(r) for r in rows] == [(2.0, 18446744073709551615, 1, -2147483648, "x", True, "")] + [(0.0, 0, 0, 0, "", False, None)] * 5
 
 
 def test_encode_leaves_out(spark):
