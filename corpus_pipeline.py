@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamstage.llm import dedup, minhash, packing, quality, secret_scan
-from streamstage.llm.common import new_folder
+from streamstage.llm.common import drop_folder, new_folder
 from streamstage.llm.queries import VOCABULARY
 
 
@@ -50,10 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages, each written and read again; a stage's table goes once the next one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         out = new_folder(spark, f"pipeline-{k}")
         stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+        if before:
+            drop_folder(spark, before)
+        docs, before = spark.read.parquet(out), out
     return docs

@@ -39,6 +39,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_folder(spark: SparkSession, uri: str) -> None:
+    """Delete a folder that ``new_folder`` named."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def filesystem(uri: str):
     """(pyarrow filesystem, path on it) of a URI or an absolute path."""
     from pyarrow import fs
