@@ -297,3 +297,26 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["clean", "--log-dir", str(tmp_path / "logs")]) == 0 and not (tmp_path / "logs").exists()
     (tmp_path / "p.yaml").write_text("stages: []")
     assert cli.main(["validate", "--config", str(tmp_path / "p.yaml")]) == 1
+
+
+def test_sinks_and_resources(spark, tmp_path):
+    from streamstage.operators import resources, telemetry
+    from streamstage.plans import fixtures
+    from streamstage.sources import sinks
+
+    log = fixtures.hop_log(spark, "/root/testdata/sf0.001")
+    sinks.write_summary(telemetry.run_summary(log), str(tmp_path / "run"), "log.jsonl")
+    row = spark.read.json(str(tmp_path / "run")).first()
+    assert row["_jsonl_path"] == "log.jsonl" and row["latency_ms"]["count"] == 1000 and len(row["per_stage"]) == 3
+    lines = spark.createDataFrame([(1.5, "info", "worker/a", "worker booted", {"ms": "3", "msg": "no"})], "ts double, level string, component string, msg string, fields map<string,string>")
+    for _ in range(2):
+        sinks.append_log(lines, str(tmp_path / "log"))
+    back = files.read_log(spark, str(tmp_path / "log")).collect()
+    assert len(back) == 2 and back[0].asDict() == {"ts": 1.5, "level": "info", "component": "worker/a", "msg": "worker booted", "fields": {"ms": "3"}}
+    sinks.write_csv(lines.select("ts", "msg"), str(tmp_path / "csv"))
+    assert files.read_csv(spark, str(tmp_path / "csv"), "ts double, msg string").first().msg == "worker booted"
+    used = resources.sample(spark, 2, 0.05)
+    assert used.count() == 2 and all(r.rss_mb > 1 for r in used.collect()) and resources.sample(spark, 2, 0).count() == 0
+    assert [x.line.split()[0] for x in sinks.run_card(log, used).collect()] == ["events", "sustained", "latency", "peaks"]
+    assert resources.environment(spark).first().spark == spark.version
+    assert resources.cpu_list("0-3, 5,x,7-") == [0, 1, 2, 3, 5]
