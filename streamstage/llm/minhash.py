@@ -23,6 +23,8 @@ MARGIN = 6.0
 #: A bucket's members are compared with each other in blocks of at most so many members and so many shingles.
 BLOCK_NODES, BLOCK_SHINGLES = 512, 1 << 21
 SALTS = 64
+#: Bits of the filter that keeps texts out of a shuffle.
+FILTER_BITS = 1 << 26
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _rng = np.random.default_rng(20240607)
@@ -171,14 +173,30 @@ def _verified(pairs: DataFrame, bodies: DataFrame, k: int, least: int) -> DataFr
     return rows.mapInArrow(compute, "a long, b long")
 
 
+def _marked(nodes: DataFrame) -> np.ndarray:
+    """A bit for the hash of each node, of FILTER_BITS: as large for any input. The more nodes, the more others pass."""
+    at = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
+    rows = nodes.groupBy((F.shiftright(at, 15)).alias("part")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit((1 << 15) - 1))).alias("bits")).collect()
+    out = np.zeros((FILTER_BITS >> 15, 1 << 12), np.uint8)
+    for r in rows:
+        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
+
+
 def _bodies(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, body) of the nodes: words in normal form, compressed."""
+    """(node, body) of the nodes: words in normal form, compressed. A filter of fixed size keeps most other texts from
+    being shuffled; the join is exact."""
+    marks = docs.sparkSession.sparkContext.broadcast(_marked(nodes))
 
     def compute(batches):
-        for batch in chunks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress(b" ".join(normal_words(x)), 1) for x in texts(batch, "text")], pa.binary())], names=["node", "body"])
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            hit = batch.filter(pa.array((marks.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            for part in chunks([hit], "text"):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([zlib.compress(b" ".join(normal_words(x)), 1) for x in texts(part, "text")], pa.binary())], names=["node", "body"])
 
-    return docs.join(nodes, "node", "left_semi").mapInArrow(compute, "node long, body binary")
+    some = docs.where("node IS NOT NULL").select("node", "text", F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS)).alias("at"))
+    return some.mapInArrow(compute, "node long, body binary").join(nodes, "node", "left_semi")
 
 
 def _compared(group: list[tuple], k: int, least: int) -> list[tuple[int, int]]:
