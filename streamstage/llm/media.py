@@ -237,7 +237,7 @@ def _index(stream: bytes) -> tuple[int, bytes, list[tuple[int, int, int, int]]]:
 
 def _head(frame: bytes) -> tuple[int, int, int]:
     """(block size, frame number, header bytes) of a frame, its CRC-8 verified."""
-    if frame[0] != 0xFF or frame[1] != 0xF8:
+    if len(frame) < 9 or frame[0] != 0xFF or frame[1] != 0xF8:
         raise Damaged("no frame where the seek table says")
     more = 0
     while more < 7 and frame[4] << more & 0x80:
@@ -299,7 +299,7 @@ def _decode(frames: list[bytes], skip: list[int], n: int) -> np.ndarray:
         y[most + i, has] = signed(bits(at[has], 8), 8)
         at = at + 8 * has
     coefs, shift = np.zeros((most, len(own)), np.int64), np.zeros(len(own), np.int64)
-    for o in range(1, 5):
+    for o in range(1, min(most, 4) + 1):
         coefs[:o, ~lpc & (order == o)] = np.array(FIXED[o])[:, None]
     width = np.where(lpc, bits(at, 4) + 1, 0)
     shift[lpc] = signed(bits(at[lpc] + 4, 5), 5)
