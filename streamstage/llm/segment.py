@@ -25,7 +25,7 @@ THETA = 1.0
 BYTE = 1e-7
 SEED = 17
 #: Bytes of text that are sampled together.
-TOGETHER = 4 << 20
+TOGETHER = 3 << 20
 SPACE = "▁"
 _WORD = re.compile("[ ]*[^ ]+|[ ]+")
 #: Words longer than this are cut into parts of that many characters, sampled apart.
