@@ -14,77 +14,178 @@ from streamstage.llm.common import chunks, cut, schema_of, texts
 from streamstage.llm.tokens import Encoder, vocabulary
 
 CAPACITY = 2048
-#: Fillings looked at around one largest piece before the best one so far is taken.
-FILLINGS = 4000
+#: Lengths tried in one place, and fillings looked at around one largest piece, by the quick search for a filling.
+WIDE, FILLINGS = 6, 4000
+#: Fillings the search over several bins tries before the fewest bins found so far are taken.
+TRIES = 20_000
 #: Sub-groups among which the pieces of one length are numbered apart.
 SALTS = 64
 
 
-def fillings(lengths: list[int], counts: dict[int, int], first: int, room: int, most: int = FILLINGS):
-    """Undominated fillings of ``room`` around a piece of ``first``: lists of lengths, fullest ones early.
+def fillings(counts: dict[int, int], first: int, capacity: int, waste: int):
+    """All undominated fillings around a piece of ``first`` that leave ``waste`` at most: lists of lengths, fullest first.
 
-    Depth first, largest piece that fits first. A filling to which a further piece could be added is dominated by the
-    one with it, and so is never listed; a branch that can't fill more than the incumbent wastes is cut.
+    A filling to which a further piece could be added is dominated by the one with it. So with a gap left, all pieces
+    that would fit into the gap are in the filling, and the others are larger than it. Which sums these reach is known
+    exactly (a bit for each sum, for each number of lengths), so no branch is entered that leads to no filling.
     """
-    best, seen = -1, 0
-    left = dict(counts)
-    left[first] -= 1
-    chosen: list[int] = []
+    left = {x: n for x, n in sorted(counts.items()) if n and x <= capacity - first}
+    if first in left:
+        left[first] -= 1
+    room = capacity - first
+    known = None
+    for gap in range(min(room, waste) + 1):
+        if (rest := room - gap - sum(x * n for x, n in left.items() if x <= gap)) < 0:
+            break
+        forced = [x for x, n in left.items() if x <= gap for _ in range(n)]
+        if known != len(forced):
+            known = len(forced)
+            lengths = [x for x, n in left.items() if x > gap and n]
+            reach = [1]
+            for x in lengths:
+                bits, n, step = reach[-1], min(left[x], room // x), 1
+                while n > 0:
+                    bits |= bits << min(step, n) * x
+                    n, step = n - step, 2 * step
+                reach.append(bits & (1 << room + 1) - 1)
+
+        def compose(total: int, top: int):
+            if not total:
+                yield []
+                return
+            for i in range(min(top, bisect.bisect_right(lengths, total)) - 1, -1, -1):
+                if not reach[i + 1] >> total & 1:
+                    break
+                x = lengths[i]
+                for n in range(min(left[x], total // x), 0, -1):
+                    if reach[i] >> total - n * x & 1:
+                        for more in compose(total - n * x, i):
+                            yield [x] * n + more
+
+        for chosen in compose(rest, len(lengths)):
+            yield sorted(chosen + forced, reverse=True)
+
+
+def quick_filling(counts: dict[int, int], first: int, capacity: int) -> list[int]:
+    """A full bin's filling, or else the fullest one, among the few that ``WIDE`` and ``FILLINGS`` allow: largest piece
+    that fits first, and none smaller than one that ends a filling no fuller than the best, so that small pieces are
+    spared. Better fillings may be passed over, so this is only a start for bin_completion."""
+    left = {x: n for x, n in sorted(counts.items()) if x <= capacity - first}
+    if first in left:
+        left[first] -= 1
+    lengths = list(left)
+    best: list[int] = []
+    seen, full, chosen = 0, 0, []
 
     def search(room: int, top: int):
-        nonlocal best, seen
-        at = bisect.bisect_right(lengths, min(room, top)) - 1
-        fits = False
-        tries = 0
-        while at >= 0 and seen < most:
+        nonlocal best, seen, full
+        at, tries = bisect.bisect_right(lengths, min(room, top)) - 1, 0
+        while at >= 0 and tries < WIDE and seen < FILLINGS and full < capacity - first:
             x = lengths[at]
             at -= 1
-            if not left[x]:
-                continue
-            fits = True
-            # Waste bound: with pieces of at most x, no more than all of them fit; a single further piece leaves room - x
-            # unless smaller ones follow.
-            smallest = next((s for s in lengths if left[s]), None)
-            if room - x < smallest and best >= 0 and total - room + x <= best:
-                break
-            left[x] -= 1
-            chosen.append(x)
-            yield from search(room - x, x)
-            chosen.pop()
-            left[x] += 1
-            tries += 1
-            if best == total or tries >= 6:
-                break
-        if not fits and total - room > best:
-            best = total - room
-            seen += 1
-            yield list(chosen)
-        elif not fits:
+            if left[x]:
+                if full and room - x < next(s for s in lengths if left[s]) and capacity - first - room + x <= full:
+                    tries += 1
+                    break
+                left[x] -= 1
+                chosen.append(x)
+                search(room - x, x)
+                chosen.pop()
+                left[x] += 1
+                tries += 1
+        if not tries:
             seen += 1
+            if capacity - first - room > full:
+                best, full = list(chosen), capacity - first - room
+
+    search(capacity - first, capacity - first)
+    return best
+
+
+def lower_bound(histogram: dict[int, int], capacity: int) -> int:
+    """Martello and Toth's bound: pieces over half a bin are in bins of their own, and the others, down to each length,
+    have no more room than these bins leave and new ones."""
+    of = np.zeros(capacity + 1, np.int64)
+    for x, n in histogram.items():
+        of[x] = n
+    number, size = (np.concatenate([[0], np.cumsum(v)]) for v in (of, of * np.arange(capacity + 1)))  # of lengths below
+    half, out = capacity // 2 + 1, 0
+    for t in range(half):
+        large, small = number[-1] - number[half], size[half] - size[t]
+        beside = number[capacity - t + 1] - number[half]
+        free = beside * capacity - (size[capacity - t + 1] - size[half])
+        out = max(out, int(large + max(0, -(-(small - free) // capacity))))
+    return out
+
+
+def fewer_bins(histogram: dict[int, int], capacity: int, bins: int, tries: int) -> tuple[list[tuple[list[int], int]] | None, int]:
+    """(patterns that pack the histogram into ``bins`` bins, or None; tries left).
+
+    Depth first over bins, each around the largest length left, by all its undominated fillings. A filling is tried as
+    often as it goes, and then once, which leaves no packing out. None with tries left proves that there is none.
+    """
+    start = {x: n for x, n in histogram.items() if n}
+    path: list[tuple[list[int], int]] = []
+    dead: set = set()
+
+    def ways(counts: dict[int, int], bins: int, slack: int):
+        for rest in fillings(counts, max(counts), capacity, slack):
+            pattern = [max(counts), *rest]
+            waste = capacity - sum(pattern)
+            most = min(counts[x] // pattern.count(x) for x in set(pattern))
+            most = min(most, slack // waste) if waste else most
+            for times in (most, 1)[: 1 + (most > 1)]:
+                after = dict(counts)
+                for x in set(pattern):
+                    after[x] -= times * pattern.count(x)
+                    if not after[x]:
+                        del after[x]
+                yield (pattern, times), after, bins - times, slack - times * waste
 
-    total = room
-    yield from search(room, room)
+    slack = bins * capacity - sum(k * v for k, v in start.items())
+    if slack < 0:
+        return None, tries
+    stack = [(ways(start, bins, slack), None)] if start else []
+    while stack:
+        if not tries:
+            return None, 0
+        step = next(stack[-1][0], None)
+        if step is None:
+            dead.add(stack.pop()[1])
+            if path:
+                path.pop()
+            continue
+        tries -= 1
+        done, counts, rest, slack = step
+        # What is left and the bins left say all; large states are not kept, as they hardly come again.
+        state = (rest, tuple(sorted(counts.items()))) if len(counts) <= 64 else None
+        if state is not None and state in dead:
+            continue
+        path.append(done)
+        if not counts:
+            return path, tries
+        stack.append((ways(counts, rest, slack), state))
+    return ([], tries) if not start else (None, tries)
 
 
-def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
+def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY, tries: int = TRIES) -> list[tuple[list[int], int]]:
     """Patterns (lengths, largest first, and how many bins are filled so) that pack the whole histogram.
 
-    Around the largest length left, the fillings are enumerated; the fullest is the incumbent, and a full bin ends the
-    search. A pattern fills as many bins as the counts allow, so the steps grow with the number of different lengths
-    (capacity at most), not with the number of pieces. Among packings by best-fit decreasing and by completion, the one
-    with fewer bins is returned.
+    Around the largest length left, a filling is taken. A pattern fills as many bins as the counts allow, so the steps
+    grow with the number of different lengths (capacity at most), not with the number of pieces. While the best packing by
+    best fit, quick fillings and the fullest fillings is above the lower bound, all undominated fillings of all bins are
+    searched for a packing with one bin less. The result has the fewest bins there are, unless ``tries`` end the search.
     """
 
-    def pack(complete: bool):
+    def pack(fill=None):
         counts = {k: v for k, v in histogram.items() if v}
         lengths = sorted(counts)
         out = []
         while lengths:
             first = lengths[-1]
             rest: list[int] = []
-            if complete:
-                for rest in fillings(lengths, counts, first, capacity - first):  # noqa: B007  the last one listed is the fullest
-                    pass
+            if fill:
+                rest = fill(counts, first, capacity)
             else:
                 room, left = capacity - first, dict(counts)
                 left[first] -= 1
@@ -106,10 +207,17 @@ def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY) -> list[
                     lengths.pop(bisect.bisect_left(lengths, x))
         return out
 
-    bound = -(-sum(k * v for k, v in histogram.items()) // capacity)
-    best = pack(False)
-    if sum(n for _, n in best) > bound:
-        best = min(pack(True), best, key=lambda p: sum(n for _, n in p))
+    bound = lower_bound(histogram, capacity)
+    number = lambda p: sum(n for _, n in p)
+    best = pack()
+    for fill in (quick_filling, lambda *bin: next(fillings(*bin, capacity))):
+        if number(best) > bound:
+            best = min(pack(fill), best, key=number)
+    while number(best) > bound:
+        found, tries = fewer_bins(histogram, capacity, number(best) - 1, tries)
+        if found is None:
+            break
+        best = found
     return best
 
 

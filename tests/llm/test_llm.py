@@ -138,6 +138,30 @@ def test_completion_beats_best_fit():
     assert sum(n for _, n in packing.bin_completion({7: 2, 6: 2, 5: 1, 4: 3, 3: 3}, 13)) == best_packing([7, 7, 6, 6, 5, 4, 4, 4, 3, 3, 3], 13)
 
 
+def test_fillings_are_all_undominated_ones():
+    assert next(packing.fillings({9: 1, 8: 1, 5: 2, 10: 1}, 10, 20, 10)) == [5, 5]
+    random.seed(6)
+    for _ in range(40):
+        pieces = sorted(random.choices(range(1, 12), k=8), reverse=True)
+        subsets = {tuple(pieces[1:][i] for i in range(7) if m >> i & 1) for m in range(128)}
+        gap = lambda s: 20 - pieces[0] - sum(s)
+        best = {s for s in subsets if 0 <= gap(s) <= 6 and all(x > gap(s) for x in (Counter(pieces[1:]) - Counter(s)))}
+        found = [tuple(x) for x in packing.fillings(Counter(pieces), pieces[0], 20, 6)]
+        assert len(found) == len(set(found)) and set(found) == best and [gap(x) for x in found] == sorted(map(gap, found))
+
+
+def test_packing_is_best_in_small_cases():
+    assert sum(n for _, n in packing.bin_completion(Counter([10, 9, 7, 5, 5, 4]), 20)) == 2
+    random.seed(9)
+    for k in range(400):
+        room = random.choice([10, 20, 37])
+        lengths = [random.randint(1, room) if k % 2 else random.randint(room // 6 + 1, room // 2) for _ in range(random.randint(1, 11))]
+        plan = packing.bin_completion(Counter(lengths), room)
+        assert all(sum(p) <= room for p, _ in plan) and Counter(x for p, n in plan for _ in range(n) for x in p) == Counter(lengths)
+        best = best_packing(lengths, room)
+        assert packing.lower_bound(Counter(lengths), room) <= best == sum(n for _, n in plan)
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
