@@ -2,11 +2,12 @@
 
 A piece of rank r in the vocabulary weighs (r + 2) ** -THETA; a byte piece weighs BYTE. A segmentation's chance is the
 product of its pieces' weights over the sum for all segmentations. Sampling a text works on each of its words (a word
-starts with the space before it), which is exact, as no piece but runs of spaces crosses a space.
+starts with the space before it) whole, however long, which is exact, as no piece but runs of spaces crosses a space.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from itertools import chain
@@ -28,8 +29,10 @@ SEED = 17
 TOGETHER = 3 << 20
 SPACE = "▁"
 _WORD = re.compile("[ ]*[^ ]+|[ ]+")
-#: Words longer than this are cut into parts of that many characters, sampled apart.
-LONGEST = 48
+#: Words longer than this are filtered one by one instead of side by side, in blocks of that many characters.
+LONG, BLOCK = 512, 1 << 15
+#: Sums of that many characters stay within floating point; in longer words they are rescaled each RESCALE characters.
+SAFE, RESCALE = 48, 16
 
 _models: dict[str, "Lattice"] = {}
 
@@ -91,6 +94,25 @@ class Lattice:
         kinds, which = np.unique(chars, return_inverse=True)
         return np.array([self.alone.get(c) or BYTE ** len(chr(c).encode("utf-8", "surrogatepass")) for c in kinds.tolist()])[which]
 
+    def _found(self, chars: np.ndarray, left: np.ndarray, most: int):
+        """(length, first characters, ids, relative weights) of all pieces in ``chars``, of which ``left`` belong together."""
+        alone = self._alone(chars)
+        hashes, product = np.zeros(len(chars), np.uint64), np.ones(len(chars))
+        mixed = chars.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)
+        live = np.arange(len(chars))
+        for n in range(1, most + 1):
+            live = live[left[live] >= n]
+            h = hashes[live] * np.uint64(self.base) + mixed[live + n - 1]
+            keys, own = self.tables[n - 1]
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            hit = keys[at] == h
+            live, h, at = live[hit], h[hit], at[hit]
+            hashes[live] = h
+            product[live] *= alone[live + n - 1]
+            whole = own[at] >= 0
+            start, i = live[whole], own[at[whole]]
+            yield n, start, i, self.weight[i] / product[start]
+
     def prepare(self, words: list[str]) -> tuple[np.ndarray, ...]:
         """Forward filtering of all words (longest first) side by side.
 
@@ -100,36 +122,26 @@ class Lattice:
         search finds the arc for any node and draw.
 
         Weights are taken relative to those of the characters alone. This multiplies all segmentations of a word by
-        the same number, and keeps sums within floating point without logarithms.
+        the same number. Sums are rescaled along a word with all that are still needed, which leaves chances as they are.
         """
         sizes = np.array([len(w) for w in words], np.int64)
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         first = np.cumsum(sizes) - sizes
         place = np.arange(len(chars)) - np.repeat(first, sizes)
         left = np.repeat(sizes, sizes) - place
-        alone = self._alone(chars)
         most = min(self.longest, int(sizes.max(initial=1)))
         weight, ids = np.zeros((most + 1, len(chars))), np.full((most + 1, len(chars)), -1, np.int32)  # by length and last character
         weight[1] = 1.0  # a character that is a piece, or its bytes
-        hashes, product = np.zeros(len(chars), np.uint64), np.ones(len(chars))
-        mixed = chars.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)
-        live = np.arange(len(chars))
-        for n in range(1, most + 1):
-            live = live[left[live] >= n]
-            h = hashes[live] * np.uint64(self.base) + mixed[live + n - 1]
-            keys, own = self.tables[n - 1]
-            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            hit = keys[at] == h
-            live, h, at = live[hit], h[hit], at[hit]
-            hashes[live] = h
-            product[live] *= alone[live + n - 1]
-            whole = own[at] >= 0
-            start, i = live[whole], own[at[whole]]
+        for n, start, i, w in self._found(chars, left, most):
             ids[n, start + n - 1] = i
-            weight[n, start + n - 1] = self.weight[i] / product[start]
+            weight[n, start + n - 1] = w
         alpha = np.zeros(len(chars))
+        sums = alpha if sizes.max(initial=0) <= SAFE else np.zeros(len(chars))
         for p in range(int(sizes.max(initial=0))):
             nodes = first[: np.searchsorted(-sizes, -p, "left")] + p
+            if p >= SAFE and p % RESCALE == 0:  # sums never fall, so the last one is the largest
+                for n in range(min(p, most), 0, -1):
+                    alpha[nodes - n] /= alpha[nodes - 1]
             total = np.zeros(len(nodes))
             for n in range(1, min(p + 1, most) + 1):
                 w = weight[n, nodes]
@@ -137,29 +149,87 @@ class Lattice:
                     w = w * alpha[nodes - n]
                 weight[n, nodes] = w
                 total += w
-            alpha[nodes] = total
-        mass = np.ascontiguousarray(weight[1:].T)
-        end, length = np.nonzero(mass)
-        mass, length = mass[end, length], length + 1
-        arc = np.searchsorted(end, np.arange(len(chars) + 1))
-        share = np.cumsum(mass / alpha[end])
+            alpha[nodes] = sums[nodes] = total
+        mass = np.ascontiguousarray(weight[1:].T).ravel()
+        at = np.flatnonzero(mass)
+        end, mass = at // most, mass[at]
+        length = at - end * most + 1
+        arc = np.concatenate([[0], np.cumsum(np.bincount(end, minlength=len(chars)))])
+        share = np.cumsum(mass / sums[end])
         share -= np.concatenate([[0.0], share])[arc[end]]
         share[arc[1:] - 1] = 1.0
-        return first + sizes - 1, place, arc, np.minimum(share, 1.0) + end, length, ids[length, end].astype(np.int64), chars
+        return first + sizes - 1, place, arc, np.minimum(share, 1.0) + end, length, ids.ravel()[length * len(chars) + end].astype(np.int64), chars
+
+    def sample_long(self, word: str, keys: np.ndarray) -> list[np.ndarray]:
+        """Samples of one long word, by a key each. Only the logarithms of the forward sums are kept for the whole word;
+        arcs are looked up again block by block, with the characters before it that its first arcs reach back to."""
+        chars = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        held: dict = {}
+
+        def arcs(block: int):
+            """First arc of each of the block's characters, lengths, weights and ids, by last character."""
+            if block not in held:
+                a, b = block * BLOCK, min((block + 1) * BLOCK, len(chars))
+                low = max(0, a - self.longest + 1)
+                found = list(self._found(chars[low:b], np.arange(b - low, 0, -1), self.longest))
+                own = np.full(b - a, -1, np.int64)  # the arcs of one character: its piece, or its bytes
+                n, start, i, _ = found[0]
+                own[start[start >= a - low] + low - a] = i[start >= a - low]
+                end = np.concatenate([np.arange(b - a), *[start + n - 1 + low - a for n, start, _, _ in found[1:]]])
+                length = np.concatenate([np.ones(b - a, np.int64), *[np.full(len(start), n) for n, start, _, _ in found[1:]]])
+                ids = np.concatenate([own, *[i for _, _, i, _ in found[1:]]])
+                weight = np.concatenate([np.ones(b - a), *[w for _, _, _, w in found[1:]]])
+                order = np.lexsort((length, end))
+                order = order[end[order] >= 0]
+                held.clear()
+                held[block] = np.searchsorted(end[order], np.arange(b - a + 1)).tolist(), length[order].tolist(), weight[order].tolist(), ids[order].tolist()
+            return held[block]
+
+        log = np.zeros(len(chars) + 1)  # before each character, and at the end
+        recent, scale = [0.0] * (self.longest - 1) + [1.0], 0.0
+        for block in range(-(-len(chars) // BLOCK)):
+            first, length, weight, _ = arcs(block)
+            sums = recent
+            for p in range(len(first) - 1):
+                total = sum([weight[k] * sums[-length[k]] for k in range(first[p], first[p + 1])])
+                if total > 1e100:
+                    scale += math.log(total)
+                    sums = [x / total for x in sums[-self.longest :]]
+                    total = 1.0
+                sums.append(total)
+                log[block * BLOCK + p + 1] = math.log(total) + scale
+            recent = sums[-self.longest :]
+        out = []
+        for key in keys:
+            node, turn, got, draws = len(chars), 0, [], []
+            while node:
+                if turn % 4096 == 0:
+                    draws = _uniform(np.full(4096, key, np.uint64), np.arange(turn, turn + 4096)).tolist()
+                block, p = divmod(node - 1, BLOCK)
+                first, length, weight, ids = arcs(block)
+                draw = draws[turn % 4096]
+                for k in range(first[p], first[p + 1]):
+                    draw -= weight[k] * math.exp(log[node - length[k]] - log[node])
+                    if draw < 0:
+                        break
+                if ids[k] >= 0:
+                    got.append(ids[k])
+                else:
+                    got += self.byte[list(chr(chars[node - 1]).encode("utf-8", "surrogatepass"))].tolist()[::-1]
+                node -= length[k]
+                turn += 1
+            out.append(np.array(got[::-1], np.int64))
+        return out
 
     def sample(self, text_list: list[str], keys: list[int], seed: int = SEED) -> list[np.ndarray]:
         """A sampled segmentation (ids) of each text, by its key and the seed alone."""
-        split = []
-        for text in text_list:
-            parts = _WORD.findall(text)
-            if parts and max(map(len, parts)) > LONGEST:
-                parts = [w[i : i + LONGEST] for w in parts for i in range(0, len(w), LONGEST)]
-            split.append(parts)
+        split = [_WORD.findall(text) for text in text_list]
         ordered = sorted(set().union(*split), key=len, reverse=True)
         if not ordered:
             return [np.zeros(0, np.int64) for _ in text_list]
+        apart = next((i for i, w in enumerate(ordered) if len(w) <= LONG), len(ordered))
         number = {w: i for i, w in enumerate(ordered)}
-        last, place, arc, summed, length, ids, chars = self.prepare(ordered)
+        last, place, arc, summed, length, ids, chars = self.prepare(ordered[apart:])
         counts = np.array([len(x) for x in split], np.int64)
         word = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         doc = np.repeat(np.arange(len(split)), counts)
@@ -167,7 +237,8 @@ class Lattice:
         key = (np.array([k & (1 << 64) - 1 for k in keys], np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed))[doc]
         key = (key ^ key >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93) + nth.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
         live = np.argsort(word, kind="stable")  # equal words side by side look up the same places
-        node = last[word[live]]
+        one_by_one, live = np.split(live, [int((word < apart).sum()) if apart else 0])
+        node = last[word[live] - apart if apart else word[live]]
         taken = np.zeros(len(word), np.int64)
         got = []
         turn = 0
@@ -194,6 +265,13 @@ class Lattice:
             flat = np.repeat(got_id, wide)
             flat[np.repeat(got_id < 0, wide)] = np.concatenate(raw)
             got_word, got_id = np.repeat(got_word, wide), flat
+        if len(one_by_one):
+            ids_of = []
+            for same in np.split(one_by_one, np.flatnonzero(np.diff(word[one_by_one])) + 1):
+                ids_of += self.sample_long(ordered[word[same[0]]], key[same])
+            got_word = np.concatenate([got_word, np.repeat(one_by_one, [len(x) for x in ids_of])])
+            order = np.argsort(got_word, kind="stable")
+            got_word, got_id = got_word[order], np.concatenate([got_id, *ids_of])[order]
         ends = np.searchsorted(doc[got_word], np.arange(len(split) + 1))
         return [got_id[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 

@@ -524,6 +524,34 @@ def test_samples_follow_the_weights(lattice):
         assert all(abs(seen[i] / n - w / total) < 5 * (w / total / n) ** 0.5 + 2e-4 for i, w in chances.items())
 
 
+@pytest.mark.parametrize(("size", "block"), [(300, 1 << 15), (700, 1 << 15), (700, 100)])
+def test_long_runs_follow_the_weights(lattice, monkeypatch, size, block):
+    """How often each place is between two pieces, against exact sums over all segmentations."""
+    monkeypatch.setattr(segment, "BLOCK", block, raising=False)
+    random.seed(size)
+    text = "".join(random.choice(["the", "and", "ing", "é", "漢", "tion", "x", "/", "="]) for _ in range(size))[:size]
+
+    def weight(a, b):
+        if text[a:b] in lattice.piece:
+            return lattice.weight[lattice.piece[text[a:b]]]
+        return segment.BYTE ** len(text[a].encode()) if b == a + 1 else 0
+
+    arcs = {(a, b): np.log(weight(a, b)) for a in range(size) for b in range(a + 1, min(a + lattice.longest, size) + 1) if weight(a, b)}
+    before, after = np.full(size + 1, -np.inf), np.full(size + 1, -np.inf)
+    before[0] = after[size] = 0
+    for a, b in sorted(arcs):
+        before[b] = np.logaddexp(before[b], before[a] + arcs[a, b])
+    for a, b in sorted(arcs, reverse=True):
+        after[a] = np.logaddexp(after[a], after[b] + arcs[a, b])
+    chance = np.exp(before + after - before[size])
+    n, seen = 2000, np.zeros(size + 1)
+    for ids in lattice.sample([text] * n, list(range(n))):
+        ends = np.cumsum([len(lattice.text[i]) for i in ids.tolist()])
+        seen[np.isin(np.cumsum([0, *(len(c.encode()) for c in text)]), [0, *ends])] += 1
+    assert chance[48:-1:48].min() < 0.9  # fixed cuts would show
+    assert (abs(seen / n - chance) < 5 * (chance * (1 - chance) / n).clip(0) ** 0.5 + 3e-3).all()
+
+
 # The pipeline, and the queries.
 
 
