@@ -125,6 +125,12 @@ def step_series(events: DataFrame, duration: float, key: str = "stage") -> DataF
     return real.unionByName(zero).withColumn("until", F.lead("t_s", 1, duration).over(w)).drop("ord")
 
 
+def even_grid(df: DataFrame, t: str, points: int) -> DataFrame:
+    """(t_s): ``points`` times from 0 to the largest ``t``, evenly, both ends included."""
+    hi, i = F.col("hi"), F.col("id")
+    return df.sparkSession.range(points).crossJoin(df.agg(F.max(t).alias("hi"))).select(F.when(i == points - 1, hi).otherwise(i * (hi / (points - 1))).alias("t_s"))
+
+
 def step_resample(steps: DataFrame, grid: DataFrame, key: str = "stage") -> DataFrame:
     """(key, t_s, c) at the grid's times: the last count at or before each."""
     asked = steps.select(key).distinct().crossJoin(F.broadcast(grid.select("t_s"))).select(key, "t_s", F.lit(None).cast("long").alias("c"), F.lit(1).alias("q"))

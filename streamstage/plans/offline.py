@@ -143,6 +143,17 @@ def asof_step_resample(spark, sf_dir):
     return at.where("c IS NOT NULL").select("stage", F.round("t_s", 6).alias("t_s"), "c")
 
 
+@query(
+    f"WITH {X.SCALING}, e AS (SELECT max(t_s) AS hi FROM scaling), g AS (SELECT stage, CASE range WHEN 599 THEN hi ELSE range * (hi / 599) END AS t_s FROM range(600), e, (SELECT DISTINCT stage FROM scaling)) "
+    "SELECT g.stage, round(g.t_s, 6) AS t_s, coalesce(s.new_count, 0) AS c FROM g ASOF LEFT JOIN scaling s ON g.stage = s.stage AND g.t_s >= s.t_s"
+)
+def asof_step_resample_whole(spark, sf_dir):
+    """As asof_step_resample, on 600 points from 0 to the table's largest time."""
+    steps = X.scaling_log(spark, sf_dir).select("stage", "t_s", F.col("new_count").alias("c"), "ord")
+    at = ana.step_resample(steps, ana.even_grid(steps, "t_s", 600))
+    return at.select("stage", F.round("t_s", 6).alias("t_s"), F.coalesce("c", F.lit(0)).alias("c"))
+
+
 _AREA = "area AS (SELECT stage, sum(c * greatest(until - t_s, 0e0)) AS replica_s FROM steps GROUP BY stage)"
 
 

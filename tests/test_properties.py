@@ -68,3 +68,12 @@ def test_bootstrap_surrounds_the_median(spark):
 @settings(max_examples=20, deadline=None)
 def test_blake3_tells_inputs_apart(data):
     assert len(blake3_hex(data)) == 64 and blake3_hex(data) != blake3_hex(data + b"\0")
+
+
+def test_resampling_reaches_the_tables_end(spark):
+    from streamstage.plans import registry
+
+    sf = "/root/testdata/sf0.1"
+    last = spark.read.parquet(f"{sf}/events.parquet").agg({"event_id": "max"}).first()[0] * 5e-2
+    at = registry.QUERIES["asof_step_resample_whole"](spark, sf).toPandas()
+    assert last > 600 and (at.groupby("stage").t_s.max() == round(last, 6)).all() and (at.groupby("stage").t_s.nunique() == 600).all()
