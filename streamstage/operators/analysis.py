@@ -27,12 +27,19 @@ def bin_latency(rows: DataFrame, width: float) -> DataFrame:
     )
 
 
-def per_second_quantiles(df: DataFrame, t: str, value: str, seconds: int) -> DataFrame:
-    """(second, p50, p99, p999) for each second of a fixed grid; null where nothing falls, later values in the last."""
-    placed = df.groupBy(F.least(F.floor(F.col(t)), F.lit(seconds - 1)).alias("second")).agg(
+def per_second_quantiles(df: DataFrame, t: str, value: str, seconds: int | None = None) -> DataFrame:
+    """(second, p50, p99, p999) for each second of a fixed grid; null where nothing falls, later values in the last.
+    Without ``seconds``, the grid has as many as the largest ``t``, rounded (half to even), 1 at least."""
+    if seconds is None:
+        count = df.agg(F.greatest(F.bround(F.max(t), 0).cast("long"), F.lit(1).cast("long")).alias("__n"))
+        df, last = df.crossJoin(F.broadcast(count)), F.col("__n") - 1
+        grid = count.select(F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("second"))
+    else:
+        last, grid = F.lit(seconds - 1), df.sparkSession.range(seconds).select(F.col("id").alias("second"))
+    placed = df.groupBy(F.least(F.floor(F.col(t)), last).alias("second")).agg(
         *[F.percentile(value, p).alias(n) for n, p in (("p50", 0.5), ("p99", 0.99), ("p999", 0.999))]
     )
-    return df.sparkSession.range(seconds).select(F.col("id").alias("second")).join(placed, "second", "left")
+    return grid.join(placed, "second", "left")
 
 
 def spikes_and_kth(df: DataFrame, t: str, value: str, order: list[str], k: int) -> DataFrame:
@@ -116,13 +123,17 @@ def quantile_from_cdf(points: DataFrame, group: list[str], q: float) -> DataFram
     return first.select(*group, F.when(F.col("s.x0").isNull() | (F.col("s.y") == F.col("s.y0")), F.col("s.x")).otherwise(between).alias("x"))
 
 
-def step_series(events: DataFrame, duration: float, key: str = "stage") -> DataFrame:
-    """(key, t_s, until, c): the count after each event holds until the next; from (0, 0) to ``duration``. Compiling
-    alone changes no count."""
+def step_series(events: DataFrame, duration: float | None = None, key: str = "stage") -> DataFrame:
+    """(key, t_s, until, c): the count after each event holds until the next; from (0, 0) to ``duration``, or else to the
+    largest time of all events. Compiling alone changes no count."""
     real = events.where("action <> 'init_jit'").select(key, "t_s", F.col("new_count").cast("long").alias("c"), "ord")
     zero = real.select(key).distinct().select(key, F.lit(0.0).alias("t_s"), F.lit(0).cast("long").alias("c"), F.lit(-1).cast("long").alias("ord"))
     w = Window.partitionBy(key).orderBy("t_s", "ord")
-    return real.unionByName(zero).withColumn("until", F.lead("t_s", 1, duration).over(w)).drop("ord")
+    steps = real.unionByName(zero)
+    if duration is None:
+        steps = steps.crossJoin(F.broadcast(events.agg(F.max("t_s").alias("__end"))))
+        return steps.withColumn("until", F.coalesce(F.lead("t_s").over(w), "__end")).drop("ord", "__end")
+    return steps.withColumn("until", F.lead("t_s", 1, duration).over(w)).drop("ord")
 
 
 def even_grid(df: DataFrame, t: str, points: int) -> DataFrame:

@@ -41,6 +41,15 @@ def ana_latency_timeseries(spark, sf_dir):
     return _rounded(ana.per_second_quantiles(_rows(spark, sf_dir), "t_s", "value", 600), "p50", "p99", "p999")
 
 
+@query(
+    f"WITH {ROWS}, d AS (SELECT greatest(CAST(round_even(max(t_s), 0) AS BIGINT), 1) AS n FROM rows_), b AS (SELECT least(CAST(floor(t_s) AS BIGINT), n - 1) AS second, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.99) AS p99, quantile_cont(value, 0.999) AS p999 FROM rows_, d GROUP BY 1), "
+    "g AS (SELECT unnest(range(n)) AS second FROM d) SELECT second, round(p50, 6) AS p50, round(p99, 6) AS p99, round(p999, 6) AS p999 FROM g LEFT JOIN b USING (second)"
+)
+def ana_latency_timeseries_whole(spark, sf_dir):
+    """As ana_latency_timeseries, for the seconds up to the table's largest time, rounded."""
+    return _rounded(ana.per_second_quantiles(_rows(spark, sf_dir), "t_s", "value"), "p50", "p99", "p999")
+
+
 @query(f"WITH {ROWS}, r AS (SELECT *, row_number() OVER (ORDER BY ord) AS rn FROM rows_), m AS (SELECT rn FROM (SELECT rn, row_number() OVER (PARTITION BY floor(t_s) ORDER BY value DESC, rn) AS k FROM r) WHERE k = 1) SELECT ord, value FROM r WHERE (rn - 1) % 50 = 0 OR rn IN (SELECT rn FROM m)")
 def ana_spike_subsample(spark, sf_dir):
     return ana.spikes_and_kth(_rows(spark, sf_dir), "t_s", "value", ["ord"], 50).select("ord", "value")
@@ -169,6 +178,37 @@ def ana_savings(spark, sf_dir):
     return _rounded(out, "replica_s", "saved_s", "saved_pct").select("stage", "baseline_s", "replica_s", "saved_s", "saved_pct")
 
 
+_STEPS_WHOLE = "d AS (SELECT max(t_s) AS hi FROM scaling), steps AS (SELECT stage, t_s, c, coalesce(lead(t_s) OVER (PARTITION BY stage ORDER BY t_s, ord), hi) AS until FROM (SELECT stage, t_s, new_count AS c, ord FROM scaling UNION ALL SELECT DISTINCT stage, 0e0, 0, -1 FROM scaling), d)"
+_AREA_WHOLE = "area AS (SELECT stage, hi, sum(c * greatest(until - t_s, 0e0)) AS replica_s FROM steps, d GROUP BY ALL)"
+
+
+@query(f"WITH {X.SCALING}, {_STEPS_WHOLE} SELECT stage, round(t_s, 6) AS t_s, round(until, 6) AS until, c FROM steps")
+def ana_step_series_whole(spark, sf_dir):
+    """As ana_step_series, closed at the table's largest time."""
+    return _rounded(ana.step_series(X.scaling_log(spark, sf_dir)), "t_s", "until")
+
+
+def _used_whole(spark, sf_dir):
+    """Replica seconds over the table's whole time, with its length."""
+    log = X.scaling_log(spark, sf_dir)
+    used = ana.replica_seconds(ana.step_series(log), 1.0).drop("avg_replicas")
+    return used.crossJoin(F.broadcast(log.agg(F.max("t_s").alias("hi"))))
+
+
+@query(f"WITH {X.SCALING}, {_STEPS_WHOLE}, {_AREA_WHOLE} SELECT stage, round(replica_s, 6) AS replica_s, round(replica_s / hi, 6) AS avg_replicas FROM area")
+def ana_replica_seconds_whole(spark, sf_dir):
+    """As ana_replica_seconds, over the table's whole time."""
+    return _rounded(_used_whole(spark, sf_dir).select("stage", "replica_s", (F.col("replica_s") / F.col("hi")).alias("avg_replicas")), "replica_s", "avg_replicas")
+
+
+@query(f"WITH {X.SCALING}, {_STEPS_WHOLE}, {_AREA_WHOLE} SELECT stage, round(6 * hi, 6) AS baseline_s, round(replica_s, 6) AS replica_s, round(6 * hi - replica_s, 6) AS saved_s, round((6 * hi - replica_s) * 100 / (6 * hi), 6) AS saved_pct FROM area")
+def ana_savings_whole(spark, sf_dir):
+    """As ana_savings, against six replicas over the table's whole time."""
+    used = _used_whole(spark, sf_dir)
+    out = ana.savings(used, used.select("stage", (6 * F.col("hi")).alias("replica_s")))
+    return _rounded(out, "baseline_s", "replica_s", "saved_s", "saved_pct").select("stage", "baseline_s", "replica_s", "saved_s", "saved_pct")
+
+
 def _averages(spark, sf_dir, mode: str):
     runs = X.grid(spark, sf_dir).where(F.col("mode") == mode)
     return runs.groupBy("n", "d", "f").agg(F.avg("p50").alias("p50"), F.avg("replicas").alias("replicas"), F.avg("downs").alias("downs"))

@@ -77,3 +77,14 @@ def test_resampling_reaches_the_tables_end(spark):
     last = spark.read.parquet(f"{sf}/events.parquet").agg({"event_id": "max"}).first()[0] * 5e-2
     at = registry.QUERIES["asof_step_resample_whole"](spark, sf).toPandas()
     assert last > 600 and (at.groupby("stage").t_s.max() == round(last, 6)).all() and (at.groupby("stage").t_s.nunique() == 600).all()
+
+
+def test_durations_are_the_tables(spark):
+    from streamstage.plans import registry
+
+    sf = "/root/testdata/sf0.1"
+    last = spark.read.parquet(f"{sf}/events.parquet").agg({"event_id": "max"}).first()[0] * 5e-2
+    made = {n: registry.QUERIES[f"ana_{n}_whole"](spark, sf).toPandas() for n in ("latency_timeseries", "step_series", "replica_seconds", "savings")}
+    assert len(made["latency_timeseries"]) == round(last) and made["latency_timeseries"].p50.notna().all()
+    assert (made["step_series"].until >= made["step_series"].t_s).all() and made["step_series"].until.max() == round(last, 6)
+    assert made["replica_seconds"].avg_replicas.between(1, 6).all() and made["savings"].saved_pct.between(0, 100).all()
