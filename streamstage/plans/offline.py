@@ -260,6 +260,17 @@ def asof_nearest(spark, sf_dir):
     return found.select("ord", "log_id", F.round("away", 6).alias("away"))
 
 
+@query(
+    f"WITH {ROWS}, c AS (SELECT r.ord, r.t_s, l.ord AS log_id, l.t_s AS lt, row_number() OVER (PARTITION BY r.ord ORDER BY abs(l.t_s - r.t_s), l.t_s, l.ord) AS k FROM (SELECT * FROM rows_ WHERE stage = 'view') r JOIN (SELECT * FROM rows_ WHERE stage <> 'view') l ON l.t_s >= r.t_s - 1 AND l.t_s <= r.t_s + 1 AND abs(l.t_s - r.t_s) < 1) "
+    "SELECT ord, log_id, round(abs(lt - t_s), 6) AS away FROM c WHERE k = 1"
+)
+def asof_nearest_whole(spark, sf_dir):
+    """As asof_nearest, over every row: each view with the nearest event of another type."""
+    rows = _rows(spark, sf_dir)
+    found = ana.nearest_match(rows.where("stage = 'view'").select("ord", "t_s"), rows.where("stage <> 'view'").select(F.col("ord").alias("log_id"), "t_s"), 1.0, "ord")
+    return found.select("ord", "log_id", F.round("away", 6).alias("away"))
+
+
 @query(f"WITH {ROWS} SELECT stage, round(mid, 6) AS mid, round(rate, 4) AS rate FROM (SELECT stage, (t_s + lag(t_s) OVER w) / 2 AS mid, CASE WHEN t_s - lag(t_s) OVER w > 0 THEN (ord - lag(ord) OVER w) / (t_s - lag(t_s) OVER w) END AS rate FROM rows_ WINDOW w AS (PARTITION BY stage ORDER BY t_s)) WHERE mid IS NOT NULL")
 def win_rate_lag(spark, sf_dir):
     out = ana.rates(_rows(spark, sf_dir), "t_s", "ord", "stage")

@@ -88,3 +88,14 @@ def test_durations_are_the_tables(spark):
     assert len(made["latency_timeseries"]) == round(last) and made["latency_timeseries"].p50.notna().all()
     assert (made["step_series"].until >= made["step_series"].t_s).all() and made["step_series"].until.max() == round(last, 6)
     assert made["replica_seconds"].avg_replicas.between(1, 6).all() and made["savings"].saved_pct.between(0, 100).all()
+
+
+def test_nearest_match_leaves_no_row_out(spark):
+    from streamstage.plans import registry
+
+    rows = [(r.event_id, r.event_type) for r in spark.read.parquet(f"{SF}/events.parquet").select("event_id", "event_type").collect()]
+    others = [i for i, kind in rows if kind != "view"]
+    got = {r.ord: r for r in registry.QUERIES["asof_nearest_whole"](spark, SF).collect()}
+    for i, kind in rows:
+        least = min(abs(j - i) for j in others)
+        assert (i in got) == (kind == "view" and least < 20) and (i not in got or abs(got[i].log_id - i) == least)
