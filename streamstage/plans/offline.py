@@ -378,6 +378,15 @@ def join_full_outer_positional(spark, sf_dir):
     return ana.zip_positions(a, b, ["event_id"], ["event_id"], ("cpu", "rss"))
 
 
+@query("WITH a AS (SELECT row_number() OVER (ORDER BY event_id) AS rn, value AS cpu FROM events WHERE event_type = 'view'), b AS (SELECT row_number() OVER (ORDER BY event_id) AS rn, CAST(event_id AS DOUBLE) AS rss FROM events WHERE event_type <> 'view') SELECT rn, cpu, rss FROM a FULL JOIN b USING (rn)")
+def join_full_outer_positional_whole(spark, sf_dir):
+    """As join_full_outer_positional, with every row on a side: views, and all others."""
+    e = X.events(spark, sf_dir)
+    a = e.where("event_type = 'view'").select("event_id", F.col("value").alias("cpu"))
+    b = e.where("event_type <> 'view'").select("event_id", F.col("event_id").cast("double").alias("rss"))
+    return ana.zip_positions(a, b, ["event_id"], ["event_id"], ("cpu", "rss"))
+
+
 @query("SELECT a.range AS n, b.range AS d, 16 - a.range - b.range AS f, u.range * 50 AS queue_up FROM range(2, 9) a, range(2, 9) b, range(1, 4) u WHERE 16 - a.range - b.range BETWEEN 2 AND 8")
 def cross_grid_enum(spark, sf_dir):
     knobs = spark.range(1, 4).select((F.col("id") * 50).alias("queue_up"))

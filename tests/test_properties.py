@@ -99,3 +99,10 @@ def test_nearest_match_leaves_no_row_out(spark):
     for i, kind in rows:
         least = min(abs(j - i) for j in others)
         assert (i in got) == (kind == "view" and least < 20) and (i not in got or abs(got[i].log_id - i) == least)
+
+
+def test_positional_join_holds_every_row(spark):
+    from streamstage.plans import registry
+
+    got = registry.QUERIES["join_full_outer_positional_whole"](spark, SF).toPandas()
+    assert got.cpu.notna().sum() + got.rss.notna().sum() == spark.read.parquet(f"{SF}/events.parquet").count()
