@@ -166,7 +166,8 @@ class ArchiveReader:
 
 
 def record_types(pages: DataFrame, id_col: str, payload_col: str, salts: int = 64) -> DataFrame:
-    """(id, refers_to) of the records that revisit another: payloads of REVISIT_BYTES at least that a larger id has too.
+    """(id, __d, refers_to) of the records that revisit another: payloads (by their SHA-256 __d) of REVISIT_BYTES at least
+    that a larger id has too.
 
     Only digests and ids are shuffled, the salted groups of a hot payload apart from each other.
     """
@@ -175,21 +176,22 @@ def record_types(pages: DataFrame, id_col: str, payload_col: str, salts: int = 6
     salted = rows.groupBy("__d", "__salt").agg(F.max("__id").alias("__top"), F.count(F.lit(1)).alias("__n"))
     tops = salted.groupBy("__d").agg(F.max("__top").alias("refers_to"), F.collect_set("__salt").alias("__salts"), F.sum("__n").alias("__n")).where("__n > 1")
     found = cut(tops.select("__d", "refers_to", F.explode("__salts").alias("__salt")))
-    return rows.join(found, ["__d", "__salt"]).where("__id < refers_to").select(F.col("__id").alias(id_col), "refers_to").distinct()
+    return rows.join(found, ["__d", "__salt"]).where("__id < refers_to").select(F.col("__id").alias(id_col), "__d", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", folder: str | None = None) -> DataFrame:
     """A WARC record per row, in one archive per task: returns (path, size, records), a row per archive.
 
     Null payloads count as empty, null URIs as ``urn:none``; a null id is written as such and never revisits; rows that
-    repeat an id get a record each. A task that is run again writes the same bytes to a name of its own and renames it
-    in one step. An empty table writes no archive.
+    repeat an id get a record each, and each is a response or revisit by its own payload. Payloads are equal if their
+    SHA-256 is. A task that is run again writes the same bytes to a name of its own and renames it in one step. An empty
+    table writes no archive; columns other than the three are ignored, whatever their names.
     """
     spark = pages.sparkSession
     folder = folder or new_folder(spark, "warc")
     rows = pages.select(F.col(id_col).cast("long").alias("__id"), F.col(uri_col).cast("string").alias("__uri"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("__p"))
     revisits = record_types(rows, "__id", "__p")
-    joined = rows.join(revisits, "__id", "left")
+    joined = rows.withColumn("__d", F.when(F.octet_length("__p") >= REVISIT_BYTES, F.sha2("__p", 256))).join(revisits, ["__id", "__d"], "left")
 
     def write(batches):
         part = TaskContext.get().partitionId()

@@ -248,6 +248,24 @@ def test_archives(spark):
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
 
 
+def test_ids_that_repeat_with_other_payloads(spark):
+    """Each row has one record, of its own payload."""
+    random.seed(12)
+    p = {k: k * 1200 for k in "PQRS"} | {"t": "t" * 20}
+    cases = [[(1, "P"), (1, "Q"), (2, "P"), (3, "Q")], [(1, "P"), (1, "R"), (2, "P")], [(1, "P"), (1, "P"), (2, "P"), (None, "P"), (None, "S")]]
+    cases += [[(random.choice([None, 1, 2, 3, 4]), random.choice("PQRSt")) for _ in range(12)] for _ in range(3)]
+    for rows in cases:
+        archives = warc.write_archives(spark.createDataFrame([(i, "u", p[k]) for i, k in rows], "page_id long, url string, html string"))
+        told = Counter()
+        for i, k in rows:
+            top = max((j for j, x in rows if x == k and j is not None), default=None)
+            again = k != "t" and i is not None and i < top
+            told[i, len(p[k]), hashlib.sha1(p[k].encode()).hexdigest(), "revisit" if again else "response", top if again else None] += 1
+        assert Counter(tuple(r) for r in warc.read_archives(archives).collect()) == told
+        responses = {r.payload_digest for r in warc.read_archives(archives).collect() if r.record_type == "response"}
+        assert responses == {hashlib.sha1(p[k].encode()).hexdigest() for _, k in rows}  # no payload is lost
+
+
 def test_reader_takes_other_writers_archives():
     for big in (False, True):
         out = io.BytesIO()
@@ -391,10 +409,72 @@ def test_weak_parts_need_each_other(spark):
     df = spark.createDataFrame(list(enumerate(CREDENTIALS)), "doc_id long, text string")
     spans = {r.doc_id: r.spans for r in secret_scan.secret_report(df).collect()}
     assert spans[5] == "ident:0:9,weak:10:24,endpoint:25:38"
-    assert [spans[i] for i in (6, 7, 8, 10)] == [""] * 4
+    assert [spans[i] for i in (6, 8, 10)] == [""] * 3
+    assert spans[7] == "weak:0:14,ident:255:264"  # one scope, however far apart
     assert [x.split(":")[0] for x in spans[9].split(",")] == ["ident", "weak", "endpoint"]
 
 
+def all_spans(text):
+    """Certain spans, and weak ones by looking at each scope's parts."""
+    certain, more, at = base_spans(text), [], 0
+    for scope in re.split(r"(\n[ \t]*\n)", text):
+        found = [(m.start() + at, rank, m.end() + at, kind, part) for kind, (rank, p, part) in secret_scan.WEAK.items() for m in re.finditer(p, scope, re.A)]
+        parts = {x[4] for x in found} | {secret_scan.PART[k] for a, _, b, k in certain if at <= a and b <= at + len(scope)}
+        more += [x[:4] for x in found if parts & ({"id", "endpoint"} if x[4] == "secret" else {"secret"})]
+        at += len(scope)
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(certain + more))
+
+
+def masked(text):
+    held = [False] * len(text)
+    for s in filter(None, all_spans(text).split(",")):
+        _, a, b = s.rsplit(":", 2)
+        held[int(a) : int(b)] = [True] * (int(b) - int(a))
+    touching = {int(s.rsplit(":", 2)[1]) for s in filter(None, all_spans(text).split(","))}
+    ends = {int(s.rsplit(":", 2)[2]) for s in filter(None, all_spans(text).split(","))}
+    assert not touching & ends or all(held[i] and held[i - 1] for i in touching & ends)
+    return "".join("[SECRET]" if h and (i == 0 or not held[i - 1]) else "" if h else c for i, (c, h) in enumerate(zip(text, held, strict=True)))
+
+
+def test_linking_and_redaction_against_a_search(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "TOGETHER", 3)
+    monkeypatch.setattr(secret_scan, "CHUNK", 7)
+    random.seed(8)
+    parts = ["user: bob", "pwd=hunter22x", "https://x.y/z", "host=a.b.c", "token=abcdefgh", "token=ab", "AKIA" + "B" * 17, "deadbeef" * 3, "\n\n", "\n \t\n", "\n", " ", "é😀", "word", "aB3" * 13 + "x", "Server: 'q.r.", "auth: "]
+    rows = [(i, "".join(random.choice(parts) + random.choice(["", " ", "\n"]) for _ in range(random.randint(0, 14)))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.spans for r in secret_scan.secret_report(df).collect()} == {i: all_spans(t) for i, t in rows}
+    assert {r.doc_id: r.text for r in secret_scan.redact(df).collect()} == {i: masked(t) for i, t in rows}
+
+
+HUGE = 1 << 20
+HOSTILE = {
+    "dots": "host=" + "a." * (HUGE // 2) + "com", "spaces": "password" + " " * HUGE + "=abcdefgh", "hex": "0123456789abcdef" * (HUGE // 16), "access": "AKIA" * (HUGE // 4), "short access": "AKIA x" * (HUGE // 6),
+    "url": "http://" + "a" * HUGE, "run": "aB3" * (HUGE // 3), "assign": "token=" * (HUGE // 6), "quotes": "token'='" * (HUGE // 8), "ident": "login=" + "x" * HUGE + " pwd=hunter22", "digits": "9" * HUGE + "a" * 39,
+    "blank lines": "\n" * HUGE, "blank line": "\n" + " " * HUGE + "user=bob pwd=hunter22", "hosts": "host=" * (HUGE // 5), "scopes": "user: bob\npwd: hunter22x\n\n" * (HUGE // 26),
+}
+
+
+def test_hostile_texts_of_a_megabyte(spark):
+    df = spark.createDataFrame(list(HOSTILE.items()), "doc_id string, text string").repartition(4)
+    spans = {r.doc_id: r.spans for r in secret_scan.secret_report(df).collect()}
+    assert spans["dots"] == "" and spans["hex"] == f"hex:0:{HUGE}" and spans["spaces"] == f"assign:0:{HUGE + 17}" and spans["ident"].startswith("ident:0:") and spans["scopes"].count(",") == HUGE // 26 * 2 - 1
+    texts = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    assert texts["hex"] == "[SECRET]" and texts["dots"] == HOSTILE["dots"] and texts["scopes"].startswith("[SECRET]\n[SECRET]\n\n[SECRET]")
+
+
+def test_many_matches_take_time_in_proportion(spark):
+    import time
+
+    took = {}
+    for n in (20_000, 20_000, 40_000, 80_000):
+        df = spark.createDataFrame([(1, "token=abcdefgh " * n)], "doc_id long, text string")
+        began = time.time()
+        assert secret_scan.secret_report(df).first().n_assign == n
+        took[n] = time.time() - began
+    assert took[80_000] < 8 * max(took[20_000], 0.25)
+
+
 def test_redaction(spark, odd):
     df = spark.createDataFrame([(i, t) for i, t in enumerate([*CREDENTIALS, None, ""])], "doc_id long, text string")
     found = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
