@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,9 @@ THETA = 1.0
 BYTE = 1e-7
 SEED = 17
 #: Bytes of text that are sampled together.
-TOGETHER = 3 << 20
+TOGETHER = 2 << 20
+#: Characters of filtered words that a worker keeps for the texts to come. Chances are the same without.
+KNOWN = 3 << 20
 SPACE = "▁"
 _WORD = re.compile("[ ]*[^ ]+|[ ]+")
 #: Words longer than this are filtered one by one instead of side by side, in blocks of that many characters.
@@ -45,6 +47,22 @@ def _uniform(keys: np.ndarray, turn: np.ndarray) -> np.ndarray:
     return ((z ^ z >> np.uint64(31)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
+def _portions(text_list: list[str]):
+    """Lists of (text, number of its first word, words) with about TOGETHER characters each."""
+    portion, size = [], 0
+    for d, text in enumerate(text_list):
+        found, n = (m[0] for m in _WORD.finditer(text)), 0
+        while words := list(islice(found, TOGETHER // 8)) if len(text) > TOGETHER else not n and _WORD.findall(text):
+            portion.append((d, n, words))
+            n += len(words)
+            size += sum(map(len, words))
+            if size >= TOGETHER:
+                yield portion
+                portion, size = [], 0
+    if portion:
+        yield portion
+
+
 class Lattice:
     def __init__(self, path: str):
         import sentencepiece
@@ -77,6 +95,7 @@ class Lattice:
         self.tables = [(np.array(sorted(x), np.uint64), np.array([x[h] for h in sorted(x)], np.int64)) for x in found]
         # What a character on its own weighs: as a piece, or else as bytes.
         self.alone = {ord(c): self.weight[i] for c, i in self.piece.items() if len(c) == 1}
+        self.forget()
 
     @classmethod
     def of(cls, path: str) -> Lattice:
@@ -116,10 +135,9 @@ class Lattice:
     def prepare(self, words: list[str]) -> tuple[np.ndarray, ...]:
         """Forward filtering of all words (longest first) side by side.
 
-        Returns (each word's last node, each node's place in its word, first arc of each node, ``summed``, the arcs'
-        lengths and ids, the characters). Nodes are characters; arcs are those that end at a node, id -1 is a
-        character's bytes. ``summed`` grows from a node's number to that plus one by the arcs' chances, so that one
-        search finds the arc for any node and draw.
+        Returns (each word's last node, each node's place in its word, number of arcs of each node, the arcs' cumulated
+        chances, lengths and ids, the characters). Nodes are characters; arcs are those that end at a node, shortest
+        first; id -1 is a character's bytes. A node's chances come from its word alone, whatever words stand beside it.
 
         Weights are taken relative to those of the characters alone. This multiplies all segmentations of a word by
         the same number. Sums are rescaled along a word with all that are still needed, which leaves chances as they are.
@@ -130,8 +148,8 @@ class Lattice:
         place = np.arange(len(chars)) - np.repeat(first, sizes)
         left = np.repeat(sizes, sizes) - place
         most = min(self.longest, int(sizes.max(initial=1)))
-        weight, ids = np.zeros((most + 1, len(chars))), np.full((most + 1, len(chars)), -1, np.int32)  # by length and last character
-        weight[1] = 1.0  # a character that is a piece, or its bytes
+        weight, ids = np.zeros((most + 1, len(chars))), np.full((most + 1, len(chars)), -2, np.int32)  # by length and last character
+        weight[1], ids[1] = 1.0, -1  # a character that is a piece, or its bytes
         for n, start, i, w in self._found(chars, left, most):
             ids[n, start + n - 1] = i
             weight[n, start + n - 1] = w
@@ -147,18 +165,36 @@ class Lattice:
                 w = weight[n, nodes]
                 if n <= p:
                     w = w * alpha[nodes - n]
-                weight[n, nodes] = w
                 total += w
+                weight[n, nodes] = total
             alpha[nodes] = sums[nodes] = total
-        mass = np.ascontiguousarray(weight[1:].T).ravel()
-        at = np.flatnonzero(mass)
-        end, mass = at // most, mass[at]
+        at = np.flatnonzero(np.ascontiguousarray(ids[1:].T).ravel() > -2)
+        end = at // most
         length = at - end * most + 1
-        arc = np.concatenate([[0], np.cumsum(np.bincount(end, minlength=len(chars)))])
-        share = np.cumsum(mass / sums[end])
-        share -= np.concatenate([[0.0], share])[arc[end]]
-        share[arc[1:] - 1] = 1.0
-        return first + sizes - 1, place, arc, np.minimum(share, 1.0) + end, length, ids.ravel()[length * len(chars) + end].astype(np.int64), chars
+        arcs = np.bincount(end, minlength=len(chars))
+        share = weight[length, end] / sums[end]
+        share[np.cumsum(arcs) - 1] = 1.0
+        return first + sizes - 1, place, arcs, share, length, ids[length, end], chars
+
+    def _learn(self, words: list[str]) -> None:
+        """Filter words (longest first) and keep what sampling needs beside that of the words before."""
+        if not words:
+            return
+        last, place, arcs, share, length, ids, chars = self.prepare(words)
+        self.known.update(zip(words, (last + self.kept).tolist(), strict=True))
+        first = self.first[-1] + np.cumsum(arcs)
+        new = (place, chars, share, length, ids)
+        self.first = np.concatenate([self.first, first])
+        self.nodes = [np.concatenate([old, x.astype(old.dtype)]) for old, x in zip(self.nodes, new[:2], strict=True)]
+        self.arcs = [np.concatenate([old, x.astype(old.dtype)]) for old, x in zip(self.arcs, new[2:], strict=True)]
+        self.kept += len(chars)
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}  # each word's last node
+        self.kept = 0
+        self.first = np.zeros(1, np.int64)  # first arc of each node
+        self.nodes = [np.zeros(0, np.int16), np.zeros(0, np.int32)]  # place, character
+        self.arcs = [np.zeros(0), np.zeros(0, np.int8), np.zeros(0, np.int32)]  # cumulated chance, length, id
 
     def sample_long(self, word: str, keys: np.ndarray) -> list[np.ndarray]:
         """Samples of one long word, by a key each. Only the logarithms of the forward sums are kept for the whole word;
@@ -223,37 +259,55 @@ class Lattice:
 
     def sample(self, text_list: list[str], keys: list[int], seed: int = SEED) -> list[np.ndarray]:
         """A sampled segmentation (ids) of each text, by its key and the seed alone."""
-        split = [_WORD.findall(text) for text in text_list]
-        ordered = sorted(set().union(*split), key=len, reverse=True)
-        if not ordered:
-            return [np.zeros(0, np.int64) for _ in text_list]
-        apart = next((i for i, w in enumerate(ordered) if len(w) <= LONG), len(ordered))
-        number = {w: i for i, w in enumerate(ordered)}
-        last, place, arc, summed, length, ids, chars = self.prepare(ordered[apart:])
+        out: list[list[np.ndarray]] = [[] for _ in text_list]
+        mixed = np.array([k & (1 << 64) - 1 for k in keys], np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed)
+        mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        for portion in _portions(text_list):
+            for (d, _, _), ids in zip(portion, self._sample(portion, mixed), strict=True):
+                out[d].append(ids)
+        return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
+
+    def _sample(self, portion: list[tuple[int, int, list[str]]], mixed: np.ndarray) -> list[np.ndarray]:
+        """Ids of each part (text, number of its first word, words) of a portion."""
+        split = [words for _, _, words in portion]
+        flat = list(chain.from_iterable(split))
+        own = set(flat)
+        long = {w: -1 - i for i, w in enumerate(w for w in own if len(w) > LONG)}
+        new = own - self.known.keys() - long.keys()
+        if sum(map(len, new)) + self.kept > KNOWN:
+            self.forget()
+            new = own - long.keys()
+        self._learn(sorted(new, key=len, reverse=True))
+        (place, chars), (share, length, ids), first = self.nodes, self.arcs, self.first
         counts = np.array([len(x) for x in split], np.int64)
-        word = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         doc = np.repeat(np.arange(len(split)), counts)
-        nth = np.arange(len(word)) - np.repeat(np.cumsum(counts) - counts, counts)
-        key = (np.array([k & (1 << 64) - 1 for k in keys], np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed))[doc]
-        key = (key ^ key >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93) + nth.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
-        live = np.argsort(word, kind="stable")  # equal words side by side look up the same places
-        one_by_one, live = np.split(live, [int((word < apart).sum()) if apart else 0])
-        node = last[word[live] - apart if apart else word[live]]
-        taken = np.zeros(len(word), np.int64)
+        last = np.fromiter(map((self.known | long if long else self.known).__getitem__, flat), np.int64, len(flat))
+        nth = np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts - np.array([n for _, n, _ in portion]), counts)
+        key = mixed[[d for d, _, _ in portion]][doc] + nth.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+        live = np.argsort(last, kind="stable")  # equal words side by side look up the same places
+        one_by_one, live = np.split(live, [int((last < 0).sum()) if long else 0])
+        node = last[live]
+        taken = np.zeros(len(flat), np.int64)
         got = []
         turn = 0
         while len(live):
             draw = _uniform(key[live], np.full(len(live), turn))
-            at = np.clip(np.searchsorted(summed, node + draw, "right"), arc[node], arc[node + 1] - 1)
+            at, low = first[node + 1] - 1, first[node]
+            high = np.flatnonzero((at > low) & (draw < share[np.maximum(at - 1, 0)]))  # the longest arc is the likeliest
+            while len(high):
+                at[high] -= 1
+                k = at[high]
+                high = high[(k > low[high]) & (draw[high] < share[np.maximum(k - 1, 0)])]
             got.append((live, ids[at], chars[node]))
             taken[live] += 1
-            more = place[node] >= length[at]
-            node = (node - length[at])[more]
+            step = length[at]
+            more = place[node] >= step
+            node = (node - step)[more]
             live = live[more]
             turn += 1
         # The pieces came from back to front.
         ends = np.cumsum(taken)
-        got_word = np.repeat(np.arange(len(word)), taken)
+        got_word = np.repeat(np.arange(len(flat)), taken)
         got_id, got_char = np.empty(len(got_word), np.int64), np.empty(len(got_word), np.int64)
         for turn, (who, i, c) in enumerate(got):
             at = ends[who] - 1 - turn
@@ -267,8 +321,8 @@ class Lattice:
             got_word, got_id = np.repeat(got_word, wide), flat
         if len(one_by_one):
             ids_of = []
-            for same in np.split(one_by_one, np.flatnonzero(np.diff(word[one_by_one])) + 1):
-                ids_of += self.sample_long(ordered[word[same[0]]], key[same])
+            for same in np.split(one_by_one, np.flatnonzero(np.diff(last[one_by_one])) + 1):
+                ids_of += self.sample_long(flat[same[0]], key[same])
             got_word = np.concatenate([got_word, np.repeat(one_by_one, [len(x) for x in ids_of])])
             order = np.argsort(got_word, kind="stable")
             got_word, got_id = got_word[order], np.concatenate([got_id, *ids_of])[order]
@@ -283,7 +337,8 @@ def sample_segmentations(docs: DataFrame, vocab: str, id_col: str = "doc_id", te
     """(id, ids, text): for each row a sampled segmentation as binary uint32 ids, and the text decoded from them.
 
     The sample depends on the row's id, its text and the seed, not on partitions or neighbours: a task that is run again
-    gives the same. Null texts count as empty (no pieces), a null id as -1. No row is shuffled.
+    gives the same, and so do rows that repeat. Null texts count as empty (no pieces), a null id as -1. No row is
+    shuffled; columns other than the two are ignored, whatever their names.
     """
 
     def run(batches):

@@ -632,6 +632,46 @@ def test_long_runs_follow_the_weights(lattice, monkeypatch, size, block):
     assert (abs(seen / n - chance) < 5 * (chance * (1 - chance) / n).clip(0) ** 0.5 + 3e-3).all()
 
 
+def test_a_words_chances_are_the_same_in_any_batch(lattice, monkeypatch):
+    """Bit by bit: alone, after many others, and after all were forgotten."""
+    random.seed(10)
+    others = ["".join(random.choice("abcdefghijklmnop éß漢") for _ in range(random.randint(1, 12))) for _ in range(20_000)]
+    text = "internationalisation " + "x" * 200 + "theandéing" * 20
+
+    def chances():
+        first = {w: lattice.known[w] for w in segment._WORD.findall(text)}
+        return [(w, lattice.arcs[0][lattice.first[n - len(w) + 1] : lattice.first[n + 1]].tobytes()) for w, n in first.items()]
+
+    lattice.forget()
+    alone = lattice.sample([text], [3])[0]
+    before = chances()
+    lattice.forget()
+    lattice.sample([" ".join(others)], [1])
+    assert (lattice.sample([*others[:50], text], [*range(50), 3])[-1] == alone).all() and chances() == before
+    monkeypatch.setattr(segment, "KNOWN", 300)
+    monkeypatch.setattr(segment, "TOGETHER", 100)
+    whole = " ".join([text, *others[:3000]])
+    parts = lattice.sample([whole], [3])[0]
+    monkeypatch.undo()
+    lattice.forget()
+    assert (lattice.sample([whole], [3])[0] == parts).all() and lattice.decode(parts) == whole
+
+
+def test_two_hundred_characters_follow_the_weights(lattice):
+    """The chance of each arc at the last node, against exact sums."""
+    word = ("theing" * 40)[:200]
+    alpha, arcs = [0.0], []  # logarithms
+    for b in range(1, 201):
+        ways = [(a, lattice.weight[lattice.piece[word[a:b]]] if word[a:b] in lattice.piece else segment.BYTE) for a in range(max(0, b - lattice.longest), b) if word[a:b] in lattice.piece or a == b - 1]
+        mass = [np.log(w) + alpha[a] for a, w in ways]
+        alpha.append(np.logaddexp.reduce(mass))
+        arcs = np.cumsum(np.exp(np.array(mass[::-1]) - alpha[-1]))
+    lattice.forget()
+    lattice.sample([word], [1])
+    n = lattice.known[word]
+    assert np.allclose(lattice.arcs[0][lattice.first[n] : lattice.first[n + 1]], arcs, rtol=1e-9)
+
+
 # The pipeline, and the queries.
 
 
