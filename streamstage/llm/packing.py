@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,19 @@ def fillings(counts: dict[int, int], first: int, capacity: int, waste: int):
             yield sorted(chosen + forced, reverse=True)
 
 
+def replaceable(chosen: list[int], outside: dict[int, int], gap: int) -> bool:
+    """Whether a piece of ``outside`` could stand for a smaller chosen one, or for several chosen ones of no larger sum,
+    and still fit: then the filling is dominated by the one with that piece, as what it stands for fits in its old place."""
+    single = several = 0
+    for x in chosen:
+        several |= several << x | single << x
+        single |= 1 << x
+    taken = several
+    for g in range(1, gap + 1):
+        taken |= several << g | single << g
+    return any(n and taken >> x & 1 for x, n in outside.items())
+
+
 def quick_filling(counts: dict[int, int], first: int, capacity: int) -> list[int]:
     """A full bin's filling, or else the fullest one, among the few that ``WIDE`` and ``FILLINGS`` allow: largest piece
     that fits first, and none smaller than one that ends a filling no fuller than the best, so that small pieces are
@@ -121,8 +135,9 @@ def lower_bound(histogram: dict[int, int], capacity: int) -> int:
 def fewer_bins(histogram: dict[int, int], capacity: int, bins: int, tries: int) -> tuple[list[tuple[list[int], int]] | None, int]:
     """(patterns that pack the histogram into ``bins`` bins, or None; tries left).
 
-    Depth first over bins, each around the largest length left, by all its undominated fillings. A filling is tried as
-    often as it goes, and then once, which leaves no packing out. None with tries left proves that there is none.
+    Depth first over bins, each around the largest length left, by all its undominated fillings whose waste leaves the
+    others room enough. A filling is tried as often as it goes, and then once, which leaves no packing out. None with
+    tries left proves that there is none.
     """
     start = {x: n for x, n in histogram.items() if n}
     path: list[tuple[list[int], int]] = []
@@ -132,6 +147,8 @@ def fewer_bins(histogram: dict[int, int], capacity: int, bins: int, tries: int)
         for rest in fillings(counts, max(counts), capacity, slack):
             pattern = [max(counts), *rest]
             waste = capacity - sum(pattern)
+            if replaceable(rest, {x: n - pattern.count(x) for x, n in counts.items()}, waste):
+                continue
             most = min(counts[x] // pattern.count(x) for x in set(pattern))
             most = min(most, slack // waste) if waste else most
             for times in (most, 1)[: 1 + (most > 1)]:
@@ -168,57 +185,71 @@ def fewer_bins(histogram: dict[int, int], capacity: int, bins: int, tries: int)
     return ([], tries) if not start else (None, tries)
 
 
-def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY, tries: int = TRIES) -> list[tuple[list[int], int]]:
-    """Patterns (lengths, largest first, and how many bins are filled so) that pack the whole histogram.
+@dataclass(frozen=True)
+class Packing:
+    """``patterns`` (lengths, largest first, and how many bins are filled so) of ``bins`` bins. There is none with fewer
+    than ``bound`` bins. ``tries`` fillings were searched; ``proved`` tells whether that, or the bound, rules out fewer bins."""
+
+    patterns: list[tuple[list[int], int]]
+    bins: int
+    bound: int
+    tries: int
+    proved: bool
+
+
+def greedy(histogram: dict[int, int], capacity: int, fill=None) -> list[tuple[list[int], int]]:
+    """A packing around the largest length left at a time, by best fit or by ``fill``. A pattern fills as many bins as the
+    counts allow, so the steps grow with the number of different lengths (capacity at most), not of pieces."""
+    counts = {k: v for k, v in histogram.items() if v}
+    lengths = sorted(counts)
+    out = []
+    while lengths:
+        first = lengths[-1]
+        rest: list[int] = []
+        if fill:
+            rest = fill(counts, first, capacity)
+        else:
+            room, left = capacity - first, dict(counts)
+            left[first] -= 1
+            while (at := bisect.bisect_right(lengths, room) - 1) >= 0:
+                while at >= 0 and not left[lengths[at]]:
+                    at -= 1
+                if at < 0:
+                    break
+                rest.append(lengths[at])
+                left[lengths[at]] -= 1
+                room -= lengths[at]
+        pattern = [first, *rest]
+        times = min(counts[x] // pattern.count(x) for x in set(pattern))
+        out.append((pattern, times))
+        for x in set(pattern):
+            counts[x] -= times * pattern.count(x)
+            if not counts[x]:
+                del counts[x]
+                lengths.pop(bisect.bisect_left(lengths, x))
+    return out
+
+
+def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY, tries: int = TRIES) -> Packing:
+    """A packing of the whole histogram by branch and bound over bins.
 
-    Around the largest length left, a filling is taken. A pattern fills as many bins as the counts allow, so the steps
-    grow with the number of different lengths (capacity at most), not with the number of pieces. While the best packing by
-    best fit, quick fillings and the fullest fillings is above the lower bound, all undominated fillings of all bins are
-    searched for a packing with one bin less. The result has the fewest bins there are, unless ``tries`` end the search.
+    Best fit gives the incumbent; where it is above the lower bound, so do quick fillings and the fullest ones. At the
+    root, an incumbent on the bound ends the search. Else the undominated fillings of all bins are searched for a packing
+    with one bin less than the incumbent, which takes its place, until there is none (the incumbent is proved to be best)
+    or ``tries`` fillings are tried (then bins - bound is the most that it can be above the best).
     """
-
-    def pack(fill=None):
-        counts = {k: v for k, v in histogram.items() if v}
-        lengths = sorted(counts)
-        out = []
-        while lengths:
-            first = lengths[-1]
-            rest: list[int] = []
-            if fill:
-                rest = fill(counts, first, capacity)
-            else:
-                room, left = capacity - first, dict(counts)
-                left[first] -= 1
-                while (at := bisect.bisect_right(lengths, room) - 1) >= 0:
-                    while at >= 0 and not left[lengths[at]]:
-                        at -= 1
-                    if at < 0:
-                        break
-                    rest.append(lengths[at])
-                    left[lengths[at]] -= 1
-                    room -= lengths[at]
-            pattern = [first, *rest]
-            times = min(counts[x] // pattern.count(x) for x in set(pattern))
-            out.append((pattern, times))
-            for x in set(pattern):
-                counts[x] -= times * pattern.count(x)
-                if not counts[x]:
-                    del counts[x]
-                    lengths.pop(bisect.bisect_left(lengths, x))
-        return out
-
-    bound = lower_bound(histogram, capacity)
     number = lambda p: sum(n for _, n in p)
-    best = pack()
+    bound, left = lower_bound(histogram, capacity), tries
+    best = greedy(histogram, capacity)
     for fill in (quick_filling, lambda *bin: next(fillings(*bin, capacity))):
         if number(best) > bound:
-            best = min(pack(fill), best, key=number)
+            best = min(greedy(histogram, capacity, fill), best, key=number)
     while number(best) > bound:
-        found, tries = fewer_bins(histogram, capacity, number(best) - 1, tries)
+        found, left = fewer_bins(histogram, capacity, number(best) - 1, left)
         if found is None:
             break
         best = found
-    return best
+    return Packing(best, number(best), bound, tries - left, number(best) == bound or left > 0)
 
 
 def placements(patterns: list[tuple[list[int], int]]) -> dict[int, np.ndarray]:
@@ -259,11 +290,13 @@ def pieces(docs: DataFrame, vocab: str, capacity: int = CAPACITY, end_id: int =
 
 def pack(docs: DataFrame, vocab: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """Pieces of all texts with sequence_id and offset: sequences of at most ``capacity`` ids, as few as can be found.
+    Beside them, alike in all rows: ``sequences`` (how many), ``least_sequences`` (there can't be fewer), ``fillings_tried``
+    and ``proved`` (no packing has fewer), see bin_completion.
 
     The driver sees only the histogram of lengths by salt, of at most ``capacity`` x ``salts`` rows whatever the input.
     Pieces of one length are interchangeable: each gets a rank among them (its salt's first rank plus its place within
     the salt), and the rank gives its bin. Rows that repeat an id are packed as documents of their own; an empty table
-    gives an empty result.
+    gives an empty result; columns of ``docs`` other than the two are ignored, whatever their names.
     """
     spark = docs.sparkSession
     cut_pieces = cut(pieces(docs, vocab, capacity, 0, id_col, text_col).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int")))
@@ -273,7 +306,8 @@ def pack(docs: DataFrame, vocab: str, capacity: int = CAPACITY, id_col: str = "d
     for row in sorted(found):
         first[row["length"], row["salt"]] = histogram.get(row["length"], 0)
         histogram[row["length"]] = histogram.get(row["length"], 0) + row["count"]
-    plan = spark.sparkContext.broadcast((first, placements(bin_completion(histogram, capacity))))
+    best = bin_completion(histogram, capacity)
+    plan = spark.sparkContext.broadcast((first, placements(best.patterns)))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
     def place(batches):
@@ -296,4 +330,5 @@ def pack(docs: DataFrame, vocab: str, capacity: int = CAPACITY, id_col: str = "d
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(bins), pa.array(offsets)], schema=schema_of(schema))
 
     dealt = cut_pieces.repartition("length", "salt").sortWithinPartitions("length", "salt", "doc_id", "piece", "ids_crc32")
-    return dealt.mapInArrow(place, schema).withColumnRenamed("doc_id", id_col)
+    told = {"sequences": F.lit(best.bins).cast("long"), "least_sequences": F.lit(best.bound).cast("long"), "fillings_tried": F.lit(best.tries).cast("long"), "proved": F.lit(best.proved)}
+    return dealt.mapInArrow(place, schema).withColumnRenamed("doc_id", id_col).withColumns(told)

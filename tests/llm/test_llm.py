@@ -126,7 +126,7 @@ def test_packing_is_valid_and_close_to_best():
     worse = 0
     for _ in range(60):
         lengths = [random.randint(1, 20) for _ in range(random.randint(1, 11))]
-        plan = packing.bin_completion(Counter(lengths), 20)
+        plan = packing.bin_completion(Counter(lengths), 20).patterns
         assert all(sum(p) <= 20 for p, _ in plan) and Counter(x for p, n in plan for _ in range(n) for x in p) == Counter(lengths)
         worse += sum(n for _, n in plan) - best_packing(lengths, 20)
     assert worse <= 2
@@ -134,8 +134,8 @@ def test_packing_is_valid_and_close_to_best():
 
 def test_completion_beats_best_fit():
     histogram = {6: 2, 5: 2, 4: 2, 3: 2, 2: 2}  # two bins of 20 hold all; greedy filling finds it too, or completion does
-    assert sum(n for _, n in packing.bin_completion(histogram, 20)) == 2
-    assert sum(n for _, n in packing.bin_completion({7: 2, 6: 2, 5: 1, 4: 3, 3: 3}, 13)) == best_packing([7, 7, 6, 6, 5, 4, 4, 4, 3, 3, 3], 13)
+    assert packing.bin_completion(histogram, 20).bins == 2
+    assert packing.bin_completion({7: 2, 6: 2, 5: 1, 4: 3, 3: 3}, 13).bins == best_packing([7, 7, 6, 6, 5, 4, 4, 4, 3, 3, 3], 13)
 
 
 def test_fillings_are_all_undominated_ones():
@@ -151,17 +151,37 @@ def test_fillings_are_all_undominated_ones():
 
 
 def test_packing_is_best_in_small_cases():
-    assert sum(n for _, n in packing.bin_completion(Counter([10, 9, 7, 5, 5, 4]), 20)) == 2
+    assert packing.bin_completion(Counter([10, 9, 7, 5, 5, 4]), 20).bins == 2
     random.seed(9)
     for k in range(400):
         room = random.choice([10, 20, 37])
         lengths = [random.randint(1, room) if k % 2 else random.randint(room // 6 + 1, room // 2) for _ in range(random.randint(1, 11))]
-        plan = packing.bin_completion(Counter(lengths), room)
+        plan = packing.bin_completion(Counter(lengths), room).patterns
         assert all(sum(p) <= room for p, _ in plan) and Counter(x for p, n in plan for _ in range(n) for x in p) == Counter(lengths)
         best = best_packing(lengths, room)
         assert packing.lower_bound(Counter(lengths), room) <= best == sum(n for _, n in plan)
 
 
+def test_search_proves_or_improves_the_incumbent():
+    """Up to ten pieces in bins of 100: never above the best, by search where best fit misses it."""
+    random.seed(11)
+    improved = 0
+    cases = [[41, 30, 50, 38, 42, 11, 26, 45, 11]] + [[random.randint(10, 60) for _ in range(random.randint(6, 10))] for _ in range(1500)]
+    for lengths in cases:
+        found, best = packing.bin_completion(Counter(lengths), 100), best_packing(lengths, 100)
+        assert found.proved and found.bins == best >= found.bound
+        improved += sum(n for _, n in packing.greedy(Counter(lengths), 100)) > best
+    assert improved > 20
+    # With no fillings to try, the gap to the bound is told.
+    hard = Counter([41, 30, 50, 38, 42, 11, 26, 45, 11, 44, 47, 33, 32, 31])
+    assert not packing.bin_completion(hard, 100, 0).proved or packing.bin_completion(hard, 100, 0).bins == packing.lower_bound(hard, 100)
+
+
+def test_dominance_by_replacement():
+    assert packing.replaceable([5, 4], {6: 1}, 1) and packing.replaceable([5, 4], {9: 1}, 0) and packing.replaceable([5, 4], {10: 1}, 1)
+    assert not packing.replaceable([5, 4], {5: 1, 4: 2, 7: 0}, 0) and not packing.replaceable([5, 4], {8: 1}, 0) and not packing.replaceable([], {3: 1}, 0)
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
@@ -191,6 +211,7 @@ def test_pack(spark, odd, nothing, tokenizer):
         own.sort()
         assert [a for a, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))] and sum(n for _, n in own) <= 2048
     assert len(held) <= -(-sum(r.length for r in rows) // 2048) + 1
+    assert {(r.sequences, r.least_sequences, r.proved) for r in rows} == {(len(held), len(held), True)}
     assert packing.pack(nothing, queries.VOCABULARY).count() == 0
 
 
