@@ -11,6 +11,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,11 @@ BLOCK = 576
 #: Texts are padded with this byte to a positive multiple of UNIT.
 PAD, UNIT = b" ", 192
 LPC_ORDER, LPC_BITS = 4, 8
-#: Bytes of samples that are coded side by side.
+#: Bytes of samples that are coded side by side, and the frames with so many.
 SIDE_BY_SIDE = 2 << 20
+SLAB = SIDE_BY_SIDE // BLOCK
+#: Most bytes of seek points in one metadata block.
+SEEK_BYTES = 18 * 900_000
 # Fixed values of the format: predictors by order, block size codes.
 FIXED = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]]
 BLOCK_CODES = {1: 192, **{i: 144 << i for i in range(2, 6)}, **{i: 1 << i for i in range(8, 16)}}
@@ -180,11 +184,8 @@ def _subframes(x: np.ndarray) -> list[bytes]:
     return out
 
 
-def encode_flac(payloads: list[bytes], rate: int = 8000) -> list[bytes]:
-    """A FLAC stream for each payload of at least one byte; byte b is the sample b - 128."""
-    if not payloads:
-        return []
-    cuts = [(i, at, min(BLOCK, len(p) - at)) for i, p in enumerate(payloads) for at in range(0, len(p), BLOCK)]
+def _frames(payloads: list[bytes], cuts: list[tuple[int, int, int]]) -> list[bytes]:
+    """The frames of cuts (payload, first sample, samples)."""
     bodies: list[bytes] = [b""] * len(cuts)
     for n in {c[2] for c in cuts}:
         own = [j for j, c in enumerate(cuts) if c[2] == n]
@@ -196,24 +197,40 @@ def encode_flac(payloads: list[bytes], rate: int = 8000) -> list[bytes]:
     for (_, at, n), body in zip(cuts, bodies, strict=True):
         head = bytes([0xFF, 0xF8, codes.get(n, 7) << 4 | 4, 0 << 4 | 1 << 1]) + _number(at // BLOCK) + (b"" if n in codes else struct.pack(">H", n - 1))
         frames.append(head + bytes([crc8(head)]) + body)
-    frames = [f + struct.pack(">H", c) for f, c in zip(frames, crc16(frames).tolist(), strict=True)]
-    parts: list[list[tuple[int, int, bytes]]] = [[] for _ in payloads]
-    for (i, at, n), f in zip(cuts, frames, strict=True):
-        parts[i].append((at, n, f))
+    return [f + struct.pack(">H", c) for f, c in zip(frames, crc16(frames).tolist(), strict=True)]
+
+
+def encode_flac(payloads: list[bytes], rate: int = 8000) -> list[bytes]:
+    """A FLAC stream for each payload of at least one byte; byte b is the sample b - 128. At most SLAB frames are coded
+    at a time, so that memory beside payloads and streams is bounded. Seek points beyond SEEK_BYTES (payloads of over
+    half a GB) go on in further seek tables, which only this reader joins."""
+    cuts = ((i, at, min(BLOCK, len(p) - at)) for i, p in enumerate(payloads) for at in range(0, len(p), BLOCK))
+    bodies, seek, least, most = ([bytearray() for _ in payloads], [bytearray() for _ in payloads], [1 << 24] * len(payloads), [0] * len(payloads))
+    while slab := list(islice(cuts, SLAB)):
+        for (i, at, n), f in zip(slab, _frames(payloads, slab), strict=True):
+            seek[i] += struct.pack(">QQH", at, len(bodies[i]), n)
+            bodies[i] += f
+            least[i], most[i] = min(least[i], len(f)), max(most[i], len(f))
     out = []
-    for p, own in zip(payloads, parts, strict=True):
-        sizes = [len(f) for _, _, f in own]
-        signed = (np.frombuffer(p, np.uint8) - np.uint8(128)).tobytes()
-        info = struct.pack(">HH", BLOCK, BLOCK) + min(sizes).to_bytes(3, "big") + max(sizes).to_bytes(3, "big") + (rate << 44 | 0 << 41 | 7 << 36 | len(p)).to_bytes(8, "big") + hashlib.md5(signed).digest()
-        seek, place = [], 0
-        for at, n, f in own:
-            seek.append(struct.pack(">QQH", at, place, n))
-            place += len(f)
-        table = b"".join(seek)
-        out.append(b"fLaC" + bytes([0]) + len(info).to_bytes(3, "big") + info + bytes([0x83]) + len(table).to_bytes(3, "big") + table + b"".join(f for _, _, f in own))
+    for i, p in enumerate(payloads):
+        info = struct.pack(">HH", BLOCK, BLOCK) + least[i].to_bytes(3, "big") + most[i].to_bytes(3, "big") + (rate << 44 | 0 << 41 | 7 << 36 | len(p)).to_bytes(8, "big") + _md5(p).digest()
+        head, table = b"fLaC" + bytes([0]) + len(info).to_bytes(3, "big") + info, b""
+        for at in range(0, len(seek[i]), SEEK_BYTES):  # a block's length has 24 bits
+            part = bytes(seek[i][at : at + SEEK_BYTES])
+            table += bytes([0x83 if at + SEEK_BYTES >= len(seek[i]) else 0x03]) + len(part).to_bytes(3, "big") + part
+        out.append(b"".join((head, table, bodies[i])))
+        bodies[i] = seek[i] = bytearray()
     return out
 
 
+def _md5(pcm: bytes, so_far=None):
+    """The MD5 of signed samples, carried on from ``so_far``."""
+    so_far = so_far or hashlib.md5()
+    for at in range(0, len(pcm), SIDE_BY_SIDE):
+        so_far.update((np.frombuffer(pcm[at : at + SIDE_BY_SIDE], np.uint8) - np.uint8(128)).tobytes())
+    return so_far
+
+
 def _index(stream: bytes) -> tuple[int, bytes, list[tuple[int, int, int, int]]]:
     """(samples, md5, [(first sample, samples, begin, end)] of the frames) by the metadata."""
     if stream[:4] != b"fLaC":
@@ -222,7 +239,7 @@ def _index(stream: bytes) -> tuple[int, bytes, list[tuple[int, int, int, int]]]:
     while not last:
         last, kind, size = bool(stream[at] & 0x80), stream[at] & 0x7F, int.from_bytes(stream[at + 1 : at + 4], "big")
         body = stream[at + 4 : at + 4 + size]
-        info, points = body if kind == 0 else info, body if kind == 3 else points
+        info, points = body if kind == 0 else info, points + body if kind == 3 else points
         at += 4 + size
     told = int.from_bytes(info[10:18], "big")
     if told >> 36 & 0x1F != 7 or told >> 41 & 7:
@@ -354,73 +371,122 @@ def _decode(frames: list[bytes], skip: list[int], n: int) -> np.ndarray:
     return x
 
 
+def read_blocks(streams: list[bytes], ranges: list[tuple[int, int]] | None = None) -> Iterator[tuple[int, int, bytes]]:
+    """(stream, offset of the first sample, PCM): blocks of each stream in order, found by the seek table; with ``ranges``
+    (first sample, samples), only these samples, from the frames that hold them. At most SLAB frames are decoded at a
+    time, a stream's next to each other as one block.
+
+    Each frame must have both its CRCs right and the number that its place in the stream asks for; a stream read whole,
+    the MD5 of its samples.
+    """
+
+    def jobs():
+        for i, s in enumerate(streams):
+            total, _, index = _index(s)
+            first, n = ranges[i] if ranges else (0, total)
+            for k, (x_first, x_n, begin, end) in enumerate(index):
+                if x_first < first + n and x_first + x_n > first:
+                    yield i, k, x_first, x_n, s[begin:end], max(first - x_first, 0), min(first + n - x_first, x_n)
+
+    sums: dict = {}
+    todo = jobs()
+    while slab := list(islice(todo, SLAB)):
+        frames = [j[4] for j in slab]
+        if any(crc16(frames).tolist()):
+            raise Damaged("a frame's CRC-16 is wrong")
+        heads = [_head(f) for f in frames]
+        if any(h[1] != j[1] for h, j in zip(heads, slab, strict=True)):
+            raise Damaged("a frame stands where another should")
+        if any(h[0] != j[3] for h, j in zip(heads, slab, strict=True)):
+            raise Damaged("the seek table and a frame disagree")
+        pcm: list[bytes] = [b""] * len(slab)
+        for size in {h[0] for h in heads}:
+            own = [j for j, h in enumerate(heads) if h[0] == size]
+            x = _decode([frames[j] for j in own], [heads[j][2] for j in own], size)
+            for j, row in zip(own, (x + 128).astype(np.uint8), strict=True):
+                pcm[j] = row.tobytes()[slab[j][5] : slab[j][6]]
+        for i, group in groupby(range(len(slab)), lambda j: slab[j][0]):
+            own = list(group)
+            block = b"".join(pcm[j] for j in own)
+            if not ranges:
+                sums[i] = _md5(block, sums.get(i))
+                if slab[own[-1]][2] + slab[own[-1]][3] == _index(streams[i])[0] and sums.pop(i).digest() != _index(streams[i])[1]:
+                    raise Damaged("the samples' MD5 is wrong")
+            yield i, slab[own[0]][2] + slab[own[0]][5], block
+
+
 def decode_flac(streams: list[bytes], ranges: list[tuple[int, int]] | None = None) -> list[bytes]:
-    """Each stream's payload; with ``ranges`` (first sample, samples), only these samples, from the frames that hold them."""
-    jobs, out = [], []
-    for i, s in enumerate(streams):
-        total, md5, index = _index(s)
-        first, n = ranges[i] if ranges else (0, total)
-        own = [x for x in index if x[0] < first + n and x[0] + x[1] > first]
-        out.append((md5 if (first, n) == (0, total) else None, first - own[0][0] if own else 0, n, len(own)))
-        jobs += [(s[begin:end], x_first, x_n) for x_first, x_n, begin, end in own]
-    if any(crc16([f for f, _, _ in jobs]).tolist()):
-        raise Damaged("a frame's CRC-16 is wrong")
-    heads = [_head(f) for f, _, _ in jobs]
-    blocks: list[bytes] = [b""] * len(jobs)
-    for size in {h[0] for h in heads}:
-        own = [j for j, h in enumerate(heads) if h[0] == size]
-        x = _decode([jobs[j][0] for j in own], [heads[j][2] for j in own], size)
-        for j, row in zip(own, (x + 128).astype(np.uint8), strict=True):
-            if jobs[j][2] != size:
-                raise Damaged("the seek table and a frame disagree")
-            blocks[j] = row.tobytes()
-    done, at = [], 0
-    for md5, skip, n, frames in out:
-        payload = b"".join(blocks[at : at + frames])[skip : skip + n]
-        at += frames
-        if md5 is not None and hashlib.md5((np.frombuffer(payload, np.uint8) - np.uint8(128)).tobytes()).digest() != md5:
-            raise Damaged("the samples' MD5 is wrong")
-        done.append(payload)
-    return done
+    """Each stream's payload; with ``ranges`` (first sample, samples), only these samples, see read_blocks."""
+    out: list[list[bytes]] = [[] for _ in streams]
+    for i, _, block in read_blocks(streams, ranges):
+        out[i].append(block)
+    return [b"".join(x) for x in out]
 
 
 def payload_of(text: str) -> bytes:
-    raw = text.encode("utf-8")
+    return padded(text.encode("utf-8"))
+
+
+def padded(raw: bytes) -> bytes:
     return raw + PAD * (max(1, -(-len(raw) // UNIT)) * UNIT - len(raw))
 
 
-def feature(payload: bytes) -> str:
-    """energy:zero crossings:peak of the samples."""
-    x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
-    return f"{int((x * x).sum())}:{int(((x[1:] < 0) != (x[:-1] < 0)).sum())}:{int(np.abs(x).max(initial=0))}"
+class Reading:
+    """What is told of a payload, from its PCM blocks one after another: digests, last bytes, energy, zero crossings, peak."""
+
+    def __init__(self):
+        self.size, self.sha, self.tail, self.energy, self.crossings, self.peak, self.last = 0, hashlib.sha256(), b"", 0, 0, 0, None
+
+    def add(self, offset: int, pcm: bytes) -> None:
+        if offset != self.size:
+            raise Damaged("blocks out of order")
+        self.size += len(pcm)
+        self.sha.update(pcm)
+        self.tail = (self.tail + pcm[-16:])[-16:]
+        for at in range(0, len(pcm), SIDE_BY_SIDE):
+            x = np.frombuffer(pcm[at : at + SIDE_BY_SIDE], np.uint8).astype(np.int32) - 128
+            sign = x < 0
+            self.energy += int((x * x).sum(dtype=np.int64))
+            self.crossings += int((sign[1:] != sign[:-1]).sum()) + int(self.last is not None and self.last != bool(sign[0]))
+            self.peak = max(self.peak, int(np.abs(x).max()))
+            self.last = bool(sign[-1])
+
+    def feature(self) -> str:
+        """energy:zero crossings:peak of the samples."""
+        return f"{self.energy}:{self.crossings}:{self.peak}"
 
 
 def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, media): every text's payload as a FLAC stream. Null texts count as empty."""
+    """(id, n_bytes, media): every text's payload as a FLAC stream. Null texts count as empty; rows that repeat give a row
+    each; columns other than the two are ignored, whatever their names."""
 
     def encode(batches):
         for batch in chunks(batches, "__text", SIDE_BY_SIDE):
-            rows = texts(batch, "__text")
-            n = [len(x.encode("utf-8")) for x in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(encode_flac([payload_of(x) for x in rows]), pa.binary())], schema=schema_of("id long, n_bytes long, media binary"))
+            raw = [x.encode("utf-8") for x in texts(batch, "__text")]
+            n = [len(x) for x in raw]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(encode_flac([padded(x) for x in raw]), pa.binary())], schema=schema_of("id long, n_bytes long, media binary"))
 
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
     return rows.mapInArrow(encode, "id long, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
-def _decoded(batches: Iterator[pa.RecordBatch]):
+def _read(batches: Iterator[pa.RecordBatch]):
+    """(batch, streams, their blocks) of batches with a column media."""
     for batch in chunks(batches, "media", SIDE_BY_SIDE):
         media = batch.column(batch.schema.get_field_index("media")).to_pylist()
-        yield batch, media, decode_flac(media)
+        yield batch, media, read_blocks(media)
 
 
 def media_report(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Reads the streams back: sizes, digests and features of payload and stored form."""
+    """Reads the streams back block by block: sizes, digests and features of payload and stored form."""
     ddl = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def read(batches):
-        for batch, stored, payloads in _decoded(batches):
-            rows = [(len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(p)) for m, p in zip(stored, payloads, strict=True)]
+        for batch, stored, blocks in _read(batches):
+            got = [Reading() for _ in stored]
+            for i, offset, pcm in blocks:
+                got[i].add(offset, pcm)
+            rows = [(r.size, r.sha.hexdigest(), zlib.crc32(r.tail), len(m), hashlib.sha256(m).hexdigest(), r.feature()) for m, r in zip(stored, got, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema_of(ddl).types[2:], strict=True)]], schema=schema_of(ddl))
 
     return media.select(F.col(id_col).alias("id"), "n_bytes", "media").mapInArrow(read, ddl).withColumnRenamed("id", id_col)
@@ -431,8 +497,26 @@ def pcm_blocks(media: DataFrame, samples: int = 4096, id_col: str = "doc_id") ->
     ddl = "id long, block long, sample_offset long, n_samples long, pcm binary"
 
     def read(batches):
-        for batch, _, payloads in _decoded(batches):
-            rows = [(i, k, at, len(p[at : at + samples]), p[at : at + samples]) for i, p in zip(batch.column(0).to_pylist(), payloads, strict=True) for k, at in enumerate(range(0, len(p), samples))]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema_of(ddl).types, strict=True)], schema=schema_of(ddl))
+        for batch, _, blocks in _read(batches):
+            ids = batch.column(0).to_pylist()
+            rows = []
+            for i, parts in groupby(blocks, lambda x: x[0]):
+                held, begin, last = b"", 0, False
+                for _, _, pcm in chain(parts, [(i, 0, None)]):
+                    last, held = pcm is None, held + (pcm or b"")
+                    whole = len(held) if last else len(held) // samples * samples
+                    for at in range(0, whole, samples):
+                        cut = held[at : min(at + samples, whole)]
+                        rows.append((ids[i], (begin + at) // samples, begin + at, len(cut), cut))
+                        if len(rows) * samples >= SIDE_BY_SIDE:
+                            yield _table_of(rows, ddl)
+                            rows = []
+                    held, begin = held[whole:], begin + whole
+            if rows:
+                yield _table_of(rows, ddl)
 
     return media.select(F.col(id_col).alias("id"), "media").mapInArrow(read, ddl).withColumnRenamed("id", id_col)
+
+
+def _table_of(rows: list[tuple], ddl: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema_of(ddl).types, strict=True)], schema=schema_of(ddl))

@@ -70,6 +70,63 @@ def test_flac_damage_is_seen(at):
         media.decode_flac([bytes(stream)])
 
 
+def test_frames_out_of_place_are_seen():
+    """Two frames of one size in each other's place: all CRCs are right, in any range."""
+    for n in range(40):
+        payload = bytes((i * 7 + i // 576 * n) % 5 + 60 for i in range(576 * 6))
+        stream = media.encode_flac([payload])[0]
+        index = media._index(stream)[2]
+        same = [(a, b) for a, b in combinations(index, 2) if a[3] - a[2] == b[3] - b[2] and stream[a[2] : a[3]] != stream[b[2] : b[3]]]
+        if same:
+            break
+    (a, b), turned = same[0], bytearray(stream)
+    turned[a[2] : a[3]], turned[b[2] : b[3]] = stream[b[2] : b[3]], stream[a[2] : a[3]]
+    for ranges in (None, [(a[0], 10)], [(b[0] + 500, 10)]):
+        with pytest.raises(media.Damaged, match="stands where another should"):
+            media.decode_flac([bytes(turned)], ranges)
+
+
+def test_flac_in_slabs(monkeypatch):
+    random.seed(21)
+    made = [bytes(random.choices(range(100, 120), k=n)) for n in (192, 5760, 576 * 25 + 192, 384, 40_000 // 192 * 192)]
+    whole = media.encode_flac(made)
+    monkeypatch.setattr(media, "SLAB", 7)
+    assert media.encode_flac(made) == whole
+    blocks = list(media.read_blocks(whole))
+    assert [b"".join(b for j, _, b in blocks if j == i) for i in range(5)] == made and max(len(b) for *_, b in blocks) <= 7 * 576
+    seen = [0] * 5
+    told = [media.Reading() for _ in made]
+    for i, offset, block in blocks:
+        assert offset == seen[i]
+        seen[i] += len(block)
+        told[i].add(offset, block)
+    for r, p in zip(told, made, strict=True):
+        x = np.frombuffer(p, np.uint8).astype(int) - 128
+        assert r.feature() == f"{(x * x).sum()}:{((x[1:] < 0) != (x[:-1] < 0)).sum()}:{abs(x).max()}" and r.sha.hexdigest() == hashlib.sha256(p).hexdigest() and r.tail == p[-16:]
+    monkeypatch.setattr(media, "SEEK_BYTES", 18 * 4)  # more than one seek table
+    assert media.decode_flac(media.encode_flac(made)) == made
+
+
+def test_a_long_text_takes_bounded_memory():
+    """Beside the payload and the stream, far less than the payload's size."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, sys
+from streamstage.llm import media
+p = b"some words and more of it, " * (32 << 20 >> 5)
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1e3
+media.decode_flac(media.encode_flac([p[:4 << 20]]))
+before, size = peak(), len(p) // 192 * 192
+stream = media.encode_flac([p[:size]])
+n = sum(len(b) for _, _, b in media.read_blocks(stream))
+assert n == size
+print(peak() - before)
+"""
+    assert float(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 250
+
+
 def test_flac_reads_fixed_orders_and_partitions():
     """A frame as other encoders write it: order 2, two partitions, one of them escaped."""
     x = np.array([(i * 3 + i * i // 40) % 100 - 50 for i in range(192)])
