@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,11 +17,13 @@ CHUNK_BYTES = 8 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where none is set (tests), a temporary one."""
+    """The folder that driver and executors share. Only where none is set and all run on this machine (tests), a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
         if not found:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="streamstage-"))
             found = spark.sparkContext.getCheckpointDir()
     elif not spark.sparkContext.getCheckpointDir():

@@ -21,7 +21,7 @@ BASE, RATE, LAST = 1.001, 20.0, (1 << 16) - 2
 #: Standard deviations below the threshold at which an estimate still sends a pair to verification.
 MARGIN = 6.0
 #: A bucket's members are compared with each other in blocks of at most so many members and so many shingles.
-BLOCK_NODES, BLOCK_SHINGLES = 512, 1 << 21
+BLOCK_NODES, BLOCK_SHINGLES = 4096, 1 << 22
 SALTS = 64
 #: Bits of the filter that keeps texts out of a shuffle.
 FILTER_BITS = 1 << 26
@@ -340,7 +340,19 @@ def near_groups(docs: DataFrame, k: int = 5, least: int = 80, id_col: str = "doc
 
 
 def near_dedup(docs: DataFrame, k: int = 5, least: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, the one with the smallest id; all columns as they were."""
+    """One document of each group, the one with the smallest id; all columns as they were. Rows without an id stay.
+
+    Where ids repeat, rows (not ids) are what is compared, so that a row never goes for what another of its id says; of
+    a group's rows with the smallest id, one stays.
+    """
     who = fresh(docs, "__gone")
-    gone = near_groups(docs, k, least, id_col, text_col).where("NOT kept").select(F.col(id_col).alias(who)).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col(who)), "left_anti")
+    if docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
+        gone = near_groups(docs, k, least, id_col, text_col).where("NOT kept").select(F.col(id_col).alias(who)).distinct()
+        return docs.join(gone, F.col(id_col).eqNullSafe(F.col(who)), "left_anti")
+    row = fresh(docs, "__row")
+    numbered = cut(docs.withColumn(row, F.when(F.col(id_col).isNotNull(), F.monotonically_increasing_id())))
+    grouped = near_groups(numbered, k, least, row, text_col).where(F.col(row).isNotNull())
+    grouped = grouped.join(numbered.select(row, F.col(id_col).alias(who)), row).select(row, who, "component_id")
+    stays = grouped.groupBy("component_id").agg(F.min(F.struct(who, row)).alias("least")).select(F.col(f"least.{row}").alias(who))
+    gone = grouped.select(row).join(stays, F.col(row) == F.col(who), "left_anti").withColumnRenamed(row, who)
+    return numbered.join(gone, F.col(row) == F.col(who), "left_anti").drop(row)

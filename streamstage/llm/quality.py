@@ -70,31 +70,20 @@ def features(text: str) -> list[float]:
     ]
 
 
-def with_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, features) of every row; null texts count as empty."""
-
-    def compute(batches):
-        for batch in chunks(batches, "__text"):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(x) for x in texts(batch, "__text")], pa.list_(pa.float64()))], schema=schema_of("id long, features array<double>"))
-
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    return rows.mapInArrow(compute, "id long, features array<double>").withColumnRenamed("id", id_col)
-
-
 class Model:
-    """A linear score on the features, moved so that ``THRESHOLD`` stands at the chosen quantile of training scores."""
+    """A linear score on the features, moved so that ``THRESHOLD`` stands at ``cut``, the ``quantile`` of training scores."""
 
-    def __init__(self, weights: np.ndarray, cut: float, slope: float):
-        self.weights, self.cut, self.slope = weights, cut, slope
+    def __init__(self, weights: np.ndarray, cut: float, quantile: float):
+        self.weights, self.cut, self.quantile = weights, cut, quantile
 
-    def score(self, features: str) -> Column:
-        """0 to 1, as column expressions."""
-        parts = [F.lit(float(w)) * F.col(features)[i] for i, w in enumerate(self.weights)]
-        raw = parts[0]
-        for p in parts[1:]:
-            raw = raw + p
-        z = F.lit(self.slope) * (raw - F.lit(self.cut)) + F.lit(math.log(THRESHOLD / (1 - THRESHOLD)))
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))
+    def score(self, rows: list[list[float]]) -> np.ndarray:
+        """0 to 1 for each row of features; added feature by feature, so that no row's score depends on others."""
+        x = np.array(rows, np.float64).reshape(-1, len(FEATURES))
+        raw = np.zeros(len(x))
+        for i, w in enumerate(self.weights):
+            raw += w * x[:, i]
+        z = np.clip(raw - self.cut + math.log(THRESHOLD / (1 - THRESHOLD)), -30, 30)
+        return 1 / (1 + np.exp(-z))
 
 
 def preference_pairs(good: int, bad: int, per_row: int = PAIRS) -> tuple[np.ndarray, np.ndarray]:
@@ -107,11 +96,11 @@ def preference_pairs(good: int, bad: int, per_row: int = PAIRS) -> tuple[np.ndar
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> Model:
     """Bradley-Terry: a pair's preferred text wins with probability sigmoid(score difference); Newton's method on the
-    logistic loss of feature differences. The cut is the quantile of the scores that parts the classes with the fewest
-    mistakes. With one class only, every text gets that class."""
+    logistic loss of feature differences. The cut is a quantile of the training scores: that which parts the classes with
+    the fewest mistakes (the middle one of equally good ones). With one class only, every text gets that class."""
     if not len(y) or y.min() == y.max():
         label = float(y[0]) if len(y) else 1.0
-        return Model(np.zeros(x.shape[1] if x.ndim == 2 and len(x) else len(FEATURES)), -1.0 if label else 1.0, 1.0)
+        return Model(np.zeros(x.shape[1] if x.ndim == 2 and len(x) else len(FEATURES)), -1.0 if label else 1.0, 1.0 - label)
     good, bad = x[y == 1], x[y == 0]
     a, b = preference_pairs(len(good), len(bad))
     d = good[a] - bad[b]
@@ -135,40 +124,56 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> Model:
     k = int(ks[len(ks) // 2])
     low, high = ranked[max(k - 1, 0)], ranked[min(k, len(s) - 1)]
     quantile_cut = (low + high) / 2 if 0 < k < len(s) else (low - 1e-9 if k == 0 else high + 1e-9)
-    return Model(w, float(quantile_cut), 1.0)
+    return Model(w, float(quantile_cut), k / len(s))
 
 
 def crc_remainder(id_col: str) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4))
 
 
-def train(features: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """Fit on labelled rows of the training folds: ``sample`` rows at most, of the lowest hashes of their ids.
 
     A bound on the hash, by the number of rows, leaves about a tenth more than ``sample`` before they are ordered, so that
-    what tasks send to the driver doesn't grow with their number.
+    what tasks send to the driver doesn't grow with their number. The ``sample`` labels left are sent to all tasks; only
+    their texts are looked at, and no text is shuffled.
     """
-    known = labels.where(F.col(label_col).isin(0, 1) & (crc_remainder(id_col) != 2)).select(F.col(id_col), F.col(label_col).cast("int").alias("__label"), F.pmod(F.xxhash64(id_col), F.lit(1 << 40)).alias("h"))
+    i, label, h = (fresh(docs, x) for x in ("__i", "__label", "__h"))
+    known = labels.where(F.col(label_col).isin(0, 1) & (crc_remainder(id_col) != 2)).select(F.col(id_col).cast("long").alias(i), F.col(label_col).cast("int").alias(label), F.pmod(F.xxhash64(id_col), F.lit(1 << 40)).alias(h))
     n = known.count()
-    low = known.where(F.col("h") < int(min(1.0, 1.1 * sample / max(n, 1)) * (1 << 40)))
-    rows = low.join(features.select(id_col, "features"), id_col).select("h", F.col(id_col).alias("i"), "features", "__label")
-    found = rows.orderBy("h", "i", "__label", "features").limit(sample).collect()
-    return fit(np.array([r["features"] for r in found]).reshape(-1, len(FEATURES)), np.array([r["__label"] for r in found]))
+    low = known.where(F.col(h) < int(min(1.0, 1.1 * sample / max(n, 1)) * (1 << 40))).orderBy(h, i, label).limit(sample)
+    rows = docs.join(F.broadcast(cut(low)), F.col(id_col).cast("long") == F.col(i)).select(F.struct(h, i, label).alias("k"), F.col(text_col).cast("string").alias("t"))
+
+    def compute(batches):
+        for batch in chunks(batches, "t"):
+            yield pa.RecordBatch.from_arrays([*batch.column(0).flatten(), pa.array([features(x) for x in texts(batch, "t")], pa.list_(pa.float64()))], schema=schema_of("h long, i long, label int, features array<double>"))
+
+    found = rows.mapInArrow(compute, "h long, i long, label int, features array<double>").orderBy("h", "i", "label", "features").limit(sample).collect()
+    return fit(np.array([r["features"] for r in found]).reshape(-1, len(FEATURES)), np.array([r["label"] for r in found]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, held_out, score, predicted. Labels are read from the training folds only (rows of which
     the crc32 of the id as text leaves not 2 by 4); a null id is not held out. Null texts count as empty and get a score
-    like any other; without labels every text is taken as good."""
-    found = cut(with_features(docs, id_col, text_col))
-    model = train(found, labels, id_col=id_col)
-    scored = found.select(id_col, F.coalesce(crc_remainder(id_col) == 2, F.lit(False)).alias("held_out"), model.score("features").alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    like any other; without labels every text is taken as good. Rows that repeat get the same; nothing is shuffled."""
+    model = train(docs, labels, id_col=id_col, text_col=text_col)
+
+    def compute(batches):
+        for batch in chunks(batches, "__text"):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score([features(x) for x in texts(batch, "__text")]))], schema=schema_of("id long, score double"))
+
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
+    scored = rows.mapInArrow(compute, "id long, score double").withColumnRenamed("id", id_col)
+    return scored.select(id_col, F.coalesce(crc_remainder(id_col) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that count as good, all columns as they were. Rows with one id share one text's fate only if
-    all of them are good."""
-    who = fresh(docs, "__bad")
-    bad = quality_scores(docs, labels, id_col, text_col).where("predicted = 0").select(F.col(id_col).alias(who)).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col(who)), "left_anti")
+    """The rows of ``docs`` that count as good, all columns as they were. Each row's own text decides, whatever other
+    rows share its id; rows are passed through, not joined."""
+    model = train(docs, labels, id_col=id_col, text_col=text_col)
+
+    def compute(batches):
+        for batch in chunks(batches, text_col):
+            yield batch.filter(pa.array(model.score([features(x) for x in texts(batch, text_col)]) >= THRESHOLD))
+
+    return docs.mapInArrow(compute, docs.schema)

@@ -306,6 +306,15 @@ def test_quality_of_odd_rows(spark, odd, labels, nothing):
     assert quality.quality_scores(nothing, labels).count() == 0
 
 
+def test_rows_that_share_an_id_are_judged_apart(spark, labels):
+    good = " ".join(r.text for r in spark.read.parquet(f"{SF}/documents.parquet").join(labels.where("quality = 1"), "doc_id").orderBy("doc_id").limit(1).collect())
+    bad = "$$# @@ || buy!!! <{}> " * 30
+    d = spark.createDataFrame([(1, good), (1, bad), (2, good), (None, bad), (None, good), (3, None)], "doc_id long, text string")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select((F.col("doc_id") + 10).alias("doc_id"), "text").union(d)
+    kept = quality.keep_good(docs, labels.withColumn("doc_id", F.col("doc_id") + 10)).where("doc_id IS NULL OR doc_id < 3").collect()
+    assert Counter((r.doc_id, r.text == good) for r in kept) == Counter([(1, True), (2, True), (None, True)])
+
+
 # 4. WARC.
 
 
@@ -610,6 +619,25 @@ def test_near_groups_of_odd_rows(spark, odd, docs, nothing):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_groups(docs, 4).collect()} == near_truth(rows, 4)
 
 
+def test_near_dedup_of_repeated_ids(spark):
+    """A row never goes for what another row of its id says."""
+    random.seed(14)
+    words = [f"w{i}" for i in range(200)]
+    text = lambda: " ".join(random.choice(words) for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(5, a + " end"), (5, b), (3, a), (4, c), (4, c), (9, b + " end"), (None, a), (None, a), (6, None), (6, None)]
+    kept = minhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(tuple(r) for r in kept) == Counter([(5, b), (3, a), (4, c), (None, a), (None, a), (6, None), (6, None)])
+
+
+@pytest.mark.parametrize("salts", [1, 32])
+def test_components_of_a_hub(spark, salts, monkeypatch):
+    monkeypatch.setattr(graph, "SALTS", salts)
+    edges = [(1000, i) for i in range(300)] + [(i, i + 400) for i in range(0, 300, 3)] + [(5000, 5001), (5001, 5001)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: 0 for e in edges[:-2] for x in e} | {5000: 5000, 5001: 5000}
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(5)
     x = rng.integers(0, 1 << 63, 4000).astype(np.uint64)
