@@ -25,14 +25,18 @@ def _checked(path: str) -> PipelineSpec:
 
 
 def _events(spark, spec: PipelineSpec):
+    """The source's events as records of the first stage's input."""
     from pyspark.sql import functions as F
 
+    from streamstage.plans.engine import first_input
     from streamstage.sources.files import open_source
 
     if spec.source is None:
         raise SpecError("the file has no `source:` to run from")
     df = open_source(spark, spec.source.kind, spec.source.params)
-    return df.withColumn("seq", F.col("bench_seq")) if "bench_seq" in df.columns else df
+    if "bench_seq" in df.columns and "seq" not in df.columns:
+        df = df.withColumn("seq", F.col("bench_seq"))
+    return first_input(spec, df)
 
 
 def main(args: list[str] | None = None) -> int:
@@ -43,6 +47,7 @@ def main(args: list[str] | None = None) -> int:
         one.add_argument("--config", default="pipeline.yaml")
         one.add_argument("--log-dir", default="logs")
         one.add_argument("--mode", choices=["contract", "wire"], default="contract")
+        one.add_argument("--seconds", type=int, default=None, help="stop a stream after so long; without, it runs until what it reads ends")
     told = parser.parse_args(args)
     try:
         if told.command == "clean":
@@ -59,11 +64,18 @@ def main(args: list[str] | None = None) -> int:
             return 0
         from streamstage.plans.engine import compile_pipeline
 
-        done = compile_pipeline(spec, _events(_session(), spec), told.mode)
+        events = _events(_session(), spec)
         if told.command == "build":
-            done.explain("formatted")
+            compile_pipeline(spec, events, told.mode).explain("formatted")
+        elif events.isStreaming:
+            from streamstage.streaming.runner import run_stream
+
+            once = spec.source.kind not in ("rate", "socket")  # these have no end that could be reached
+            query = run_stream(spec, events, f"{told.log_dir}/events", f"{told.log_dir}/checkpoint", told.mode, once=once)
+            if not query.awaitTermination(told.seconds) and told.seconds is not None:
+                query.stop()
         else:
-            done.write.mode("overwrite").parquet(f"{told.log_dir}/events")
+            compile_pipeline(spec, events, told.mode).write.mode("overwrite").parquet(f"{told.log_dir}/events")
         return 0
     except (SpecError, ValueError, FileNotFoundError) as e:
         print(f"error: {e}", file=sys.stderr)

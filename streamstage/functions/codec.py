@@ -76,6 +76,16 @@ def read_as(df: DataFrame, into: Record, keep: tuple[str, ...] = ()) -> DataFram
     return df.select(*keep, *[(F.col(f.name) if f.name in have else blank(f)).alias(f.name) for f in into.fields])
 
 
+def typed(df: DataFrame, record: Record, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of ``record`` from a source that has them already; an error if a required one is absent. Nulls in
+    required columns become defaults."""
+    lacking = [f.name for f in record.fields if not f.optional and f.name not in df.columns]
+    if lacking:
+        raise ValueError(f"the source has no {', '.join(lacking)} (it has {', '.join(df.columns)}); give `columns:` or a `payload` of JSON")
+    value = lambda f: F.col(f.name).cast(f.spark) if f.optional else F.coalesce(F.col(f.name).cast(f.spark), F.expr(f"cast({DEFAULTS[f.kind]} as {f.spark.simpleString()})"))
+    return read_as(df.select(*keep, *[value(f).alias(f.name) for f in record.fields if f.name in df.columns]), record, keep)
+
+
 def append_hop(hops: str, stage: str, enter: Column, exit_: Column) -> Column:
     """The hop list with one more hop."""
     hop = F.struct(F.lit(stage).alias("stage"), enter.alias("enter_ts"), exit_.alias("exit_ts"))

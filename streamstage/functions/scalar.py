@@ -36,12 +36,15 @@ def hmac_sha256(message: Column, key: bytes) -> Column:
 
 
 def blake3(text: Column) -> Column:
-    """BLAKE3 in hex: no built-in function has it, so texts go to Python in Arrow batches."""
+    """BLAKE3 in hex: no built-in function has it, so texts go to Python in Arrow batches, each hashed side by side."""
     @F.pandas_udf("string")
     def hashed(texts: pd.Series) -> pd.Series:
-        from streamstage.functions.blake3 import blake3_hex
+        from streamstage.functions.blake3 import blake3_hexes
 
-        return texts.map(lambda x: None if x is None else blake3_hex(x.encode("utf-8")))
+        known = texts.notna()
+        out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+        out[known] = blake3_hexes([x.encode("utf-8") for x in texts[known].tolist()])
+        return out
 
     return hashed(text)
 

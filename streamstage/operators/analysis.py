@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamstage.operators.ranking import positions
+from streamstage.operators.keyed import recurrence
+from streamstage.operators.ranking import linear_quantiles, positions, running_sum
 from streamstage.operators.telemetry import gap_rows, hop_rows
 
 
@@ -21,21 +22,24 @@ def bin_center(t: Column, width: float) -> Column:
 
 
 def bin_latency(rows: DataFrame, width: float) -> DataFrame:
-    """(t_s, kind, edge, n, p50, p95): quantiles by linear interpolation per time bin."""
+    """(t_s, kind, edge, n, p50, p95): quantiles by linear interpolation per time bin; a bin's distinct values are held
+    together, so bins are to be narrow."""
     return rows.groupBy(bin_center(F.col("recv_ts"), width).alias("t_s"), "kind", "edge").agg(
         F.count(F.lit(1)).alias("n"), F.percentile("latency_ms", 0.5).alias("p50"), F.percentile("latency_ms", 0.95).alias("p95")
     )
 
 
-def per_second_quantiles(df: DataFrame, t: str, value: str, seconds: int | None = None) -> DataFrame:
-    """(second, p50, p99, p999) for each second of a fixed grid; null where nothing falls, later values in the last.
-    Without ``seconds``, the grid has as many as the largest ``t``, rounded (half to even), 1 at least."""
-    if seconds is None:
-        count = df.agg(F.greatest(F.bround(F.max(t), 0).cast("long"), F.lit(1).cast("long")).alias("__n"))
-        df, last = df.crossJoin(F.broadcast(count)), F.col("__n") - 1
-        grid = count.select(F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("second"))
-    else:
-        last, grid = F.lit(seconds - 1), df.sparkSession.range(seconds).select(F.col("id").alias("second"))
+def whole_seconds(df: DataFrame, t: str) -> DataFrame:
+    """One row ``__n``: the largest ``t`` of all rows, rounded (half to even), 1 at least."""
+    return df.agg(F.greatest(F.bround(F.max(t), 0).cast("long"), F.lit(1).cast("long")).alias("__n"))
+
+
+def per_second_quantiles(df: DataFrame, t: str, value: str) -> DataFrame:
+    """(second, p50, p99, p999) for each second up to the largest ``t``, rounded (half to even), 1 at least; null where
+    nothing falls, later values in the last. A second's distinct values are held together."""
+    count = whole_seconds(df, t)
+    df, last = df.crossJoin(F.broadcast(count)), F.col("__n") - 1
+    grid = count.select(F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("second"))
     placed = df.groupBy(F.least(F.floor(F.col(t)), last).alias("second")).agg(
         *[F.percentile(value, p).alias(n) for n, p in (("p50", 0.5), ("p99", 0.99), ("p999", 0.999))]
     )
@@ -58,23 +62,39 @@ def first_and_rest(df: DataFrame, group: list[str], order: list[str]) -> DataFra
 
 def group_stats(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """n, mean, median, p95, p99, min, max and sample deviation."""
-    return df.groupBy(*group).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.percentile(value, 0.95).alias("p95"),
-        F.percentile(value, 0.99).alias("p99"), F.min(value).alias("min"), F.max(value).alias("max"), F.stddev_samp(value).alias("std"),
-    )
+    sums = df.groupBy(*group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), F.stddev_samp(value).alias("std"))
+    ranks = linear_quantiles(df, value, {"median": 0.5, "p95": 0.95, "p99": 0.99}, group)
+    on = F.lit(True)
+    for g in group:
+        on = on & sums[g].eqNullSafe(ranks[g])
+    return sums.join(ranks, on, "left").select(*[sums[g] for g in group], "n", "mean", "median", "p95", "p99", "min", "max", "std")
 
 
 def pivot_ratio(df: DataFrame, row: str, column: str, value: str, columns: tuple[str, str]) -> DataFrame:
     """Medians of ``value`` by row, one column for each of two kinds, and the second over the first."""
-    wide = df.groupBy(row).pivot(column, list(columns)).agg(F.percentile(value, 0.5))
+    medians = linear_quantiles(df.where(F.col(column).isin(*columns)), value, {"__m": 0.5}, [row, column])
+    wide = medians.groupBy(row).pivot(column, list(columns)).agg(F.first("__m"))
     return wide.select(row, *columns, F.try_divide(columns[1], columns[0]).alias("ratio"))
 
 
-def decomposition(df: DataFrame, mode: str, stage: str, value: str) -> DataFrame:
-    """(mode, stage, median, baseline, residual): medians above the least of their mode, 0 at least."""
-    medians = df.groupBy(mode, stage).agg(F.greatest(F.coalesce(F.percentile(value, 0.5), F.lit(0.0)), F.lit(0.0)).alias("median"))
-    base = F.min("median").over(Window.partitionBy(mode))
-    return medians.withColumn("baseline", base).withColumn("residual", F.greatest(F.col("median") - base, F.lit(0.0)))
+def decomposition(df: DataFrame, mode: str, stage: str, total: str, compiling: str, preparing: str, compiled: str = "JIT") -> DataFrame:
+    """(mode, stage, median, compile, prepare, baseline, residual): what the medians of starts are made of.
+
+    In mode ``compiled``, the medians of compiling and preparing are parts of their own, and what is left (0 at least)
+    is baseline and residual; in others the whole start is. The baseline is the least rest of the mode's stages, up to
+    the stage's own rest; the residual is what the rest has over it.
+    """
+    first, *more = [linear_quantiles(df, c, {c: 0.5}, [mode, stage]) for c in (total, compiling, preparing)]
+    for other in more:
+        first = first.join(other, [mode, stage], "left")
+    part = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    rest = F.when(F.col(mode) == compiled, F.greatest(F.col(total) - part(compiling) - part(preparing), F.lit(0.0))).otherwise(F.col(total))
+    base = F.min("__rest").over(Window.partitionBy(mode))
+    out = first.withColumn("__rest", rest).withColumn("__base", base)
+    return out.select(
+        mode, stage, F.col(total).alias("median"), part(compiling).alias("compile"), part(preparing).alias("prepare"),
+        F.least("__rest", "__base").alias("baseline"), F.greatest(F.col("__rest") - F.col("__base"), F.lit(0.0)).alias("residual"),
+    )
 
 
 def preferred_order(name: Column, preferred: list[str]) -> tuple[Column, Column]:
@@ -98,19 +118,28 @@ def cdf_on_grid(df: DataFrame, run: str, value: str, grid: DataFrame) -> DataFra
     points = positions(df.select(run, F.col(value).alias("x")), ["x"], [run]).groupBy(run, "x").agg((F.max("rn") / F.max("n")).alias("hi"), (F.min("rn") / F.max("n")).alias("lo"))
     asked = df.select(run).distinct().crossJoin(F.broadcast(grid.select("x"))).select(run, "x", F.lit(None).cast("double").alias("hi"), F.lit(None).cast("double").alias("lo"), F.lit(1).alias("q"))
     both = points.select(run, "x", "hi", "lo", F.lit(0).alias("q")).unionByName(asked)
-    w = Window.partitionBy(run).orderBy("x", "q")
-    before, after = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    so_far = lambda *order: Window.partitionBy(run).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before, after = so_far("x", "q"), so_far(F.desc("x"), F.desc("q"))  # what comes after is what came before on the way down
     x0 = F.last(F.when(F.col("q") == 0, F.col("x")), True).over(before)
     y0 = F.last("hi", True).over(before)
-    x1 = F.first(F.when(F.col("q") == 0, F.col("x")), True).over(after)
-    y1 = F.first("lo", True).over(after)
+    x1 = F.last(F.when(F.col("q") == 0, F.col("x")), True).over(after)
+    y1 = F.last("lo", True).over(after)
     marked = both.withColumns({"x0": x0, "y0": y0, "x1": x1, "y1": y1}).where("q = 1")
     y = F.when(F.col("x0").isNull(), 0.0).when(F.col("x1").isNull(), F.when(F.col("x") > F.col("x0"), 1.0).otherwise(F.col("y0"))).when(F.col("x") == F.col("x0"), F.col("y0"))
     return marked.select(run, "x", y.otherwise(F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col("x") - F.col("x0")) / (F.col("x1") - F.col("x0"))).alias("y"))
 
 
+def log_grid(df: DataFrame, value: str, points: int = 1000, least: float = 0.01) -> DataFrame:
+    """(x): ``points`` values from the least (``least`` at least) to the largest of ``value``, evenly on a logarithmic
+    scale, both ends included."""
+    ends = df.agg(F.greatest(F.min(value), F.lit(least)).alias("lo"), F.max(value).alias("hi"))
+    i, lo, hi = F.col("id"), F.log10("lo"), F.log10("hi")
+    x = F.when(i == 0, F.col("lo")).when(i == points - 1, F.col("hi")).otherwise(F.pow(F.lit(10.0), lo + i * ((hi - lo) / (points - 1))))
+    return df.sparkSession.range(points).crossJoin(F.broadcast(ends)).select(x.alias("x"))
+
+
 def ensemble(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """Pointwise median, p10 and p90 over runs."""
+    """Pointwise median, p10 and p90 over runs (a value of each run is held together at a point)."""
     return rows.groupBy(x).agg(F.percentile(y, 0.5).alias("median"), F.percentile(y, 0.1).alias("p10"), F.percentile(y, 0.9).alias("p90"))
 
 
@@ -123,17 +152,14 @@ def quantile_from_cdf(points: DataFrame, group: list[str], q: float) -> DataFram
     return first.select(*group, F.when(F.col("s.x0").isNull() | (F.col("s.y") == F.col("s.y0")), F.col("s.x")).otherwise(between).alias("x"))
 
 
-def step_series(events: DataFrame, duration: float | None = None, key: str = "stage") -> DataFrame:
-    """(key, t_s, until, c): the count after each event holds until the next; from (0, 0) to ``duration``, or else to the
-    largest time of all events. Compiling alone changes no count."""
+def step_series(events: DataFrame, key: str = "stage") -> DataFrame:
+    """(key, t_s, until, c): the count after each event holds until the next; from (0, 0) to the largest time of all
+    events. Compiling alone changes no count."""
     real = events.where("action <> 'init_jit'").select(key, "t_s", F.col("new_count").cast("long").alias("c"), "ord")
     zero = real.select(key).distinct().select(key, F.lit(0.0).alias("t_s"), F.lit(0).cast("long").alias("c"), F.lit(-1).cast("long").alias("ord"))
     w = Window.partitionBy(key).orderBy("t_s", "ord")
-    steps = real.unionByName(zero)
-    if duration is None:
-        steps = steps.crossJoin(F.broadcast(events.agg(F.max("t_s").alias("__end"))))
-        return steps.withColumn("until", F.coalesce(F.lead("t_s").over(w), "__end")).drop("ord", "__end")
-    return steps.withColumn("until", F.lead("t_s", 1, duration).over(w)).drop("ord")
+    steps = real.unionByName(zero).crossJoin(F.broadcast(events.agg(F.max("t_s").alias("__end"))))
+    return steps.withColumn("until", F.coalesce(F.lead("t_s").over(w), "__end")).drop("ord", "__end")
 
 
 def even_grid(df: DataFrame, t: str, points: int) -> DataFrame:
@@ -150,10 +176,10 @@ def step_resample(steps: DataFrame, grid: DataFrame, key: str = "stage") -> Data
     return known.select(key, "t_s", "c", "q").unionByName(asked).withColumn("c", F.last("c", True).over(w)).where("q = 1").drop("q")
 
 
-def replica_seconds(steps: DataFrame, duration: float, key: str = "stage") -> DataFrame:
-    """(key, replica_s, avg_replicas): the step function's integral; what ends before it begins counts as 0."""
+def replica_seconds(steps: DataFrame, key: str = "stage") -> DataFrame:
+    """(key, replica_s, duration, avg_replicas): the step function's integral, from 0 to where its last step ends."""
     area = F.sum(F.col("c") * F.greatest(F.col("until") - F.col("t_s"), F.lit(0.0)))
-    return steps.groupBy(key).agg(area.alias("replica_s")).withColumn("avg_replicas", F.col("replica_s") / duration)
+    return steps.groupBy(key).agg(area.alias("replica_s"), F.max("until").alias("duration")).withColumn("avg_replicas", F.try_divide("replica_s", "duration"))
 
 
 def savings(used: DataFrame, baseline: DataFrame, key: str = "stage") -> DataFrame:
@@ -164,13 +190,31 @@ def savings(used: DataFrame, baseline: DataFrame, key: str = "stage") -> DataFra
 
 def nearest_match(runs: DataFrame, logs: DataFrame, within: float, key: str, t: str = "t_s") -> DataFrame:
     """Each run (key, t_s) with the log (log_id, t_s) nearest in time, less than ``within`` away; of equally near ones the
-    earlier. Times are dealt into buckets of that width, so that only neighbours meet."""
+    earlier, then the smaller id.
+
+    Times are dealt into buckets of that width; each bucket knows the last log of the bucket before and the first of the
+    next, so that one sorted pass each way finds a run's neighbours, however crowded a bucket is.
+    """
     bucket = F.floor(F.col(t) / within)
-    left = runs.select(key, F.col(t).alias("run_t"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("__b"))
-    right = logs.select("log_id", F.col(t).alias("log_t"), bucket.alias("__b"))
-    away = F.abs(F.col("log_t") - F.col("run_t"))
-    near = left.join(right, "__b").where(away < within)
-    return near.groupBy(key, "run_t").agg(F.min_by(F.struct("log_id", "log_t"), F.struct(away, F.col("log_t"), F.col("log_id"))).alias("m")).select(key, "run_t", F.col("m.log_id").alias("log_id"), F.abs(F.col("m.log_t") - F.col("run_t")).alias("away"))
+    log = F.struct(F.col(t).alias("t"), F.col("log_id").alias("id"))
+    ends = logs.groupBy(bucket.alias("__b")).agg(F.min(log).alias("first"), F.max(F.struct(F.col(t).alias("t"), (-F.col("log_id")).alias("id"))).alias("last"))
+    # The last log is that of the largest time, and of these the one with the smallest id.
+    ends = ends.select("__b", "first", F.struct(F.col("last.t").alias("t"), (-F.col("last.id")).alias("id")).alias("last"))
+    kept = ["__b", F.col(t).alias("__t")]
+    given = logs.withColumn("__b", bucket).select(*kept, F.lit(None).cast(runs.schema[key].dataType).alias(key), log.alias("log"), F.lit(0).alias("__k"))
+    around = ends.select((F.col("__b") + 1).alias("__b"), F.col("last").alias("log")).unionByName(ends.select((F.col("__b") - 1).alias("__b"), F.col("first").alias("log")))
+    around = around.select("__b", F.col("log.t").alias("__t"), F.lit(None).cast(runs.schema[key].dataType).alias(key), "log", F.lit(0).alias("__k"))
+    asked = runs.withColumn("__b", bucket).select(*kept, key, F.lit(None).cast(given.schema["log"].dataType).alias("log"), F.lit(1).alias("__k"))
+    both = given.unionByName(around).unionByName(asked)
+    w = Window.partitionBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Of logs with equal times, the smallest id comes last on the way up, and on the way down.
+    up = F.last("log", True).over(Window.partitionBy("__b").orderBy("__t", "__k", F.desc("log.id")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    down = F.last("log", True).over(Window.partitionBy("__b").orderBy(F.desc("__t"), "__k", F.desc("log.id")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = both.withColumns({"__up": up, "__down": down}).where("__k = 1")
+    away = lambda c: F.abs(F.col(f"{c}.t") - F.col("__t"))
+    later = F.coalesce(away("__down") < away("__up"), F.col("__up").isNull())
+    nearest = found.withColumn("m", F.when(later, F.col("__down")).otherwise(F.col("__up"))).withColumn("away", away("m")).where(F.col("away") < within)
+    return nearest.select(key, F.col("__t").alias("run_t"), F.col("m.id").alias("log_id"), "away")
 
 
 def rates(df: DataFrame, t: str, total: str, key: str) -> DataFrame:
@@ -182,52 +226,65 @@ def rates(df: DataFrame, t: str, total: str, key: str) -> DataFrame:
 
 
 def per_second_from_total(df: DataFrame, t: str, total: str, key: str) -> DataFrame:
-    """(key, second, value): a running total at whole seconds, by linear interpolation, differenced.
+    """(key, second, value): a running total between whole seconds, by linear interpolation. Before a key's first point
+    the total is the first one's, after its last the last one's; seconds go up to the largest ``t`` of all keys, rounded.
 
     Each interval between two points knows the whole seconds in it; no grid is joined.
     """
-    w = Window.partitionBy(key).orderBy(t)
-    pairs = df.select(key, F.col(t).alias("t0"), F.col(total).alias("v0"), F.lead(t).over(w).alias("t1"), F.lead(total).over(w).alias("v1"))
-    inside = pairs.where("t1 > t0").withColumn("second", F.explode(F.expr("if(ceil(t0) < t1, sequence(ceil(t0), ceil(t1) - 1), cast(array() as array<bigint>))")))
-    at = inside.select(key, "second", (F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("second") - F.col("t0")) / (F.col("t1") - F.col("t0"))).alias("v"))
-    return at.select(key, "second", (F.col("v") - F.lag("v").over(Window.partitionBy(key).orderBy("second"))).alias("value")).where("value IS NOT NULL")
+    w = Window.partitionBy(key).orderBy("t", "v")
+    points = df.select(key, F.col(t).cast("double").alias("t"), F.col(total).cast("double").alias("v")).crossJoin(F.broadcast(whole_seconds(df, t)))
+    pairs = points.withColumns({"t1": F.lead("t").over(w), "v1": F.lead("v").over(w), "first": F.row_number().over(w) == 1})
+    seconds = lambda low, high: f"if({low} <= {high}, sequence({low}, {high}), cast(array() as array<bigint>))"
+    before = pairs.where("first").select(key, F.explode(F.expr(seconds("0L", "least(floor(t), __n)"))).alias("second"), "v")
+    after = pairs.where("t1 IS NULL").select(key, F.explode(F.expr(seconds("greatest(floor(t) + 1, 0L)", "__n"))).alias("second"), "v")
+    inside = pairs.where("t1 > t").select(key, F.explode(F.expr(seconds("greatest(floor(t) + 1, 0L)", "least(floor(t1), __n)"))).alias("second"), "t", "v", "t1", "v1")
+    inside = inside.select(key, "second", (F.col("v") + (F.col("second") - F.col("t")) / (F.col("t1") - F.col("t")) * (F.col("v1") - F.col("v"))).alias("v"))
+    at = before.unionByName(inside).unionByName(after)
+    step = F.lead("v").over(Window.partitionBy(key).orderBy("second")) - F.col("v")
+    return at.select(key, "second", step.alias("value")).where("value IS NOT NULL")
 
 
 def downsample(df: DataFrame, key: str, t: str, value: str, width: float) -> DataFrame:
     """(key, t, v, n): buckets that begin at their first point and end before the first point ``width`` later; means."""
-    points = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(t).cast("double").alias("t"), F.col(value).cast("double").alias("v")))).alias("l"))
-    bucket = "array<struct<a:double,st:double,sv:double,n:bigint>>"
-    new = "named_struct('a', x.t, 'st', x.t, 'sv', x.v, 'n', 1L)"
-    step = f"""if(size(b) = 0 or x.t >= element_at(b, -1).a + {width}D, array_append(b, {new}),
-        array_append(slice(b, 1, size(b) - 1), named_struct('a', element_at(b, -1).a, 'st', element_at(b, -1).st + x.t, 'sv', element_at(b, -1).sv + x.v, 'n', element_at(b, -1).n + 1L)))"""
-    folded = points.select(key, F.explode(F.expr(f"aggregate(l, cast(array() as {bucket}), (b, x) -> {step})")).alias("s"))
-    return folded.select(key, (F.col("s.st") / F.col("s.n")).alias("t"), (F.col("s.sv") / F.col("s.n")).alias("v"), F.col("s.n").alias("n"))
 
+    def fold():
+        held: list = []
 
-def latest_sum(df: DataFrame, key: str, t: str, value: str) -> DataFrame:
-    """``df`` with the sum over keys of each key's latest value, after each row in the order of ``t`` (a number, no two alike).
+        def end():
+            return [(held[1] / held[3], held[2] / held[3], held[3])] if held else []
 
-    Differences are summed within buckets of time, and buckets one after another, so that no task needs all rows.
-    """
+        def step(at, v):
+            done = end() if held and at >= held[0] + width else []
+            if done or not held:
+                held[:] = [at, 0.0, 0.0, 0]
+            held[1], held[2], held[3] = held[1] + at, held[2] + v, held[3] + 1
+            return done
+
+        return step, end
+
+    points = df.select(key, F.col(t).cast("double").alias("t"), F.col(value).cast("double").alias("v"))
+    return recurrence(points, key, "t", ["v"], "t double, v double, n bigint", fold)
+
+
+def latest_sum(df: DataFrame, key: str, t: str, value: str) -> DataFrame:
+    """``df`` with the sum over keys of each key's latest value, after each row in the order of ``t`` (no two alike): the
+    running sum of each key's differences."""
     own = Window.partitionBy(key).orderBy(t)
-    moved = df.withColumn("__d", F.col(value) - F.lag(value, 1, 0).over(own))
-    splits = moved.agg(F.percentile_approx(t, [i / 64 for i in range(1, 64)], 2000).alias("__s"))
-    dealt = moved.crossJoin(F.broadcast(splits)).withColumn("__b", F.size(F.filter("__s", lambda s: s < F.col(t)))).drop("__s")
-    sums = dealt.groupBy("__b").agg(F.sum("__d").alias("__in"))
-    sums = sums.select("__b", (F.sum("__in").over(Window.orderBy("__b")) - F.col("__in")).alias("__before"))  # 64 rows
-    inner = Window.partitionBy("__b").orderBy(t).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return dealt.withColumn("__run", F.sum("__d").over(inner)).join(F.broadcast(sums), "__b").withColumn("total", F.col("__before") + F.col("__run")).drop("__b", "__run", "__before", "__d")
+    return running_sum(df.withColumn("__d", F.col(value) - F.lag(value, 1, 0).over(own)), [t], "__d", "total").drop("__d")
 
 
 def running_count(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return df.withColumn("running", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
 
 
-def sweep_rows(stages: DataFrame, edges: DataFrame, runs: DataFrame, run: str = "offered") -> DataFrame:
-    """(run, compute_ms, transport_ms, sustained): sums of the stages' and of the edges' medians for each run."""
-    compute = stages.groupBy(run).agg(F.sum("p50").alias("compute_ms"))
-    transport = edges.groupBy(run).agg(F.sum("p50").alias("transport_ms"))
-    return runs.join(compute, run, "left").join(transport, run, "left")
+def sweep_rows(stages: DataFrame, edges: DataFrame, ingress: DataFrame, runs: DataFrame, run: str = "offered") -> DataFrame:
+    """``runs`` with what a run's latency is made of, at p50 and at p99: compute (the sum over its stages), transport
+    (over its edges) and ingress wait; 0 where a run has none. Each of the three has (run, p50, p99)."""
+    out = runs
+    for name, parts in (("compute", stages), ("transport", edges), ("ingress", ingress)):
+        sums = parts.groupBy(run).agg(*[F.sum(p).alias(f"{name}_{p}") for p in ("p50", "p99")])
+        out = out.join(sums, run, "left")
+    return out.fillna(0.0, [f"{name}_{p}" for name in ("compute", "transport", "ingress") for p in ("p50", "p99")])
 
 
 def knee(runs: DataFrame, offered: str = "offered", sustained: str = "sustained", share: float = 0.9) -> DataFrame:
@@ -244,7 +301,7 @@ def weighted_mean(df: DataFrame, group: list[str], value: str, weight: str) -> D
 
 def boxplot(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """(group, q1, median, q3, low, high, fliers): whiskers end at the last values within 1.5 quartile ranges."""
-    q = df.groupBy(*group).agg(F.percentile(value, 0.25).alias("q1"), F.percentile(value, 0.5).alias("median"), F.percentile(value, 0.75).alias("q3"))
+    q = linear_quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, group)
     v, reach = F.col(value), (F.col("q3") - F.col("q1")) * 1.5
     inside = (v >= F.col("q1") - reach) & (v <= F.col("q3") + reach)
     return df.join(q, group).groupBy(*group, "q1", "median", "q3").agg(F.min(F.when(inside, v)).alias("low"), F.max(F.when(inside, v)).alias("high"), F.sum((~inside).cast("long")).alias("fliers"))
@@ -255,16 +312,19 @@ def bootstrap_medians(df: DataFrame, group: list[str], value: str, draws: int =
     turns = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     u = (F.pmod(F.xxhash64("draw", F.lit(seed), *df.columns), F.lit(1 << 40)) / float(1 << 40))
     times = sum(((u > c).cast("int") for c in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015)), F.lit(0))
-    medians = turns.withColumn("__w", times).where("__w > 0").groupBy(*group, "draw").agg(F.expr(f"percentile({value}, 0.5, __w)").alias("m"))
+    medians = linear_quantiles(turns.withColumn("__n", times).where("__n > 0"), value, {"m": 0.5}, [*group, "draw"], "__n")
     return medians.groupBy(*group).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
 
 
 def gap_split(df: DataFrame, group: str, value: str) -> DataFrame:
-    """(group, split): geometric mean of the neighbours with the largest ratio among the sorted positive values."""
+    """(group, split): geometric mean of the neighbours with the largest ratio among the sorted values (the first of
+    equal ratios); for the ratio, the lower one counts as 1e-9 at least. 1 for fewer than two values."""
     w = Window.partitionBy(group).orderBy("v")
-    pairs = df.where(F.col(value) > 0).select(group, F.col(value).alias("v")).distinct().withColumn("u", F.lag("v").over(w)).where("u IS NOT NULL")
-    top = pairs.groupBy(group).agg(F.max_by(F.struct("u", "v"), F.struct(F.col("v") / F.col("u"), -F.col("v"))).alias("s"))
-    return top.select(group, F.sqrt(F.col("s.u") * F.col("s.v")).alias("split"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("__n"))
+    pairs = counts.withColumn("u", F.lag("v").over(w)).select(group, F.explode(F.array(F.struct("u", "v"), F.struct(F.when(F.col("__n") > 1, F.col("v")).alias("u"), "v"))).alias("s"))
+    ratio = F.when(F.col("s.u").isNotNull(), F.col("s.v") / F.greatest(F.col("s.u"), F.lit(1e-9)))
+    top = pairs.groupBy(group).agg(F.max_by("s", F.when(ratio.isNotNull(), F.struct(ratio, -F.col("s.v")))).alias("s"))
+    return top.select(group, F.coalesce(F.sqrt(F.col("s.u") * F.col("s.v")), F.lit(1.0)).alias("split"))
 
 
 def annotation(children: str, key: str) -> Column:
@@ -272,10 +332,14 @@ def annotation(children: str, key: str) -> Column:
     return F.expr(f"filter(transform({children}, c -> struct(c.name as name, try_cast(try_element_at(filter(c.annotations, a -> a.key = '{key}'), 1).value as double) as value)), x -> x.value > 0)")
 
 
-def chunk_quantiles(df: DataFrame, order: list[str], value: str, size: int) -> DataFrame:
-    """(chunk, n, p50, p99) of each ``size`` rows in a row."""
-    ranked = positions(df, order)
-    return ranked.groupBy(F.floor((F.col("rn") - 1) / size).alias("chunk")).agg(F.count(F.lit(1)).alias("n"), F.percentile(value, 0.5).alias("p50"), F.percentile(value, 0.99).alias("p99"))
+def chunk_quantiles(df: DataFrame, order: list[str], value: str, polls: DataFrame) -> DataFrame:
+    """(chunk, n, p50, p99): as many chunks of equal size as ``polls`` has rows, of rows in a row, one row at least; what
+    is left over after the last chunk belongs to none. A chunk's distinct values are held together."""
+    ranked = positions(df, order).crossJoin(F.broadcast(polls.agg(F.count(F.lit(1)).alias("__polls"))))
+    size = F.greatest(F.floor(F.col("n") / F.col("__polls")), F.lit(1))
+    chunk = F.floor((F.col("rn") - 1) / size)
+    placed = ranked.withColumn("chunk", chunk).where("chunk < __polls")
+    return placed.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.percentile(value, 0.5).alias("p50"), F.percentile(value, 0.99).alias("p99"))
 
 
 def zip_positions(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list[str], names: tuple[str, str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from streamstage.operators.keyed import recurrence
+
 
 def credit_grant(message: Column) -> Column:
     """Credits that a worker's message grants: its ``n_credits``; 1 for a message that has none or isn't JSON."""
@@ -21,29 +23,43 @@ def capacity_eps(rtt_us: Column, amortized: Column, work_us: Column) -> Column:
     return F.lit(1e6) / (rtt_us / amortized + work_us)
 
 
-def _fold(trace: DataFrame, key: str, item: list[str], start: str, step: str, finish: str, order: str) -> DataFrame:
-    listed = trace.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *item))).alias("__l"))
-    return listed.select(key, F.expr(f"aggregate(__l, {start}, (a, x) -> {step}, a -> {finish})").alias("__out"))
+def dispatch(trace: DataFrame, key: str = "stage", order: str = "tick", buffer: int = 5000, batch: int = 256) -> DataFrame:
+    """Events against credits, turn by turn: (key, dispatched, queued, waiting, idle_credits, purged, most_queued).
+
+    ``trace`` has arrivals, credits and lost (credits of workers that went) per turn. In a turn, up to ``batch`` events
+    leave, each for a credit; then credits come and those of lost workers are purged; then as many arrivals are taken as
+    the buffer has room for, the others wait where they come from, as nothing is polled from there; then up to ``batch``
+    events leave again. An event leaves only for a worker that is there, so none is lost with one.
+    """
 
+    def fold():
+        held = dict.fromkeys(("dispatched", "queued", "waiting", "idle_credits", "purged", "most_queued"), 0)
 
-def dispatch(trace: DataFrame, key: str = "stage", order: str = "tick", buffer: int = 5000) -> DataFrame:
-    """Events against credits in order: (key, dispatched, queued, idle_credits, refused, most_queued).
+        def leave():
+            n = min(held["queued"], held["idle_credits"], batch)
+            for name, change in (("dispatched", n), ("queued", -n), ("idle_credits", -n)):
+                held[name] += change
 
-    ``trace`` has arrivals and credits per tick. Each tick's arrivals join the queue as far as the buffer has room; then
-    as many leave as there are credits.
-    """
-    step = f"""named_struct(
-        'sent', a.sent + least(least(a.q + x.arrivals, {buffer}L), a.c + x.credits),
-        'q', least(a.q + x.arrivals, {buffer}L) - least(least(a.q + x.arrivals, {buffer}L), a.c + x.credits),
-        'c', a.c + x.credits - least(least(a.q + x.arrivals, {buffer}L), a.c + x.credits),
-        'lost', a.lost + greatest(a.q + x.arrivals - {buffer}L, 0L),
-        'top', greatest(a.top, least(a.q + x.arrivals, {buffer}L)))"""
-    out = _fold(trace, key, ["arrivals", "credits"], "named_struct('sent', 0L, 'q', 0L, 'c', 0L, 'lost', 0L, 'top', 0L)", step, "a", order)
-    return out.select(key, *[F.col(f"__out.{a}").alias(b) for a, b in (("sent", "dispatched"), ("q", "queued"), ("c", "idle_credits"), ("lost", "refused"), ("top", "most_queued"))])
+        def step(_, arrivals, credits, lost):
+            leave()
+            gone = min(held["idle_credits"] + credits, lost)
+            held["idle_credits"] += credits - gone
+            held["purged"] += gone
+            taken = min(held["waiting"] + arrivals, max(buffer - held["queued"], 0))
+            held["waiting"] += arrivals - taken
+            held["queued"] += taken
+            held["most_queued"] = max(held["most_queued"], held["queued"])
+            leave()
+            return ()
+
+        return step, lambda: [tuple(held.values())]
+
+    rows = trace.select(key, order, *[F.col(c).cast("long").alias(c) for c in ("arrivals", "credits", "lost")])
+    return recurrence(rows, key, order, ["arrivals", "credits", "lost"], "dispatched bigint, queued bigint, waiting bigint, idle_credits bigint, purged bigint, most_queued bigint", fold)
 
 
 def autoscale(trace: DataFrame, key: str = "stage", order: str = "tick", depth: str = "qd", queue_up: float = 50, queue_down: float = 0, up_ticks: int = 100, down_ticks: int = 5000, least: int = 0, most: int = 2, settle: int = 3) -> DataFrame:
-    """Votes on queue depths (whole numbers) in order: (key, replicas, ups, downs, cold_starts).
+    """Votes on queue depths (whole numbers) in order: (key, replicas, ups, downs, cold_starts, breaches).
 
     A depth above ``queue_up`` votes up and clears the votes down; one at or below ``queue_down`` does the reverse; any
     other takes one from both. Then the first of these rules that holds acts: surplus over ``most`` goes;
@@ -51,20 +67,33 @@ def autoscale(trace: DataFrame, key: str = "stage", order: str = "tick", depth:
     ticks since the last start add one; enough votes down take one and clear them. ``breaches`` counts the ticks at which a
     full stage would be reported as too slow.
     """
-    up = f"if(x.{depth} > {queue_up}, a.up + 1L, if(x.{depth} <= {queue_down}, 0L, greatest(a.up - 1L, 0L)))"
-    down = f"if(x.{depth} > {queue_up}, 0L, if(x.{depth} <= {queue_down}, a.down + 1L, greatest(a.down - 1L, 0L)))"
-    rule = f"""case when a.n > {most}L then 1 when a.n = 0 and x.{depth} > 0 and {most} > 0 then 2 when a.n < {least}L then 3
-        when {up} >= {up_ticks}L and a.since + 1L >= {settle}L and a.n < {most}L then 4 when {down} >= {down_ticks}L and a.n > {least}L then 5 else 0 end"""
-    breach = f"x.{depth} > {queue_up} and a.n >= {most}L and ({up} = greatest({up_ticks}L - 1L, 0L) or {up} = 0L)"
-    # One fold with the rule as part of the state: first the rule is found, then it acts.
-    step = f"""element_at(transform(array({rule}), r -> named_struct(
-        'n', case when r = 1 then {most}L when r in (2, 3, 4) then a.n + 1L when r = 5 then a.n - 1L else a.n end,
-        'up', case when r in (1, 2, 4) then 0L else {up} end, 'down', case when r = 1 then a.down when r = 5 then 0L else {down} end,
-        'since', if(r in (2, 3, 4), 0L, a.since + 1L), 'ups', a.ups + if(r in (2, 3, 4), 1L, 0L), 'downs', a.downs + case when r = 1 then a.n - {most}L when r = 5 then 1L else 0L end,
-        'colds', a.colds + if(r = 2, 1L, 0L), 'breaches', a.breaches + if(r in (0, 5) and {breach}, 1L, 0L))), 1)"""
-    start = f"named_struct('n', {least}L, 'up', 0L, 'down', 0L, 'since', 0L, 'ups', 0L, 'downs', 0L, 'colds', 0L, 'breaches', 0L)"
-    out = _fold(trace, key, [depth], start, step, "a", order)
-    return out.select(key, *[F.col(f"__out.{a}").alias(b) for a, b in (("n", "replicas"), ("ups", "ups"), ("downs", "downs"), ("colds", "cold_starts"), ("breaches", "breaches"))])
+
+    def fold():
+        n, up, down, since, ups, downs, colds, breaches = least, 0, 0, 0, 0, 0, 0, 0
+
+        def step(_, qd):
+            nonlocal n, up, down, since, ups, downs, colds, breaches
+            before = down
+            up, down = (up + 1, 0) if qd > queue_up else (0, down + 1) if qd <= queue_down else (max(up - 1, 0), max(down - 1, 0))
+            late, since = qd > queue_up and n >= most and up in (0, max(up_ticks - 1, 0)), since + 1
+            if n > most:
+                downs, n, up, down = downs + n - most, most, 0, before
+            elif n == 0 and qd > 0 and most > 0:
+                n, up, since, ups, colds = 1, 0, 0, ups + 1, colds + 1
+            elif n < least:
+                n, since, ups = n + 1, 0, ups + 1
+            elif up >= up_ticks and since >= settle and n < most:
+                n, up, since, ups = n + 1, 0, 0, ups + 1
+            else:
+                breaches += late
+                if down >= down_ticks and n > least:
+                    n, downs, down = n - 1, downs + 1, 0
+            return ()
+
+        return step, lambda: [(n, ups, downs, colds, breaches)]
+
+    rows = trace.select(key, order, F.col(depth).cast("long").alias("depth"))
+    return recurrence(rows, key, order, ["depth"], "replicas bigint, ups bigint, downs bigint, cold_starts bigint, breaches bigint", fold)
 
 
 def queue_series(trace: DataFrame, period_s: float = 1e-3) -> DataFrame:

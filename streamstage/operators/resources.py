@@ -8,6 +8,7 @@ import time
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def cpu_list(text: str) -> list[int]:
@@ -52,3 +53,8 @@ def environment(spark: SparkSession) -> DataFrame:
     memory = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") / 1e6
     facts = (platform.system(), platform.release(), platform.machine(), os.cpu_count() or 0, available_cpus(), memory, platform.python_version(), spark.version, spark.sparkContext.master, spark.sparkContext.defaultParallelism)
     return spark.createDataFrame([facts], "system string, release string, machine string, cpus int, available_cpus int, memory_mb double, python string, spark string, master string, parallelism int")
+
+
+def peaks(samples: DataFrame) -> DataFrame:
+    """One row: the largest cpu_pct and rss_mb, and how many samples there are."""
+    return samples.agg(F.max("cpu_pct").alias("peak_cpu"), F.max("rss_mb").alias("peak_rss"), F.count(F.lit(1)).alias("samples"))

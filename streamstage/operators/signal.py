@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from streamstage.operators.keyed import recurrence
+
 WINDOW = 256
 SIGMAS = 4.0
 EPSILON = 2.220446049250313e-16
@@ -68,13 +70,13 @@ def excess_kurtosis(value: str):
 
 
 def magnitudes(values):
-    """Magnitudes of bins 0..n/2-1 of a block's single-precision transform: Arrow batches of blocks."""
+    """Magnitudes of bins 0..n/2-1 of a block's transform: Arrow batches of blocks."""
     @F.pandas_udf("array<double>")
     def spectrum(blocks: pd.Series) -> pd.Series:
         if not len(blocks):
             return pd.Series([], dtype=object)
-        x = np.stack(blocks.to_numpy()).astype(np.float32)
-        return pd.Series(list(np.abs(np.fft.fft(x, axis=1)[:, : x.shape[1] // 2]).astype(np.float64)))
+        x = np.stack(blocks.to_numpy())
+        return pd.Series(list(np.abs(np.fft.fft(x, axis=1)[:, : x.shape[1] // 2])))
 
     return spectrum(values)
 
@@ -114,6 +116,14 @@ def featurize(df: DataFrame, size: int = WINDOW, key: str = "sensor_id", order:
 
 def ewma_int(df: DataFrame, value: str, key: str = "sensor_id", order: str = "seq", start: int = 100) -> DataFrame:
     """(key, n, ewma): whole numbers, each step (3 * before + value) / 4 rounded down."""
-    listed = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, F.col(value).cast("long").alias("v")))).alias("__l"))
-    fold = F.aggregate("__l", F.lit(start).cast("long"), lambda a, s: F.floor((F.lit(3) * a + s["v"]) / F.lit(4)).cast("long"))
-    return listed.select(key, F.size("__l").cast("long").alias("n"), fold.alias("ewma"))
+
+    def fold():
+        held = [0, start]
+
+        def step(_, v):
+            held[:] = held[0] + 1, (3 * held[1] + v) // 4
+            return ()
+
+        return step, lambda: [tuple(held)]
+
+    return recurrence(df.select(key, order, F.col(value).cast("long").alias("v")), key, order, ["v"], "n bigint, ewma bigint", fold)

@@ -75,12 +75,21 @@ def per_second(log: DataFrame) -> DataFrame:
 
 
 def throughput(log: DataFrame) -> DataFrame:
-    """One row: received, duration_s, sustained and warm events a second; warm leaves out min(5 s, a tenth) at each end."""
+    """One row: received, duration_s, sustained_eps, trim_s, warm_eps. Warm-up is the first min(5 s, a tenth); warm counts
+    the whole seconds from where it ends, over the time that is left (1 ms at least)."""
     ends = log.agg(F.min("recv_ts").alias("t0"), F.max("recv_ts").alias("t1"))
-    ends = ends.withColumn("duration_s", F.col("t1") - F.col("t0")).withColumn("trim", F.least(F.lit(5.0), F.col("duration_s") * 0.1))
-    within = (F.col("recv_ts") >= F.col("t0") + F.col("trim")) & (F.col("recv_ts") <= F.col("t1") - F.col("trim"))
-    sums = log.crossJoin(F.broadcast(ends)).groupBy("duration_s", "trim").agg(F.count(F.lit(1)).alias("received"), F.sum(within.cast("long")).alias("warm"))
-    return sums.select("received", "duration_s", F.try_divide("received", "duration_s").alias("sustained_eps"), F.try_divide("warm", F.col("duration_s") - 2 * F.col("trim")).alias("warm_eps"))
+    ends = ends.withColumn("duration_s", F.col("t1") - F.col("t0")).withColumn("trim_s", F.least(F.lit(5.0), F.col("duration_s") * 0.1))
+    warm = F.floor("recv_ts") >= F.floor(F.col("t0") + F.col("trim_s"))
+    sums = log.crossJoin(F.broadcast(ends)).groupBy("duration_s", "trim_s").agg(F.count(F.lit(1)).alias("received"), F.sum(warm.cast("long")).alias("warm"))
+    sustained = F.when(F.col("duration_s") > 0, F.col("received") / F.col("duration_s")).otherwise(F.lit(0.0))
+    return sums.select("received", "duration_s", sustained.alias("sustained_eps"), "trim_s", (F.col("warm") / F.greatest(F.col("duration_s") - F.col("trim_s"), F.lit(0.001))).alias("warm_eps"))
+
+
+def stage_rates(log: DataFrame) -> DataFrame:
+    """(stage, eps): valid hops a second over the run's duration; 0 for a run without any."""
+    span = log.agg((F.max("recv_ts") - F.min("recv_ts")).alias("__d"))
+    counts = hop_rows(log).groupBy("stage").agg(F.count(F.lit(1)).alias("__n"))
+    return counts.crossJoin(F.broadcast(span)).select("stage", F.when(F.col("__d") > 0, F.col("__n") / F.col("__d")).otherwise(F.lit(0.0)).alias("eps"))
 
 
 def counters(log: DataFrame) -> DataFrame:
@@ -89,13 +98,33 @@ def counters(log: DataFrame) -> DataFrame:
     return stages.unionByName(log.agg(F.lit("total").alias("stage"), F.count(F.lit(1)).alias("count")))
 
 
+def whole_us(ms: Column) -> Column:
+    """Milliseconds as whole microseconds."""
+    return F.round(ms * 1000).cast("long")
+
+
 def worker_timing(total: DataFrame, serde: DataFrame, guest: DataFrame) -> DataFrame:
-    """Per stage of any of the three (stage, us): p50 of each, what total has over guest, and the share of serde."""
-    named = [nearest_rank(df, "us", {f"{name}_p50": 0.5}, ["stage"]) for name, df in (("total", total), ("serde", serde), ("guest", guest))]
-    joined = named[0].join(named[1], "stage", "full_outer").join(named[2], "stage", "full_outer")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    out = joined.select("stage", *[zero(f"{x}_p50").alias(f"{x}_p50") for x in ("total", "serde", "guest")])
-    return out.withColumns({"overhead_p50": F.greatest(F.col("total_p50") - F.col("guest_p50"), F.lit(0.0)), "serde_fraction": F.when(F.col("total_p50") > 0, F.col("serde_p50") / F.col("total_p50")).otherwise(0.0)})
+    """A row per stage of any of the three (stage, us): ``n`` (the most samples that one has), p50, p95, p99, max and mean
+    of each and p999 of total and guest (0 without samples), what total's p50, p99 and mean have over guest's (0 at
+    least), and the share of serde in total at p50, to three places."""
+    blocks, names = [], {"total": POINTS, "serde": {k: p for k, p in POINTS.items() if k != "p999"}, "guest": POINTS}
+    for (name, points), df in zip(names.items(), (total, serde, guest), strict=True):
+        block = quantile_block(df, "us", ["stage"], points, None)
+        blocks.append(block.select("stage", *[F.col(c).alias(f"{name}_{c}") for c in block.columns if c != "stage"]))
+    joined = blocks[0].join(blocks[1], "stage", "full_outer").join(blocks[2], "stage", "full_outer")
+    value = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
+    over = lambda c: F.greatest(value(f"total_{c}") - value(f"guest_{c}"), F.lit(0.0)).alias(f"overhead_{c}")
+    n = F.greatest(*[F.coalesce(F.col(f"{x}_count"), F.lit(0)) for x in names]).alias("n")
+    share = F.when(value("total_p50") > 0, F.round(value("serde_p50") / value("total_p50"), 3)).otherwise(F.lit(0.0))
+    shown = [value(f"{x}_{c}").alias(f"{x}_{c}") for x, points in names.items() for c in (*points, "max", "mean")]
+    return joined.select("stage", n, *shown, *[over(c) for c in ("p50", "p99", "mean")], share.alias("serde_fraction"))
+
+
+def timing_samples(rows: DataFrame, most: int = 50_000) -> DataFrame:
+    """(stage, us): each stage's values in order, every k-th of them; k is the least that leaves ``most`` or fewer."""
+    ranked = positions(rows.select("stage", "us"), ["us"], ["stage"])
+    step = F.when(F.col("n") <= most, F.lit(1)).otherwise(F.ceil(F.col("n") / most))
+    return ranked.where((F.col("rn") - 1) % step == 0).select("stage", "us")
 
 
 def event_rows(log: DataFrame, most: int) -> DataFrame:
@@ -114,6 +143,7 @@ def run_summary(log: DataFrame) -> DataFrame:
     parts = [
         throughput(log).select(F.struct("*").alias("throughput")),
         e2e.select(F.struct(*e2e.columns).alias("latency_ms")),
+        listed(stage_rates(log), "stage_rates"),
         listed(counters(log), "counters"),
         listed(stat(hop_rows(log), "residence_ms", ["stage"]), "per_stage"),
         listed(stat(gap_rows(log), "gap_ms", ["from_stage", "to_stage"]), "inter_stage"),
@@ -133,7 +163,8 @@ def scaling_block(events: DataFrame, group: str = "stage") -> DataFrame:
 
 
 def forward_fill(events: DataFrame, samples: DataFrame, key: str = "stage") -> DataFrame:
-    """``events`` (key, t_s) with the value of the first sample (key, t_s, value) at or after each."""
+    """``events`` (key, t_s) with the value of the first sample (key, t_s, value) at or after each: the last one so far,
+    going back in time."""
     both = events.select(key, "t_s", F.lit(None).cast("double").alias("value"), F.lit(0).alias("__s")).unionByName(samples.select(key, "t_s", "value", F.lit(1).alias("__s")))
-    w = Window.partitionBy(key).orderBy("t_s", "__s").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return both.withColumn("value", F.first(F.when(F.col("__s") == 1, F.col("value")), ignorenulls=True).over(w)).where("__s = 0").drop("__s")
+    w = Window.partitionBy(key).orderBy(F.desc("t_s"), F.desc("__s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("value", F.last(F.when(F.col("__s") == 1, F.col("value")), ignorenulls=True).over(w)).where("__s = 0").drop("__s")

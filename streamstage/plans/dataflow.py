@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from streamstage.functions import codec, scalar
-from streamstage.operators import signal, stages
+from streamstage.operators import logs, signal, stages
 from streamstage.operators.telemetry import hop_rows, received, without_end_marks
 from streamstage.plans import fixtures as X
 from streamstage.plans.engine import compile_pipeline
@@ -90,10 +90,14 @@ def src_profile_steady(spark, sf_dir):
     return profile_rates(spark, Profile("steady", rate=500), 120)
 
 
-@query()
+@query(
+    "WITH RECURSIVE r AS MATERIALIZED (SELECT range AS tick, CAST(floor(2e2 + 8e2 * ((sin(2e0 * pi() * range / 6e1) + 1e0) / 2e0)) AS DOUBLE) AS target FROM range(120)), "
+    "f AS (SELECT CAST(-1 AS BIGINT) AS tick, 0e0 AS tokens, CAST(0 AS BIGINT) AS out UNION ALL SELECT r.tick, h - floor(h), CAST(floor(h) AS BIGINT) FROM (SELECT r.tick, least(f.tokens + target * 25e-2, target) AS h FROM f JOIN r ON r.tick = f.tick + 1) r) "
+    "SELECT 'wave' AS run, tick, least(out, 150) AS emitted, out - least(out, 150) AS dropped FROM f WHERE tick >= 0"
+)
 def src_token_bucket(spark, sf_dir):
     rates = profile_rates(spark, Profile("wave", rate=1000, wave_min=200, wave_period=60), 120)
-    return token_bucket(rates.select(F.lit("wave").alias("run"), F.col("t").alias("tick"), F.col("rate").cast("double").alias("target"), F.lit(0.25).alias("dt")))
+    return token_bucket(rates.select(F.lit("wave").alias("run"), F.col("t").alias("tick"), F.col("rate").cast("double").alias("target"), F.lit(0.25).alias("dt"), F.lit(150).alias("room")))
 
 
 @query("SELECT printf('sensor-%04d', range % 16) AS sensor_id, count(*) AS n FROM range(5000) GROUP BY 1")
@@ -132,9 +136,11 @@ def codec_decode_defaults(spark, sf_dir):
     return codec.decode(e.select(F.col("event_id").alias("seq"), body.alias("payload")), Record.of("probe", {"k": "s64", "s": "string", "opt": "f64?"}), keep=("seq",))
 
 
-@query()
+@query(f"WITH {X.READING} SELECT seq, '{{\"sensor_id\":\"' || sensor_id || '\"' || CASE WHEN seq % 3 = 0 THEN '' ELSE ',\"value\":' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || '.0' END || CASE WHEN seq % 2 = 0 THEN ',\"unit\":\"mm/s\"' ELSE '' END || '}}' AS payload FROM reading")
 def codec_encode_omit_null(spark, sf_dir):
-    return X.reading(spark, sf_dir).select("seq", codec.encode(READING_T))
+    """Units of odd events are absent, values of every third aren't numbers; both are left out."""
+    odd = X.reading(spark, sf_dir).withColumns({"value": F.when(F.col("seq") % 3 == 0, float("nan")).otherwise(F.floor("value").cast("double")), "unit": F.when(F.col("seq") % 2 == 0, "mm/s")})
+    return odd.select("seq", codec.encode(READING_T))
 
 
 @query(f"WITH {X.READING} SELECT seq, sensor_id, value FROM reading")
@@ -245,16 +251,16 @@ def hop_valid_filter(spark, sf_dir):
     return hop_rows(X.hop_log(spark, sf_dir).withColumn("hops", broken)).select("seq", "stage")
 
 
-@query("SELECT event_id AS seq, value FROM events WHERE event_type = 'click'")
+@query("SELECT event_id AS seq, CASE event_type WHEN 'click' THEN 'worker booted' ELSE 'autoscaler ready' END AS msg FROM events WHERE event_type IN ('click', 'view')")
 def log_msg_filter(spark, sf_dir):
-    return X.events(spark, sf_dir).where(F.col("event_type") == "click").select(F.col("event_id").alias("seq"), "value")
+    return logs.messages(X.log_lines(spark, sf_dir), "worker booted", "autoscaler ready").select("seq", "msg")
 
 
 @query("SELECT event_id AS seq, value FROM events WHERE user_id % 2 <> 1 AND event_id % 3 = 0")
 def filter_success_rows(spark, sf_dir):
+    """Every second user's rows are prewarming in the fixture, every third event succeeds."""
     told = X.events(spark, sf_dir).withColumns({"is_prewarm": (F.col("user_id") % 2).cast("string"), "success": F.when(F.col("event_id") % 3 == 0, "true").otherwise("no")})
-    good = (F.expr("try_cast(is_prewarm as int)") != 1) & (F.expr("try_cast(success as boolean)") == F.lit(True)) & (F.col("success") == "true")
-    return told.where(good).select(F.col("event_id").alias("seq"), "value")
+    return logs.successes(told).select(F.col("event_id").alias("seq"), "value")
 
 
 # Keyed state.
@@ -326,9 +332,9 @@ def _features(spark, sf_dir):
     return signal.block_features(X.sensor_sample(spark, sf_dir))
 
 
-@query(f"WITH {X.SAMPLE}, {_dft('sample')} SELECT sensor_id, block, k, round(m / 10) AS tens FROM mag")
+@query(f"WITH {X.SAMPLE}, {_dft('sample')} SELECT sensor_id, block, k, round(m, 4) AS magnitude FROM mag")
 def agg_dft_mags(spark, sf_dir):
-    return _features(spark, sf_dir).select("sensor_id", "block", F.posexplode("mags").alias("k", "m")).select("sensor_id", "block", F.col("k").cast("long").alias("k"), F.round(F.col("m") / 10).alias("tens"))
+    return _features(spark, sf_dir).select("sensor_id", "block", F.posexplode("mags").alias("k", "m")).select("sensor_id", "block", F.col("k").cast("long").alias("k"), F.round("m", 4).alias("magnitude"))
 
 
 @query(f"WITH {X.SAMPLE}, {_dft('sample')} SELECT sensor_id, block, round(centroid, 3) AS centroid FROM spec")
@@ -365,7 +371,11 @@ def pipeline_complex_wire(spark, sf_dir):
     return done.select("seq", "sensor_id", F.col("ts_ns").cast("long").alias("ts_ns"), "rms", "centroid", "flatness", "kurtosis")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {X.SAMPLE}, t AS MATERIALIZED (SELECT sensor_id, CAST(value AS BIGINT) AS v, row_number() OVER (PARTITION BY sensor_id ORDER BY seq) AS i FROM (SELECT sensor_id, seq, trunc(value) AS value FROM sample)), "
+    "f AS (SELECT DISTINCT sensor_id, CAST(0 AS BIGINT) AS i, CAST(100 AS BIGINT) AS e FROM t UNION ALL SELECT t.sensor_id, t.i, CAST(floor((3 * e + v) / 4e0) AS BIGINT) FROM f JOIN t ON t.sensor_id = f.sensor_id AND t.i = f.i + 1) "
+    "SELECT sensor_id, max(i) AS n, arg_max(e, i) AS ewma FROM f GROUP BY sensor_id"
+)
 def win_ewma_int(spark, sf_dir):
     return signal.ewma_int(X.sensor_sample(spark, sf_dir), "value")
 

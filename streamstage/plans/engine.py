@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamstage.functions.codec import decode, read_as, wire
+from streamstage.functions.codec import decode, read_as, typed, wire
 from streamstage.operators import signal, stages
 from streamstage.spec import PipelineSpec, SpecError, Stage
 
@@ -81,10 +81,19 @@ def compile_pipeline(spec: PipelineSpec, events: DataFrame, mode: str = "contrac
     return df
 
 
+def first_input(spec: PipelineSpec, events: DataFrame, payload: str = "payload", keep: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """A source's events as records of the first stage's input: decoded where there is a column ``payload`` of JSON
+    text, else taken from the columns, of which the required ones must be there."""
+    record = spec.record(spec.here()[0].input_type)
+    beside = tuple(c for c in keep if c in events.columns)
+    if payload in events.columns:
+        return decode(events.withColumn(payload, F.col(payload).cast("string")), record, payload, beside)
+    return typed(events, record, beside)
+
+
 def run_batch(spec: PipelineSpec, payloads: DataFrame, mode: str = "contract", payload: str = "payload", keep: tuple[str, ...] = ("seq",)) -> DataFrame:
     """JSON events through the pipeline."""
-    first = spec.record(spec.here()[0].input_type)
-    return compile_pipeline(spec, decode(payloads, first, payload, keep), mode, keep)
+    return compile_pipeline(spec, first_input(spec, payloads, payload, keep), mode, keep)
 
 
 def with_bench(df: DataFrame, stage_name: str, enter: str, exit_: str) -> DataFrame:

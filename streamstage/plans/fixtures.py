@@ -68,10 +68,16 @@ QUEUE = "trace AS (SELECT event_type AS stage, event_id AS tick, CAST(floor(valu
 
 
 def cold_starts(spark, sf_dir) -> DataFrame:
-    return events(spark, sf_dir).selectExpr("CASE WHEN user_id % 2 = 0 THEN 'AOT' ELSE 'JIT' END AS mode", "event_type AS stage", "value AS cold_start_ms", "event_id AS ord")
+    return events(spark, sf_dir).selectExpr(
+        "CASE WHEN user_id % 2 = 0 THEN 'AOT' ELSE 'JIT' END AS mode", "event_type AS stage", "value AS cold_start_ms", "event_id AS ord",
+        "CASE WHEN user_id % 2 = 1 THEN value / 4 END AS compile_ms", "CASE WHEN user_id % 2 = 1 AND event_type <> 'click' THEN value / 10 END AS prepare_ms",
+    )
 
 
-COLD = "cold AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'AOT' ELSE 'JIT' END AS mode, event_type AS stage, value AS cold_start_ms, event_id AS ord FROM events)"
+COLD = (
+    "cold AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'AOT' ELSE 'JIT' END AS mode, event_type AS stage, value AS cold_start_ms, event_id AS ord, "
+    "CASE WHEN user_id % 2 = 1 THEN value / 4 END AS compile_ms, CASE WHEN user_id % 2 = 1 AND event_type <> 'click' THEN value / 10 END AS prepare_ms FROM events)"
+)
 
 
 def grid(spark, sf_dir) -> DataFrame:
@@ -86,3 +92,16 @@ GRID = (
     "grid AS (SELECT CASE WHEN (event_id // 36) % 2 = 0 THEN 'SF' ELSE 'SL' END AS mode, 1 + event_id % 4 AS n, 1 + (event_id // 4) % 3 AS d, 1 + (event_id // 12) % 3 AS f, "
     "value AS p50, 1 + (event_id % 10) * 5e-1 AS replicas, event_id % 7 AS downs FROM events)"
 )
+
+
+def log_lines(spark, sf_dir) -> DataFrame:
+    """A structured log: workers of the event's type boot, autoscalers get ready, all others tell progress."""
+    i = F.col("event_id")
+    kind = F.when(F.col("event_type") == "click", "worker booted").when(F.col("event_type") == "view", "autoscaler ready").otherwise("progress")
+    component = F.when(F.col("event_type") == "click", F.concat(F.lit("worker/"), F.when(i % 2 == 0, "a/b").otherwise("c"))).when(F.col("event_type") == "view", F.concat(F.lit("autoscaler/s"), (i % 9).cast("string"))).otherwise("loadgen")
+    fields = F.map_from_arrays(F.array(F.lit("cold_start_ms"), F.lit("queue_up"), F.lit("sent")), F.array(F.when(i % 3 != 0, i.cast("string")).otherwise("n/a"), (i % 70).cast("string"), (i * 2).cast("string")))
+    return events(spark, sf_dir).select((i * 5e-2).alias("ts"), F.lit("info").alias("level"), component.alias("component"), kind.alias("msg"), fields.alias("fields"), i.alias("seq"))
+
+
+def resource_samples(spark, sf_dir) -> DataFrame:
+    return events(spark, sf_dir).selectExpr("event_id * 5e-2 AS t_s", "value AS cpu_pct", "cast(event_id as double) AS rss_mb")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from streamstage.operators import analysis as ana
-from streamstage.operators.ranking import positions
+from streamstage.operators import grid, logs
+from streamstage.operators.ranking import linear_quantiles
 from streamstage.plans import fixtures as X
 from streamstage.plans.dataflow import query
 from streamstage.plans.measures import _GAP
@@ -36,17 +37,11 @@ def ana_bin_latency(spark, sf_dir):
     return out.withColumns({"p50": F.round("p50", 5), "p95": F.round("p95", 5)})
 
 
-@query(f"WITH {ROWS}, b AS (SELECT least(CAST(floor(t_s) AS BIGINT), 599) AS second, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.99) AS p99, quantile_cont(value, 0.999) AS p999 FROM rows_ GROUP BY 1) SELECT range AS second, round(p50, 6) AS p50, round(p99, 6) AS p99, round(p999, 6) AS p999 FROM range(600) LEFT JOIN b ON second = range")
-def ana_latency_timeseries(spark, sf_dir):
-    return _rounded(ana.per_second_quantiles(_rows(spark, sf_dir), "t_s", "value", 600), "p50", "p99", "p999")
-
-
 @query(
     f"WITH {ROWS}, d AS (SELECT greatest(CAST(round_even(max(t_s), 0) AS BIGINT), 1) AS n FROM rows_), b AS (SELECT least(CAST(floor(t_s) AS BIGINT), n - 1) AS second, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.99) AS p99, quantile_cont(value, 0.999) AS p999 FROM rows_, d GROUP BY 1), "
     "g AS (SELECT unnest(range(n)) AS second FROM d) SELECT second, round(p50, 6) AS p50, round(p99, 6) AS p99, round(p999, 6) AS p999 FROM g LEFT JOIN b USING (second)"
 )
-def ana_latency_timeseries_whole(spark, sf_dir):
-    """As ana_latency_timeseries, for the seconds up to the table's largest time, rounded."""
+def ana_latency_timeseries(spark, sf_dir):
     return _rounded(ana.per_second_quantiles(_rows(spark, sf_dir), "t_s", "value"), "p50", "p99", "p999")
 
 
@@ -65,7 +60,7 @@ def set_union_missing_cols(spark, sf_dir):
 
 @query(f"WITH {X.COLD} SELECT ord, mode, stage, CASE WHEN row_number() OVER (PARTITION BY mode, stage ORDER BY ord) = 1 THEN 'first' ELSE 'warm' END AS spawn_kind FROM cold")
 def win_first_vs_rest(spark, sf_dir):
-    return ana.first_and_rest(X.cold_starts(spark, sf_dir), ["mode", "stage"], ["ord"]).drop("cold_start_ms")
+    return ana.first_and_rest(X.cold_starts(spark, sf_dir), ["mode", "stage"], ["ord"]).select("ord", "mode", "stage", "spawn_kind")
 
 
 @query(f"WITH {X.COLD} SELECT mode, stage, count(*) AS n, round(avg(cold_start_ms), 6) AS mean, round(quantile_cont(cold_start_ms, 0.5), 6) AS median, round(quantile_cont(cold_start_ms, 0.95), 6) AS p95, round(quantile_cont(cold_start_ms, 0.99), 6) AS p99, min(cold_start_ms) AS min, max(cold_start_ms) AS max, round(stddev_samp(cold_start_ms), 6) AS std FROM cold GROUP BY 1, 2")
@@ -81,9 +76,14 @@ def pivot_ratio(spark, sf_dir):
     return _rounded(ana.pivot_ratio(X.cold_starts(spark, sf_dir), "stage", "mode", "cold_start_ms", ("AOT", "JIT")), "AOT", "JIT", "ratio")
 
 
-@query(f"WITH {X.COLD}, m AS (SELECT mode, stage, greatest(coalesce(quantile_cont(cold_start_ms, 0.5), 0e0), 0e0) AS median FROM cold GROUP BY 1, 2) SELECT mode, stage, round(median, 6) AS median, round(min(median) OVER (PARTITION BY mode), 6) AS baseline, round(greatest(median - min(median) OVER (PARTITION BY mode), 0e0), 6) AS residual FROM m")
+@query(
+    f"WITH {X.COLD}, m AS (SELECT mode, stage, quantile_cont(cold_start_ms, 0.5) AS median, coalesce(quantile_cont(compile_ms, 0.5), 0e0) AS comp, coalesce(quantile_cont(prepare_ms, 0.5), 0e0) AS prep FROM cold GROUP BY 1, 2), "
+    "r AS (SELECT *, CASE mode WHEN 'JIT' THEN greatest(median - comp - prep, 0e0) ELSE median END AS rest FROM m), b AS (SELECT *, min(rest) OVER (PARTITION BY mode) AS base FROM r) "
+    "SELECT mode, stage, round(median, 6) AS median, round(comp, 6) AS compile, round(prep, 6) AS prepare, round(least(rest, base), 6) AS baseline, round(greatest(rest - base, 0e0), 6) AS residual FROM b"
+)
 def ana_decomposition(spark, sf_dir):
-    return _rounded(ana.decomposition(X.cold_starts(spark, sf_dir), "mode", "stage", "cold_start_ms"), "median", "baseline", "residual")
+    out = ana.decomposition(X.cold_starts(spark, sf_dir), "mode", "stage", "cold_start_ms", "compile_ms", "prepare_ms")
+    return _rounded(out, "median", "compile", "prepare", "baseline", "residual")
 
 
 @query("SELECT stage, row_number() OVER (ORDER BY CASE stage WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END, stage) AS place FROM (SELECT DISTINCT event_type AS stage FROM events)")
@@ -107,19 +107,16 @@ def win_ecdf_linspace(spark, sf_dir):
     return ana.ecdf(_rows(spark, sf_dir), "value", ["value", "ord"]).select("ord", "value", F.round("y_lin", 6).alias("y"))
 
 
-def _log_grid(spark):
-    return spark.range(200).select(F.pow(F.lit(10.0), F.col("id") * 1.5e-2 - 0.2).alias("x"))
-
-
 @query(
     f"WITH {ROWS}, p AS (SELECT stage, value AS x, max(rn) / max(n) AS hi, min(rn) / max(n) AS lo FROM (SELECT stage, value, CAST(row_number() OVER (PARTITION BY stage ORDER BY value) AS DOUBLE) AS rn, CAST(count(*) OVER (PARTITION BY stage) AS DOUBLE) AS n FROM rows_) GROUP BY 1, 2), "
-    "g AS (SELECT stage, power(1e1, range * 1.5e-2 - 2e-1) AS x FROM range(200), (SELECT DISTINCT stage FROM rows_)), "
+    "e AS (SELECT greatest(min(value), 1e-2) AS a, max(value) AS b FROM rows_), "
+    "g AS (SELECT stage, CASE range WHEN 0 THEN a WHEN 999 THEN b ELSE power(1e1, log10(a) + range * ((log10(b) - log10(a)) / 999)) END AS x FROM range(1000), e, (SELECT DISTINCT stage FROM rows_)), "
     "a AS (SELECT g.stage, g.x, p.x AS x0, p.hi AS y0 FROM g ASOF LEFT JOIN p ON g.stage = p.stage AND g.x >= p.x), b AS (SELECT a.*, p.x AS x1, p.lo AS y1 FROM a ASOF LEFT JOIN p ON a.stage = p.stage AND a.x <= p.x), "
     "v AS (SELECT stage, x, CASE WHEN x0 IS NULL THEN 0e0 WHEN x1 IS NULL THEN CASE WHEN x > x0 THEN 1e0 ELSE y0 END WHEN x = x0 THEN y0 ELSE y0 + (y1 - y0) * (x - x0) / (x1 - x0) END AS y FROM b) "
     "SELECT round(x, 6) AS x, round(quantile_cont(y, 0.5), 6) AS median, round(quantile_cont(y, 0.1), 6) AS p10, round(quantile_cont(y, 0.9), 6) AS p90 FROM v GROUP BY v.x"
 )
 def ana_cdf_ensemble(spark, sf_dir):
-    on_grid = ana.cdf_on_grid(_rows(spark, sf_dir), "stage", "value", _log_grid(spark))
+    on_grid = ana.cdf_on_grid(_rows(spark, sf_dir), "stage", "value", ana.log_grid(_rows(spark, sf_dir), "value"))
     return _rounded(ana.ensemble(on_grid, "x", "y"), "x", "median", "p10", "p90")
 
 
@@ -133,85 +130,53 @@ def ana_quantile_from_cdf(spark, sf_dir):
     return _rounded(ana.quantile_from_cdf(points, ["stage"], 0.9), "x")
 
 
-_STEPS = "steps AS (SELECT stage, t_s, c, coalesce(lead(t_s) OVER (PARTITION BY stage ORDER BY t_s, ord), 6e2) AS until FROM (SELECT stage, t_s, new_count AS c, ord FROM scaling UNION ALL SELECT DISTINCT stage, 0e0, 0, -1 FROM scaling))"
-
-
-def _steps(spark, sf_dir):
-    return ana.step_series(X.scaling_log(spark, sf_dir), 600.0)
+_STEPS = "d AS (SELECT max(t_s) AS hi FROM scaling), steps AS (SELECT stage, t_s, c, coalesce(lead(t_s) OVER (PARTITION BY stage ORDER BY t_s, ord), hi) AS until FROM (SELECT stage, t_s, new_count AS c, ord FROM scaling UNION ALL SELECT DISTINCT stage, 0e0, 0, -1 FROM scaling), d)"
+_AREA = "area AS (SELECT stage, hi, sum(c * greatest(until - t_s, 0e0)) AS replica_s FROM steps, d GROUP BY ALL)"
 
 
 @query(f"WITH {X.SCALING}, {_STEPS} SELECT stage, round(t_s, 6) AS t_s, round(until, 6) AS until, c FROM steps")
 def ana_step_series(spark, sf_dir):
-    return _rounded(_steps(spark, sf_dir), "t_s", "until")
-
-
-@query(f"WITH {X.SCALING}, g AS (SELECT stage, range + 25e-3 AS t_s FROM range(600), (SELECT DISTINCT stage FROM scaling)) SELECT g.stage, round(g.t_s, 6) AS t_s, s.new_count AS c FROM g ASOF LEFT JOIN scaling s ON g.stage = s.stage AND g.t_s >= s.t_s WHERE s.new_count IS NOT NULL")
-def asof_step_resample(spark, sf_dir):
-    steps = X.scaling_log(spark, sf_dir).select("stage", "t_s", F.col("new_count").alias("c"), "ord")
-    at = ana.step_resample(steps, spark.range(600).select((F.col("id") + 25e-3).alias("t_s")))
-    return at.where("c IS NOT NULL").select("stage", F.round("t_s", 6).alias("t_s"), "c")
+    return _rounded(ana.step_series(X.scaling_log(spark, sf_dir)), "t_s", "until")
 
 
-@query(
-    f"WITH {X.SCALING}, e AS (SELECT max(t_s) AS hi FROM scaling), g AS (SELECT stage, CASE range WHEN 599 THEN hi ELSE range * (hi / 599) END AS t_s FROM range(600), e, (SELECT DISTINCT stage FROM scaling)) "
-    "SELECT g.stage, round(g.t_s, 6) AS t_s, coalesce(s.new_count, 0) AS c FROM g ASOF LEFT JOIN scaling s ON g.stage = s.stage AND g.t_s >= s.t_s"
+_RESAMPLED = (
+    f"{X.SCALING}, e AS (SELECT max(t_s) AS hi FROM scaling), g AS (SELECT stage, CASE range WHEN 599 THEN hi ELSE range * (hi / 599) END AS t_s FROM range(600), e, (SELECT DISTINCT stage FROM scaling)), "
+    "at_ AS (SELECT g.stage, g.t_s, coalesce(s.new_count, 0) AS c FROM g ASOF LEFT JOIN scaling s ON g.stage = s.stage AND g.t_s >= s.t_s)"
 )
-def asof_step_resample_whole(spark, sf_dir):
-    """As asof_step_resample, on 600 points from 0 to the table's largest time."""
-    steps = X.scaling_log(spark, sf_dir).select("stage", "t_s", F.col("new_count").alias("c"), "ord")
-    at = ana.step_resample(steps, ana.even_grid(steps, "t_s", 600))
-    return at.select("stage", F.round("t_s", 6).alias("t_s"), F.coalesce("c", F.lit(0)).alias("c"))
-
 
-_AREA = "area AS (SELECT stage, sum(c * greatest(until - t_s, 0e0)) AS replica_s FROM steps GROUP BY stage)"
-
-
-@query(f"WITH {X.SCALING}, {_STEPS}, {_AREA} SELECT stage, round(replica_s, 6) AS replica_s, round(replica_s / 6e2, 6) AS avg_replicas FROM area")
-def ana_replica_seconds(spark, sf_dir):
-    return _rounded(ana.replica_seconds(_steps(spark, sf_dir), 600.0), "replica_s", "avg_replicas")
 
-
-@query(f"WITH {X.SCALING}, {_STEPS}, {_AREA} SELECT stage, 3.6e3 AS baseline_s, round(replica_s, 6) AS replica_s, round(3.6e3 - replica_s, 6) AS saved_s, round((3.6e3 - replica_s) * 100 / 3.6e3, 6) AS saved_pct FROM area")
-def ana_savings(spark, sf_dir):
-    used = ana.replica_seconds(_steps(spark, sf_dir), 600.0)
-    out = ana.savings(used, used.select("stage", F.lit(3600.0).alias("replica_s")))
-    return _rounded(out, "replica_s", "saved_s", "saved_pct").select("stage", "baseline_s", "replica_s", "saved_s", "saved_pct")
-
-
-_STEPS_WHOLE = "d AS (SELECT max(t_s) AS hi FROM scaling), steps AS (SELECT stage, t_s, c, coalesce(lead(t_s) OVER (PARTITION BY stage ORDER BY t_s, ord), hi) AS until FROM (SELECT stage, t_s, new_count AS c, ord FROM scaling UNION ALL SELECT DISTINCT stage, 0e0, 0, -1 FROM scaling), d)"
-_AREA_WHOLE = "area AS (SELECT stage, hi, sum(c * greatest(until - t_s, 0e0)) AS replica_s FROM steps, d GROUP BY ALL)"
+def _resampled(spark, sf_dir):
+    """Counts on 600 points from 0 to the table's largest time; 0 before a stage's first event."""
+    steps = X.scaling_log(spark, sf_dir).select("stage", "t_s", F.col("new_count").alias("c"), "ord")
+    return ana.step_resample(steps, ana.even_grid(steps, "t_s", 600)).withColumn("c", F.coalesce("c", F.lit(0)))
 
 
-@query(f"WITH {X.SCALING}, {_STEPS_WHOLE} SELECT stage, round(t_s, 6) AS t_s, round(until, 6) AS until, c FROM steps")
-def ana_step_series_whole(spark, sf_dir):
-    """As ana_step_series, closed at the table's largest time."""
-    return _rounded(ana.step_series(X.scaling_log(spark, sf_dir)), "t_s", "until")
+@query(f"WITH {_RESAMPLED} SELECT stage, round(t_s, 6) AS t_s, c FROM at_")
+def asof_step_resample(spark, sf_dir):
+    return _resampled(spark, sf_dir).select("stage", F.round("t_s", 6).alias("t_s"), "c")
 
 
-def _used_whole(spark, sf_dir):
-    """Replica seconds over the table's whole time, with its length."""
-    log = X.scaling_log(spark, sf_dir)
-    used = ana.replica_seconds(ana.step_series(log), 1.0).drop("avg_replicas")
-    return used.crossJoin(F.broadcast(log.agg(F.max("t_s").alias("hi"))))
+@query(f"WITH {_RESAMPLED} SELECT round(t_s, 6) AS t_s, round(quantile_cont(c, 0.5), 6) AS median, round(quantile_cont(c, 0.1), 6) AS p10, round(quantile_cont(c, 0.9), 6) AS p90 FROM at_ GROUP BY at_.t_s")
+def ana_step_ensemble(spark, sf_dir):
+    """Pointwise over runs, which the stages stand for."""
+    return _rounded(ana.ensemble(_resampled(spark, sf_dir), "t_s", "c"), "t_s", "median", "p10", "p90")
 
 
-@query(f"WITH {X.SCALING}, {_STEPS_WHOLE}, {_AREA_WHOLE} SELECT stage, round(replica_s, 6) AS replica_s, round(replica_s / hi, 6) AS avg_replicas FROM area")
-def ana_replica_seconds_whole(spark, sf_dir):
-    """As ana_replica_seconds, over the table's whole time."""
-    return _rounded(_used_whole(spark, sf_dir).select("stage", "replica_s", (F.col("replica_s") / F.col("hi")).alias("avg_replicas")), "replica_s", "avg_replicas")
+def _used(spark, sf_dir):
+    return ana.replica_seconds(ana.step_series(X.scaling_log(spark, sf_dir)))
 
 
-@query(f"WITH {X.SCALING}, {_STEPS_WHOLE}, {_AREA_WHOLE} SELECT stage, round(6 * hi, 6) AS baseline_s, round(replica_s, 6) AS replica_s, round(6 * hi - replica_s, 6) AS saved_s, round((6 * hi - replica_s) * 100 / (6 * hi), 6) AS saved_pct FROM area")
-def ana_savings_whole(spark, sf_dir):
-    """As ana_savings, against six replicas over the table's whole time."""
-    used = _used_whole(spark, sf_dir)
-    out = ana.savings(used, used.select("stage", (6 * F.col("hi")).alias("replica_s")))
-    return _rounded(out, "baseline_s", "replica_s", "saved_s", "saved_pct").select("stage", "baseline_s", "replica_s", "saved_s", "saved_pct")
+@query(f"WITH {X.SCALING}, {_STEPS}, {_AREA} SELECT stage, round(replica_s, 6) AS replica_s, round(replica_s / hi, 6) AS avg_replicas FROM area")
+def ana_replica_seconds(spark, sf_dir):
+    return _rounded(_used(spark, sf_dir), "replica_s", "avg_replicas").select("stage", "replica_s", "avg_replicas")
 
 
-def _averages(spark, sf_dir, mode: str):
-    runs = X.grid(spark, sf_dir).where(F.col("mode") == mode)
-    return runs.groupBy("n", "d", "f").agg(F.avg("p50").alias("p50"), F.avg("replicas").alias("replicas"), F.avg("downs").alias("downs"))
+@query(f"WITH {X.SCALING}, {_STEPS}, {_AREA}, m AS (SELECT stage, max(new_count) AS top FROM scaling GROUP BY stage) SELECT stage, round(top * hi, 6) AS baseline_s, round(replica_s, 6) AS replica_s, round(top * hi - replica_s, 6) AS saved_s, round((top * hi - replica_s) * 100 / (top * hi), 6) AS saved_pct FROM area JOIN m USING (stage)")
+def ana_savings(spark, sf_dir):
+    """Against as many replicas as a stage ever has, over the whole time."""
+    used, log = _used(spark, sf_dir), X.scaling_log(spark, sf_dir)
+    fixed = log.groupBy("stage").agg(F.max("new_count").alias("top")).join(used, "stage").select("stage", (F.col("top") * F.col("duration")).alias("replica_s"))
+    return _rounded(ana.savings(used, fixed), "baseline_s", "replica_s", "saved_s", "saved_pct").select("stage", "baseline_s", "replica_s", "saved_s", "saved_pct")
 
 
 _AVG = f"WITH {X.GRID}, g AS (SELECT mode, n, d, f, avg(p50) AS p50, avg(replicas) AS replicas, avg(downs) AS downs FROM grid GROUP BY ALL), "
@@ -220,11 +185,7 @@ _GRID_OUT = "n, d, f, round(sf_p50, 6) AS sf_p50, round(sl_p50, 6) AS sl_p50, ro
 
 
 def _configs(spark, sf_dir):
-    """Scaled runs beside the fixed ones of the same split."""
-    fixed = _averages(spark, sf_dir, "SF").select("n", "d", "f", F.col("p50").alias("sf_p50"))
-    scaled = _averages(spark, sf_dir, "SL").select("n", "d", "f", F.col("p50").alias("sl_p50"), "replicas", "downs")
-    delta, saved = (F.col("sl_p50") / F.col("sf_p50") - 1) * 100, (1 - F.col("replicas") / (F.col("n") + F.col("d") + F.col("f"))) * 100
-    return fixed.join(scaled, ["n", "d", "f"]).select("n", "d", "f", "sf_p50", "sl_p50", delta.alias("delta_pct"), saved.alias("savings_pct"), "downs")
+    return grid.compared(X.grid(spark, sf_dir))
 
 
 def _shown(df):
@@ -232,7 +193,7 @@ def _shown(df):
 
 
 def _candidates(df):
-    return df.where((F.abs("delta_pct") <= 60) & (F.col("savings_pct") >= -50) & (F.col("downs") >= 2.5))
+    return grid.candidates(df, 60, -50, 2.5)
 
 
 @query(_JOINED + f"SELECT {_GRID_OUT} FROM j")
@@ -247,25 +208,15 @@ def grid_candidates(spark, sf_dir):
 
 @query(_JOINED + f"SELECT {_GRID_OUT} FROM j WHERE abs(delta_pct) <= 60 AND savings_pct >= -50 AND downs >= 2.5 ORDER BY abs(j.delta_pct), -j.savings_pct, n, d, f LIMIT 5")
 def topk_candidates(spark, sf_dir):
-    return _shown(_candidates(_configs(spark, sf_dir)).orderBy(F.abs("delta_pct"), F.desc("savings_pct"), "n", "d", "f").limit(5))
-
-
-@query(
-    f"WITH {ROWS}, c AS (SELECT r.ord, r.t_s, l.ord AS log_id, l.t_s AS lt, row_number() OVER (PARTITION BY r.ord ORDER BY abs(l.t_s - r.t_s), l.t_s, l.ord) AS k FROM (SELECT * FROM rows_ WHERE ord % 7 = 0) r JOIN (SELECT * FROM rows_ WHERE ord % 40 = 3) l ON abs(l.t_s - r.t_s) < 1) "
-    "SELECT ord, log_id, round(abs(lt - t_s), 6) AS away FROM c WHERE k = 1"
-)
-def asof_nearest(spark, sf_dir):
-    rows = _rows(spark, sf_dir)
-    found = ana.nearest_match(rows.where("ord % 7 = 0").select("ord", "t_s"), rows.where("ord % 40 = 3").select(F.col("ord").alias("log_id"), "t_s"), 1.0, "ord")
-    return found.select("ord", "log_id", F.round("away", 6).alias("away"))
+    return _shown(grid.best(_candidates(_configs(spark, sf_dir))))
 
 
 @query(
     f"WITH {ROWS}, c AS (SELECT r.ord, r.t_s, l.ord AS log_id, l.t_s AS lt, row_number() OVER (PARTITION BY r.ord ORDER BY abs(l.t_s - r.t_s), l.t_s, l.ord) AS k FROM (SELECT * FROM rows_ WHERE stage = 'view') r JOIN (SELECT * FROM rows_ WHERE stage <> 'view') l ON l.t_s >= r.t_s - 1 AND l.t_s <= r.t_s + 1 AND abs(l.t_s - r.t_s) < 1) "
     "SELECT ord, log_id, round(abs(lt - t_s), 6) AS away FROM c WHERE k = 1"
 )
-def asof_nearest_whole(spark, sf_dir):
-    """As asof_nearest, over every row: each view with the nearest event of another type."""
+def asof_nearest(spark, sf_dir):
+    """Each view with the nearest event of another type, so that every row has a part."""
     rows = _rows(spark, sf_dir)
     found = ana.nearest_match(rows.where("stage = 'view'").select("ord", "t_s"), rows.where("stage <> 'view'").select(F.col("ord").alias("log_id"), "t_s"), 1.0, "ord")
     return found.select("ord", "log_id", F.round("away", 6).alias("away"))
@@ -278,17 +229,23 @@ def win_rate_lag(spark, sf_dir):
 
 
 @query(
-    f"WITH {ROWS}, p AS (SELECT stage, t_s AS t0, ord AS v0, lead(t_s) OVER w AS t1, lead(ord) OVER w AS v1 FROM rows_ WINDOW w AS (PARTITION BY stage ORDER BY t_s)), "
-    "i AS (SELECT stage, s.second, v0 + (v1 - v0) * (s.second - t0) / (t1 - t0) AS v FROM p JOIN (SELECT range AS second FROM range(100000)) s ON s.second >= t0 AND s.second < t1) "
-    "SELECT stage, second, round(value, 6) AS value FROM (SELECT stage, second, v - lag(v) OVER (PARTITION BY stage ORDER BY second) AS value FROM i) WHERE value IS NOT NULL"
+    f"WITH {ROWS}, p AS (SELECT stage, t_s AS t, CAST(ord AS DOUBLE) AS v FROM rows_), n AS (SELECT greatest(CAST(round_even(max(t), 0) AS BIGINT), 1) AS n FROM p), "
+    "e AS (SELECT stage, min(t) AS t_a, arg_min(v, t) AS v_a, max(t) AS t_b, arg_max(v, t) AS v_b FROM p GROUP BY stage), g AS (SELECT e.*, unnest(range(n + 1)) AS s FROM e, n), "
+    "lo AS (SELECT g.*, p.t AS t0, p.v AS v0 FROM g ASOF LEFT JOIN p ON g.stage = p.stage AND g.s > p.t), hi AS (SELECT lo.*, p.t AS t1, p.v AS v1 FROM lo ASOF LEFT JOIN p ON lo.stage = p.stage AND lo.s <= p.t), "
+    "at_ AS (SELECT stage, s, CASE WHEN s <= t_a THEN v_a WHEN s >= t_b THEN v_b ELSE v0 + (s - t0) / (t1 - t0) * (v1 - v0) END AS v FROM hi) "
+    "SELECT stage, s AS second, round(value, 6) AS value FROM (SELECT stage, s, lead(v) OVER (PARTITION BY stage ORDER BY s) - v AS value FROM at_) WHERE value IS NOT NULL"
 )
 def ana_interp_per_second(spark, sf_dir):
     return _rounded(ana.per_second_from_total(_rows(spark, sf_dir), "t_s", "ord", "stage"), "value")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {ROWS}, p AS MATERIALIZED (SELECT stage, t_s, value, row_number() OVER (PARTITION BY stage ORDER BY t_s) AS i FROM rows_), "
+    "f AS (SELECT stage, i, t_s AS a FROM p WHERE i = 1 UNION ALL SELECT p.stage, p.i, CASE WHEN p.t_s >= f.a + 1 THEN p.t_s ELSE f.a END FROM f JOIN p ON p.stage = f.stage AND p.i = f.i + 1) "
+    "SELECT stage, round(avg(t_s), 6) AS t, round(avg(value), 6) AS v, count(*) AS n FROM f JOIN p USING (stage, i) GROUP BY stage, a"
+)
 def ana_downsample_adaptive(spark, sf_dir):
-    return ana.downsample(_rows(spark, sf_dir), "stage", "t_s", "value", 1.0)
+    return _rounded(ana.downsample(_rows(spark, sf_dir), "stage", "t_s", "value", 1.0), "t", "v")
 
 
 @query(f"WITH {ROWS}, d AS (SELECT ord, floor(value) - coalesce(lag(floor(value)) OVER (PARTITION BY stage ORDER BY ord), 0) AS d FROM rows_) SELECT ord, CAST(sum(d) OVER (ORDER BY ord) AS BIGINT) AS total FROM d")
@@ -302,25 +259,33 @@ def win_running_count(spark, sf_dir):
     return ana.running_count(_rows(spark, sf_dir), "stage", ["ord"]).select("ord", "stage", "running")
 
 
-_SWEEP = "s AS (SELECT 1000 * (1 + event_id % 8) AS offered, event_type AS stage, quantile_cont(value, 0.5) AS p50 FROM events GROUP BY 1, 2), e AS (SELECT 1000 * (1 + event_id % 8) AS offered, event_type AS edge, quantile_cont(value / 3, 0.5) AS p50 FROM events GROUP BY 1, 2), r AS (SELECT 1000 * (1 + range) AS offered, least(1000 * (1 + range), 5.5e3) AS sustained FROM range(8))"
+_Q = "quantile_cont({v}, 0.5) AS p50, quantile_cont({v}, 0.99) AS p99"
+_SWEEP = (
+    f"o AS (SELECT 1000 * (1 + event_id % 8) AS offered, event_type AS stage, value FROM events), s AS (SELECT offered, stage, {_Q.format(v='value')} FROM o GROUP BY 1, 2), e AS (SELECT offered, stage, {_Q.format(v='value / 3')} FROM o GROUP BY 1, 2), "
+    f"i AS (SELECT offered, {_Q.format(v='value / 5')} FROM o GROUP BY 1), r AS (SELECT offered, round(offered * avg(CASE WHEN value < 140 - offered / 100 THEN 1e0 ELSE 0e0 END), 6) AS sustained FROM o GROUP BY 1)"
+)
 
 
 def _sweep(spark, sf_dir):
+    """Quantiles by stage, by edge and of the ingress wait for each offered rate, and what of it is sustained."""
     rows = X.events(spark, sf_dir).select((1000 * (1 + F.col("event_id") % 8)).alias("offered"), F.col("event_type").alias("stage"), "value")
-    runs = spark.range(8).select((1000 * (1 + F.col("id"))).alias("offered"), F.least((1000 * (1 + F.col("id"))).cast("double"), F.lit(5500.0)).alias("sustained"))
-    stages = rows.groupBy("offered", "stage").agg(F.percentile("value", 0.5).alias("p50"))
-    edges = rows.groupBy("offered", "stage").agg(F.percentile(F.col("value") / 3, 0.5).alias("p50"))
-    return stages, edges, runs
+    quantiles = lambda by, share: linear_quantiles(rows.withColumn("value", F.col("value") / share), "value", {"p50": 0.5, "p99": 0.99}, ["offered", *by])
+    runs = rows.groupBy("offered").agg(F.round(F.col("offered") * F.avg(F.when(F.col("value") < 140 - F.col("offered") / 100, 1.0).otherwise(0.0)), 6).alias("sustained"))
+    return quantiles(["stage"], 1), quantiles(["stage"], 3), quantiles([], 5), runs
+
+
+_SUMS = ", ".join(f"round((SELECT sum({p}) FROM {t} WHERE {t}.offered = r.offered), 6) AS {name}_{p}" for name, t in (("compute", "s"), ("transport", "e"), ("ingress", "i")) for p in ("p50", "p99"))
 
 
-@query(f"WITH {_SWEEP} SELECT offered, sustained, round((SELECT sum(p50) FROM s WHERE s.offered = r.offered), 6) AS compute_ms, round((SELECT sum(p50) FROM e WHERE e.offered = r.offered), 6) AS transport_ms FROM r")
+@query(f"WITH {_SWEEP} SELECT offered, sustained, {_SUMS} FROM r")
 def ana_sweep_rows(spark, sf_dir):
-    return _rounded(ana.sweep_rows(*_sweep(spark, sf_dir)), "compute_ms", "transport_ms").select("offered", "sustained", "compute_ms", "transport_ms")
+    out = ana.sweep_rows(*_sweep(spark, sf_dir))
+    return _rounded(out, *[c for c in out.columns if c not in ("offered", "sustained")])
 
 
 @query(f"WITH {_SWEEP}, k AS (SELECT min(offered) AS low, min(offered) FILTER (sustained < 9e-1 * offered) AS knee FROM r) SELECT CASE WHEN knee > low THEN knee END AS knee FROM k")
 def ana_knee(spark, sf_dir):
-    return ana.knee(_sweep(spark, sf_dir)[2])
+    return ana.knee(_sweep(spark, sf_dir)[3])
 
 
 @query("SELECT event_type AS stage, count(*) AS n, round(sum(value * (event_id % 9)) / sum(event_id % 9), 6) AS mean, round(stddev_samp(value), 6) AS std FROM events WHERE value > 0 AND event_id % 9 > 0 GROUP BY 1")
@@ -338,7 +303,7 @@ def agg_boxplot(spark, sf_dir):
 
 
 @query(
-    f"WITH {ROWS}, p AS (SELECT stage, v, lag(v) OVER (PARTITION BY stage ORDER BY v) AS u FROM (SELECT DISTINCT stage, value AS v FROM rows_ WHERE value > 0)), t AS (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY v / u DESC, v) AS k FROM p WHERE u IS NOT NULL) SELECT stage, round(sqrt(u * v), 6) AS split FROM t WHERE k = 1"
+    f"WITH {ROWS}, p AS (SELECT stage, value AS v, lag(value) OVER (PARTITION BY stage ORDER BY value) AS u FROM rows_), t AS (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY v / greatest(u, 1e-9) DESC, v) AS k FROM p WHERE u IS NOT NULL) SELECT stage, round(sqrt(u * v), 6) AS split FROM t WHERE k = 1"
 )
 def ana_gap_split(spark, sf_dir):
     return _rounded(ana.gap_split(_rows(spark, sf_dir), "stage", "value"), "split")
@@ -354,33 +319,34 @@ def nested_first_match(spark, sf_dir):
     return rows.select(F.col("event_id").alias("seq"), F.explode(ana.annotation("children", "initTime")).alias("m")).select("seq", "m.name", "m.value")
 
 
-@query("WITH r AS (SELECT value, row_number() OVER (ORDER BY event_id) AS rn FROM events) SELECT (rn - 1) // 250 AS chunk, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99 FROM r GROUP BY 1")
+@query(
+    "WITH r AS (SELECT value, row_number() OVER (ORDER BY event_id) AS rn, count(*) OVER () AS n FROM events), q AS (SELECT count(*) AS polls FROM events WHERE event_type = 'click') "
+    "SELECT (rn - 1) // greatest(n // polls, 1) AS chunk, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99 FROM r, q WHERE (rn - 1) // greatest(n // polls, 1) < polls GROUP BY 1"
+)
 def ana_chunk_percentiles(spark, sf_dir):
-    return _rounded(ana.chunk_quantiles(_rows(spark, sf_dir).select("ord", "value"), ["ord"], "value", 250), "p50", "p99")
+    rows = _rows(spark, sf_dir)
+    return _rounded(ana.chunk_quantiles(rows.select("ord", "value"), ["ord"], "value", rows.where("stage = 'click'")), "p50", "p99")
 
 
-@query("SELECT event_id AS seq, event_type AS stage, CASE WHEN event_id % 4 = 1 THEN 0e0 ELSE CAST(event_id AS DOUBLE) END AS cold_start_ms FROM events WHERE event_id % 4 < 3")
+@query("SELECT CASE WHEN event_id % 2 = 0 THEN 'a/b' ELSE 'c' END AS stage, round(event_id * 5e-2 - 1e1, 6) AS t_s, CAST(event_id AS DOUBLE) AS cold_start_ms FROM events WHERE event_type = 'click' AND event_id % 3 <> 0")
 def log_cold_starts(spark, sf_dir):
-    """Boot messages of workers: the stage stands in the component; the time in a field, or else counts as 0."""
-    i = F.col("event_id") % 4
-    log = X.events(spark, sf_dir).select(
-        "event_id", F.concat(F.lit("worker/"), "event_type").alias("component"), F.when(i < 3, "worker booted").otherwise("progress").alias("msg"), F.when(i != 1, F.col("event_id").cast("string")).otherwise("n/a").alias("ms")
-    )
-    boots = log.where(F.col("msg") == "worker booted")
-    return boots.select(F.col("event_id").alias("seq"), F.split("component", "/")[1].alias("stage"), F.coalesce(F.expr("try_cast(ms as double)"), F.lit(0.0)).alias("cold_start_ms"))
+    """Starts that a log tells of; every third boot message of the fixture has no number, and is left out."""
+    return _rounded(logs.boots(X.log_lines(spark, sf_dir), 10.0), "t_s").select("stage", "t_s", "cold_start_ms")
 
 
-@query("WITH a AS (SELECT row_number() OVER (ORDER BY event_id) AS rn, value AS cpu FROM events WHERE event_id % 2 = 0), b AS (SELECT row_number() OVER (ORDER BY event_id) AS rn, CAST(event_id AS DOUBLE) AS rss FROM events WHERE event_id % 3 = 0) SELECT rn, cpu, rss FROM a FULL JOIN b USING (rn)")
-def join_full_outer_positional(spark, sf_dir):
-    e = X.events(spark, sf_dir)
-    a = e.where("event_id % 2 = 0").select("event_id", F.col("value").alias("cpu"))
-    b = e.where("event_id % 3 = 0").select("event_id", F.col("event_id").cast("double").alias("rss"))
-    return ana.zip_positions(a, b, ["event_id"], ["event_id"], ("cpu", "rss"))
+@query("SELECT 's' || event_id % 9 AS stage, CAST(event_id % 70 AS DOUBLE) AS queue_up, 0e0 AS queue_down, 1 AS min_rep, 8 AS max_rep FROM events WHERE event_type = 'view'")
+def log_scaling_params(spark, sf_dir):
+    return logs.scaling_params(X.log_lines(spark, sf_dir))
+
+
+@query("SELECT round(event_id * 5e-2, 6) AS ts, event_id * 2 AS sent FROM events WHERE event_type NOT IN ('click', 'view')")
+def log_load_progress(spark, sf_dir):
+    return logs.load_progress(X.log_lines(spark, sf_dir)).select(F.round("ts", 6).alias("ts"), "sent")
 
 
 @query("WITH a AS (SELECT row_number() OVER (ORDER BY event_id) AS rn, value AS cpu FROM events WHERE event_type = 'view'), b AS (SELECT row_number() OVER (ORDER BY event_id) AS rn, CAST(event_id AS DOUBLE) AS rss FROM events WHERE event_type <> 'view') SELECT rn, cpu, rss FROM a FULL JOIN b USING (rn)")
-def join_full_outer_positional_whole(spark, sf_dir):
-    """As join_full_outer_positional, with every row on a side: views, and all others."""
+def join_full_outer_positional(spark, sf_dir):
+    """Every row is on a side: views, and all others."""
     e = X.events(spark, sf_dir)
     a = e.where("event_type = 'view'").select("event_id", F.col("value").alias("cpu"))
     b = e.where("event_type <> 'view'").select("event_id", F.col("event_id").cast("double").alias("rss"))

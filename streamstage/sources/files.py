@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamstage.sources.generator import sensor_readings
+from streamstage.sources.generator import sensor_readings, sensor_stream
 
 #: The places at which run summaries have had their event rows.
 EVENT_ROWS = ("events.rows", "per_event_log", "events")
@@ -77,23 +77,36 @@ def _sensors(spark: SparkSession, params: dict[str, Any]) -> DataFrame:
     return sensor_readings(spark, int(params.get("count", rate * seconds)), int(params.get("sensors", 10)), int(params.get("seed", 1)))
 
 
-#: Sources that a pipeline file can name.
+def _stream(spark: SparkSession, kind: str, given: dict[str, Any]) -> DataFrame:
+    reader = spark.readStream.format(kind)
+    for k, v in given.items():
+        reader = reader.option(k, v)
+    return reader.load()
+
+
+#: Sources that a pipeline file can name: kind -> DataFrame by the parameters. Text and messages come as ``payload``.
 SOURCES: dict[str, Callable[[SparkSession, dict[str, Any]], DataFrame]] = {
     "loadgen": _sensors,
     "sensors": _sensors,
     "parquet": lambda spark, p: spark.read.parquet(p["path"]),
     "json": lambda spark, p: spark.read.schema(p["schema"]).json(p["path"]),
     "csv": lambda spark, p: read_csv(spark, p["path"], p["schema"]),
-    "rate": lambda spark, p: spark.readStream.format("rate").option("rowsPerSecond", p.get("rate", 1)).load(),
-    "socket": lambda spark, p: spark.readStream.format("socket").option("host", p["host"]).option("port", p["port"]).load(),
-    "kafka": lambda spark, p: spark.readStream.format("kafka").option("kafka.bootstrap.servers", p["servers"]).option("subscribe", p["topic"]).load().selectExpr("cast(value as string) as payload"),
+    "text": lambda spark, p: spark.read.text(p["path"]).select(F.col("value").alias("payload")),
+    "text-stream": lambda spark, p: _stream(spark, "text", {"path": p["path"]}).select(F.col("value").alias("payload")),
+    "rate": lambda spark, p: _stream(spark, "rate", {"rowsPerSecond": p.get("rate", 1)}).select("timestamp", F.col("value").alias("seq")),
+    "rate-micro-batch": lambda spark, p: _stream(spark, "rate-micro-batch", {"rowsPerBatch": p.get("rate", 1)}).select("timestamp", F.col("value").alias("seq")),
+    "sensor-stream": lambda spark, p: sensor_stream(spark, p),
+    "socket": lambda spark, p: _stream(spark, "socket", {"host": p["host"], "port": p["port"]}).select(F.col("value").alias("payload")),
+    "kafka": lambda spark, p: _stream(spark, "kafka", {"kafka.bootstrap.servers": p["servers"], "subscribe": p["topic"], "startingOffsets": p.get("from", "earliest")}).selectExpr("cast(value as string) as payload"),
 }
 
 
 def open_source(spark: SparkSession, kind: str, params: dict[str, Any]) -> DataFrame:
+    """The source's events, with further ``columns`` (name -> SQL) that the parameters ask for."""
     if kind not in SOURCES:
         raise ValueError(f"unknown source kind {kind!r}; known: {', '.join(sorted(SOURCES))}")
-    return SOURCES[kind](spark, params)
+    df = SOURCES[kind](spark, params)
+    return df.selectExpr("*", *[f"{sql} AS `{name}`" for name, sql in (params.get("columns") or {}).items()])
 
 
 def source_flags(params: dict[str, Any]) -> list[str]:

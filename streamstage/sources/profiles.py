@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from streamstage.operators.keyed import recurrence
+
 
 @dataclass(frozen=True)
 class Profile:
@@ -41,12 +43,26 @@ def profile_rates(spark, profile: Profile, seconds: int) -> DataFrame:
 
 
 def token_bucket(ticks: DataFrame, order: str = "tick", key: str = "run") -> DataFrame:
-    """(key, tick, emitted): each tick adds target * dt tokens, target at most (and at least 1); whole tokens leave."""
-    listed = ticks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "target", "dt"))).alias("l"))
-    have = "least(a.tokens + greatest(x.target, 1D) * x.dt, greatest(x.target, 1D))"
-    step = f"named_struct('tokens', {have} - floor({have}), 'out', array_append(a.out, named_struct('tick', x.{order}, 'emitted', floor({have}))))"
-    fold = F.expr(f"aggregate(l, named_struct('tokens', 0D, 'out', cast(array() as array<struct<tick:bigint,emitted:bigint>>)), (a, x) -> {step}, a -> a.out)")
-    return listed.select(key, F.explode(fold).alias("s")).select(key, F.col("s.tick").alias(order), F.col("s.emitted").alias("emitted"))
+    """(key, tick, emitted, dropped): each tick adds target * dt tokens, target at most (and at least 1); whole tokens
+    leave. ``ticks`` may have ``room``: how many events can be sent at the tick; those over it are dropped."""
+
+    def fold():
+        tokens = 0.0
+
+        def step(tick, target, dt, room):
+            nonlocal tokens
+            target = max(target, 1.0)
+            tokens = min(tokens + target * dt, target)
+            out = int(tokens)
+            tokens -= out
+            sent = out if room is None else min(out, room)
+            return [(tick, sent, out - sent)]
+
+        return step, lambda: ()
+
+    room = F.col("room").cast("long") if "room" in ticks.columns else F.lit(None).cast("long")
+    rows = ticks.select(key, F.col(order).cast("long").alias("__tick"), "target", "dt", room.alias("room"))
+    return recurrence(rows, key, "__tick", ["target", "dt", "room"], f"{order} bigint, emitted bigint, dropped bigint", fold)
 
 
 def round_robin(spark, events: int, sensors: int) -> DataFrame:

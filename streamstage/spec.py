@@ -196,6 +196,23 @@ def _old(raw: dict[str, Any], folder: Path) -> PipelineSpec:
     )
 
 
+def queue_params(path: str | Path) -> dict[str, dict[str, float | int]]:
+    """Each stage's queue_up, queue_down, min_rep and max_rep, from a file of which nothing else need be right: defaults
+    for what a stage leaves out, stages without any scaling left out."""
+    try:
+        raw = yaml.safe_load(Path(path).read_text())
+    except yaml.YAMLError as e:
+        raise SpecError(f"{path}: not YAML: {e}") from e
+    stages = raw.get("stages") if isinstance(raw, dict) else None
+    out: dict[str, dict[str, float | int]] = {}
+    for s in stages if isinstance(stages, list) else ():
+        scaling = s.get("scaling") if isinstance(s, dict) else None
+        if isinstance(scaling, dict) and scaling and s.get("name"):
+            get = lambda k, default, kind: kind(scaling.get(k, default))  # noqa: B023, E731
+            out[str(s["name"])] = {"queue_up": get("queue_up", 50, float), "queue_down": get("queue_down", 0, float), "min_rep": get("min", 1, int), "max_rep": get("max", 8, int)}
+    return out
+
+
 def endpoints(spec: PipelineSpec) -> dict[str, dict[str, int]]:
     """Ports of each stage, three in a row from ``port_base``. Informational: Spark needs none."""
     return {s.name: {"push": spec.port_base + 3 * i, "pull": spec.port_base + 3 * i + 1, "ctrl": spec.port_base + 3 * i + 2} for i, s in enumerate(spec.ordered())}

@@ -11,12 +11,13 @@ from streamstage.spec import PipelineSpec
 from streamstage.streaming.stateful import PROVIDER
 
 
-def run_stream(spec: PipelineSpec, events: DataFrame, out: str, checkpoint: str, mode: str = "contract", keep: tuple[str, ...] = ("seq",)):
-    """Start the pipeline over streaming typed ``events``; all that is there now is worked off, then it ends. Parquet files
-    in ``out``; with the checkpoint, each event is written once."""
+def run_stream(spec: PipelineSpec, events: DataFrame, out: str, checkpoint: str, mode: str = "contract", keep: tuple[str, ...] = ("seq",), once: bool = True):
+    """Start the pipeline over streaming typed ``events``; all that is there now is worked off, then it ends, or with
+    ``once`` false it goes on until it is stopped. Parquet files in ``out``; with the checkpoint, each event is written once."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     done = compile_pipeline(spec, events, mode, keep)
-    return done.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    writer = done.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def collect_and_tee(finished: DataFrame, log: str, tees: list[Callable[[DataFrame], None]], checkpoint: str):

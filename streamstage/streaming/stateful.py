@@ -50,7 +50,7 @@ def features(block: np.ndarray) -> tuple[float, float, float, float]:
     d = block - block.mean()
     m2 = (d * d).mean()
     kurtosis = (d**4).mean() / (m2 * m2) - 3.0 if m2 > 1e-18 else 0.0
-    mags = np.abs(np.fft.fft(block.astype(np.float32))[: len(block) // 2]).astype(np.float64)
+    mags = np.abs(np.fft.fft(block)[: len(block) // 2])
     total = mags.sum() + 1e-12
     flat = np.exp(np.log(mags + 1e-12).mean()) / (total / len(mags) + 1e-12)
     return float(np.sqrt((block * block).mean())), float((np.arange(len(mags)) * mags).sum() / total), float(flat), float(kurtosis)

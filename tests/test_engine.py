@@ -196,7 +196,7 @@ def test_golden_values(spark):
     assert df.select(signal.excess_kurtosis("v")).first()[0] == pytest.approx(-1.2242424242424241)
     assert sum(signal.FIR_TAPS) == pytest.approx(0.816)
     # Published test vectors: bytes i % 251.
-    for n, told in ((0, "af1349b9f5f9a1a6"), (1, "2d3adedff11b61f1"), (1025, "d00278ae47eb27b3"), (2049, "5f4d72f40d7a5f82")):
+    for n, told in ((0, "af1349b9f5f9a1a6"), (1, "2d3adedff11b61f1"), (1024, "42214739f095a406"), (1025, "d00278ae47eb27b3"), (2048, "e776b6028c7cd22a"), (2049, "5f4d72f40d7a5f82"), (3072, "b98cb0ff3623be03"), (4096, "015094013f57a527"), (5120, "9cadc15fed8b5d85"), (6144, "3e2e5b74e048f3ad"), (7168, "61da957ec2499a95"), (8192, "aae792484c8efe4f")):
         assert blake3_hex(bytes(i % 251 for i in range(n))).startswith(told)
     rates = {t: Profile(**p).target(F.lit(t)) for t, p in ((15, {"kind": "ramp", "rate": 1000, "ramp_start": 100, "ramp_time": 30}), (1, {"kind": "burst", "rate": 900, "burst_base_rate": 7}), (5, {"kind": "burst", "rate": 900, "burst_base_rate": 7}), (0, {"kind": "wave", "rate": 1000}))}
     assert spark.range(1).select(*[c.alias(str(t)) for t, c in rates.items()]).first().asDict() == {"15": 550, "1": 900, "5": 7, "0": 600}
@@ -240,8 +240,22 @@ def test_autoscaler_against_a_loop(spark):
 
 
 def test_dispatch_keeps_all(spark):
-    got = flow.dispatch(spark.createDataFrame([("s", i, i % 5, i % 3) for i in range(100)], "stage string, tick long, arrivals long, credits long"), buffer=20).first()
-    assert got.dispatched + got.queued + got.refused == sum(i % 5 for i in range(100)) and got.most_queued == 20
+    trace = spark.createDataFrame([("s", i, i % 5, i % 3, 0) for i in range(100)], "stage string, tick long, arrivals long, credits long, lost long")
+    got = flow.dispatch(trace, buffer=20).first()
+    assert got.dispatched + got.queued + got.waiting == sum(i % 5 for i in range(100)) and got.most_queued == 20 and got.waiting > 0
+
+
+def test_dispatch_in_batches_and_with_lost_workers(spark):
+    run = lambda rows, **how: flow.dispatch(spark.createDataFrame([("s", i, *r) for i, r in enumerate(rows)], "stage string, tick long, arrivals long, credits long, lost long"), **how).first()
+    # A turn sends a batch before and one after it polls.
+    assert run([(1000, 1000, 0)]).dispatched == 256 and run([(1000, 1000, 0), (0, 0, 0)]).dispatched == 768
+    # A lost worker's credits go, its events stay.
+    got = run([(10, 4, 0), (0, 8, 6), (0, 0, 0)])
+    assert (got.dispatched, got.queued, got.purged, got.idle_credits) == (6, 4, 6, 0)
+    assert run([(0, 3, 9), (5, 0, 0)]).dispatched == 0
+    # With a full buffer nothing is polled; what waits comes later, nothing is refused.
+    got = run([(50, 0, 0), (0, 30, 0), (0, 30, 0), (0, 30, 0)], buffer=20)
+    assert (got.dispatched, got.waiting, got.most_queued) == (50, 0, 20)
 
 
 def test_downsample_against_a_loop(spark):
@@ -252,7 +266,9 @@ def test_downsample_against_a_loop(spark):
 
 def test_token_bucket(spark):
     ticks = spark.createDataFrame([("r", i, t, 0.25) for i, t in enumerate([10.0, 10.0, 0.0, 1.0])], "run string, tick long, target double, dt double")
-    assert [r.emitted for r in token_bucket(ticks).orderBy("tick").collect()] == [2, 3, 0, 0]
+    assert [(r.emitted, r.dropped) for r in token_bucket(ticks).orderBy("tick").collect()] == [(2, 0), (3, 0), (0, 0), (0, 0)]
+    full = token_bucket(ticks.withColumn("room", F.lit(2))).orderBy("tick").collect()
+    assert [(r.emitted, r.dropped) for r in full] == [(2, 0), (2, 1), (0, 0), (0, 0)]
 
 
 def test_sensors(spark):
@@ -268,6 +284,27 @@ def test_sensors(spark):
     assert json.loads(end_mark(5, 5, 1.0))["eos"] is True
 
 
+def test_sensor_streams_go_on_where_they_stopped(spark, tmp_path):
+    from streamstage.sources import generator
+
+    def run(count):
+        stream = generator.sensor_stream(spark, {"count": count, "sensors": 7, "seed": 4, "rowsPerBatch": 200, "partitions": 3})
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).start()
+        q.processAllAvailable()
+        q.stop()
+
+    run(500)
+    run(1300)
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted(tuple(r) for r in sensor_readings(spark, 1300, 7, seed=4).collect())
+    whole = generator.Sensor(1, 9).readings(3000)
+    parts = generator.Sensor(1, 9)
+    made = [parts.readings(n) for n in (1, 999, 0, 2000)]
+    import numpy as np
+
+    assert np.allclose(np.concatenate([v for v, _ in made]), whole[0], atol=2e-4) and (np.concatenate([o for _, o in made]) == whole[1]).all()
+
+
 def test_file_readers(spark, tmp_path):
     (tmp_path / "log.jsonl").write_text('{"ts": 1.5, "level": "info", "component": "worker/a", "msg": "worker booted", "cold_start_ms": "3"}\n\n{broken\n')
     row = files.read_log(spark, str(tmp_path / "log.jsonl")).collect()
@@ -299,6 +336,183 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["validate", "--config", str(tmp_path / "p.yaml")]) == 1
 
 
+@pytest.mark.parametrize("kind", ["text", "text-stream", "parquet", "parquet payload", "json", "csv", "sensor-stream", "rate", "rate-micro-batch", "socket"])
+def test_sources_from_the_command_line(spark, tmp_path, kind):
+    """Each source's events reach the stages as what they say, not as defaults."""
+    import socket
+    import threading
+
+    rows = [{"sensor_id": f"s{i}", "value": 60.0 + 10 * i} for i in range(4)]
+    lines = "".join(json.dumps(r) + "\n" for r in rows) + "{broken\n"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(lines if kind != "json" else lines.replace("{broken\n", ""))
+    (tmp_path / "in.csv").write_text("sensor_id,value\n" + "".join(f"{r['sensor_id']},{r['value']}\n" for r in rows))
+    spark.createDataFrame([(r["sensor_id"], r["value"]) for r in rows], "sensor_id string, value double").write.parquet(str(tmp_path / "typed"))
+    spark.createDataFrame([(x,) for x in lines.splitlines()], "payload string").write.parquet(str(tmp_path / "raw"))
+    columns = "columns: {sensor_id: \"concat('s', seq % 4)\", value: '60 + 10 * (seq % 4)'}"
+    server = socket.create_server(("localhost", 0))
+    source = {
+        "text": f"kind: text, path: '{tmp_path}/in'", "text-stream": f"kind: text-stream, path: '{tmp_path}/in'", "parquet": f"kind: parquet, path: '{tmp_path}/typed'", "parquet payload": f"kind: parquet, path: '{tmp_path}/raw'",
+        "json": f"kind: json, path: '{tmp_path}/in', schema: 'sensor_id string, value double'", "csv": f"kind: csv, path: '{tmp_path}/in.csv', schema: 'sensor_id string, value double'",
+        "sensor-stream": "kind: sensor-stream, count: 40, sensors: 4", "rate": f"kind: rate, rate: 50, {columns}", "rate-micro-batch": f"kind: rate-micro-batch, rate: 8, {columns}", "socket": f"kind: socket, host: localhost, port: {server.getsockname()[1]}",
+    }[kind]
+
+    def serve():
+        try:
+            while True:
+                c, _ = server.accept()
+                c.sendall(lines.encode())
+        except OSError:
+            pass
+
+    threading.Thread(target=serve, daemon=True).start()
+    (tmp_path / "p.yaml").write_text(GOOD.replace("source: {kind: loadgen, count: 50, sensors: 5}", f"source: {{{source}}}"))
+    assert cli.main(["run", "--config", str(tmp_path / "p.yaml"), "--log-dir", str(tmp_path / "logs"), "--seconds", "8"]) == 0
+    server.close()
+    got = {(r.sensor_id, r.value, r.severity) for r in spark.read.parquet(str(tmp_path / "logs/events")).collect()}
+    if kind == "sensor-stream":
+        assert {r[0] for r in got} == {f"sensor-{i:04d}" for i in range(4)} and any(r[1] for r in got)
+    else:
+        assert got == {("s0", 60.0, "normal"), ("s1", 70.0, "normal"), ("s2", 80.0, "medium"), ("s3", 90.0, "high")}
+
+
+def test_sources_without_a_required_column(spark, tmp_path, capsys):
+    spark.range(3).write.parquet(str(tmp_path / "in"))
+    (tmp_path / "p.yaml").write_text(GOOD.replace("kind: loadgen, count: 50, sensors: 5", f"kind: parquet, path: '{tmp_path}/in'"))
+    assert cli.main(["run", "--config", str(tmp_path / "p.yaml"), "--log-dir", str(tmp_path / "logs")]) == 1
+    assert "no sensor_id, value" in capsys.readouterr().err
+
+
+def test_kafka_is_read_as_payload(monkeypatch):
+    """Without a broker: the options that the reader gets, and which column the messages come in."""
+    seen = {}
+
+    class Reader:
+        def format(self, kind):
+            seen["format"] = kind
+            return self
+
+        def option(self, k, v):
+            seen[k] = v
+            return self
+
+        def load(self):
+            return self
+
+        def selectExpr(self, *what):
+            seen.setdefault("what", what)
+            return self
+
+    files.open_source(type("S", (), {"readStream": Reader()})(), "kafka", {"servers": "b:9092", "topic": "t"})
+    assert seen["format"] == "kafka" and seen["subscribe"] == "t" and seen["what"] == ("cast(value as string) as payload",)
+
+
+def test_queue_params_of_loose_files(tmp_path):
+    from streamstage.spec import queue_params
+
+    (tmp_path / "p.yaml").write_text("anything: [1]\nstages:\n  - name: a\n    scaling: {queue_up: 9, max: 3}\n  - name: b\n  - name: c\n    scaling: {min: 2}\nother:\n  x: 1\n")
+    assert queue_params(tmp_path / "p.yaml") == {"a": {"queue_up": 9.0, "queue_down": 0.0, "min_rep": 1, "max_rep": 3}, "c": {"queue_up": 50.0, "queue_down": 0.0, "min_rep": 2, "max_rep": 8}}
+    (tmp_path / "p.yaml").write_text("a: [")
+    with pytest.raises(SpecError):
+        queue_params(tmp_path / "p.yaml")
+
+
+def test_throughput_leaves_out_the_start_only(spark):
+    from streamstage.operators import telemetry as tel
+
+    # 100 s, one event a second, and 50 more in the last second.
+    times = [float(t) for t in range(101)] + [100.0] * 50
+    log = spark.createDataFrame([(i, t, [("a", t, t)]) for i, t in enumerate(times)], "seq long, recv_ts double, hops array<struct<stage:string,enter_ts:double,exit_ts:double>>")
+    got = tel.throughput(log).first()
+    assert (got.received, got.duration_s, got.sustained_eps, got.trim_s, round(got.warm_eps, 9)) == (151, 100.0, 1.51, 5.0, round((96 + 50) / 95, 9))
+    assert tel.stage_rates(log).first() == ("a", 1.51)
+    one = tel.throughput(log.where("seq = 0")).first()
+    assert (one.sustained_eps, one.warm_eps) == (0.0, 1000.0)
+
+
+def test_forward_fill_of_one_large_key(spark):
+    import time
+
+    from streamstage.operators import telemetry as tel
+
+    rows = spark.range(600_000).selectExpr("'k' AS stage", "id * 1D AS t_s", "id * 2D AS value")
+    began = time.time()
+    got = tel.forward_fill(rows.where("t_s % 3 <> 0").select("stage", "t_s"), rows.where("t_s % 3 = 0")).agg(F.sum("value"), F.count("value"), F.count(F.lit(1))).first()
+    told = [2 * (-(-t // 3) * 3) for t in range(600_000) if t % 3 and -(-t // 3) * 3 < 600_000]
+    assert got[0] == sum(told) and got[1] == len(told) and got[2] == 400_000 and time.time() - began < 60
+
+
+def test_totals_between_seconds_are_held_at_both_ends(spark):
+    from streamstage.operators.analysis import per_second_from_total
+
+    points = [("a", 1.5, 10), ("a", 3.0, 40), ("a", 3.0, 50), ("a", 4.25, 60), ("b", 0.0, 5)]
+
+    def at(key, t):
+        own = [(x, v) for k, x, v in points if k == key]
+        if t <= own[0][0]:
+            return own[0][1]
+        if t >= own[-1][0]:
+            return own[-1][1]
+        i = next(i for i, (x, _) in enumerate(own) if x >= t)
+        (x0, v0), (x1, v1) = own[i - 1], own[i]
+        return v0 + (t - x0) / (x1 - x0) * (v1 - v0)
+
+    got = {(r.stage, r.second): r.value for r in per_second_from_total(spark.createDataFrame(points, "stage string, t double, n long"), "t", "n", "stage").collect()}
+    assert got.keys() == {(k, s) for k in "ab" for s in range(4)}
+    assert all(abs(v - (at(k, s + 1) - at(k, s))) < 1e-9 for (k, s), v in got.items())
+
+
+def test_gap_split_keeps_zeros(spark):
+    from streamstage.operators.analysis import gap_split
+
+    rows = [("a", 0.0), ("a", 2.0), ("a", 8.0), ("b", 3.0), ("c", 4.0), ("c", 4.0), ("d", 1.0), ("d", 3.0), ("d", 9.0), ("d", 9.5)]
+    got = {r.k: r.split for r in gap_split(spark.createDataFrame(rows, "k string, v double"), "k", "v").collect()}
+    assert got == {"a": 0.0, "b": 1.0, "c": 4.0, "d": pytest.approx(3**0.5)}
+
+
+def test_chunks_follow_the_polls(spark):
+    from streamstage.operators.analysis import chunk_quantiles
+
+    rows = spark.range(23).selectExpr("id", "id * 1D AS v")
+    got = chunk_quantiles(rows, ["id"], "v", spark.range(5)).orderBy("chunk").collect()
+    assert [(r.chunk, r.n, r.p50) for r in got] == [(k, 4, 4 * k + 1.5) for k in range(5)]
+    assert chunk_quantiles(rows, ["id"], "v", spark.range(40)).count() == 23
+
+
+def test_logs(spark):
+    from streamstage.operators import logs
+
+    rows = [(5.0, "worker/a/b", "worker booted", {"cold_start_ms": "3", "boot_ms": "x"}), (6.0, "w", "worker booted", {"cold_start_ms": "4.5"}), (7.0, "worker/c", "worker booted", {}), (8.0, "worker/c", "progress", {"cold_start_ms": "9", "sent": "7"})]
+    log = spark.createDataFrame(rows, "ts double, component string, msg string, fields map<string,string>")
+    found = logs.boots(log, 4.0)
+    assert sorted(map(tuple, found.collect())) == [("a/b", 1.0, None, 3.0), ("w", 2.0, None, 4.5)]
+    instead = spark.createDataFrame([("z", 1)], "stage string, cold_start_ms int")
+    assert logs.boots_or(found, instead).count() == 2 and logs.boots_or(found.where("false"), instead).first().stage == "z"
+    assert logs.boots(log).first().t_s is None and logs.load_progress(log).first().sent == 7
+    told = spark.createDataFrame([("1", "true"), ("0", "true"), ("0", "True"), ("0", "no"), ("x", "true"), ("0", None)], "is_prewarm string, success string")
+    assert logs.successes(told).count() == 2
+
+
+def test_exports(spark, tmp_path):
+    from streamstage.sources import sinks
+
+    starts = spark.createDataFrame([("AOT", 1, "a", 3.0, None, None, 1), ("AOT", 1, "a", 1.0, None, None, 2), ("JIT", 1, "a", 9.0, 2.0, 1.0, 1)], "mode string, iteration int, stage string, cold_start_ms double, compile_ms double, instantiate_pre_ms double, at int")
+    rows = sinks.cold_start_rows(starts, ["at"])
+    assert sorted(r.spawn_kind for r in rows.collect()) == ["first", "first", "warm"]
+    sinks.write_csv(rows, str(tmp_path / "cold"), "cold_starts")
+    assert spark.read.option("header", True).csv(str(tmp_path / "cold")).columns == sinks.EXPORTS["cold_starts"]
+    stats = sinks.summary_stats(rows)
+    assert stats.columns == sinks.EXPORTS["summary_stats"] and stats.count() == 3
+    used = sinks.cpu_mem(spark.createDataFrame([(0.0, 5.0)], "t_s double, cpu_pct double"), spark.createDataFrame([(0.1, 7.0), (1.1, 8.0)], "t_s double, rss_mb double"))
+    assert sorted(map(tuple, used.collect())) == [(0.0, 5.0, 7.0), (1.1, None, 8.0)]
+    for name in ("binned_latency", "loadgen", "grid_results"):
+        df = spark.createDataFrame([tuple(str(i) for i in range(len(sinks.EXPORTS[name])))], [*sinks.EXPORTS[name][::-1]])
+        sinks.write_csv(df, str(tmp_path / name), name)
+        assert spark.read.option("header", True).csv(str(tmp_path / name)).columns == sinks.EXPORTS[name]
+    with pytest.raises(ValueError, match="grid_results: no mode"):
+        sinks.write_csv(used, str(tmp_path / "bad"), "grid_results")
+
+
 def test_sinks_and_resources(spark, tmp_path):
     from streamstage.operators import resources, telemetry
     from streamstage.plans import fixtures

@@ -4,11 +4,11 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from streamstage.functions.blake3 import blake3_hex
+from streamstage.functions.blake3 import blake3_hex, blake3_hexes
 from streamstage.operators import analysis as ana
 from streamstage.operators import signal, stages
 from streamstage.operators import telemetry as tel
-from streamstage.operators.ranking import nearest_rank
+from streamstage.operators.ranking import linear_quantiles, nearest_rank, running_sum
 from streamstage.plans import fixtures as X
 
 SF = "/root/testdata/sf0.001"
@@ -39,13 +39,54 @@ def test_ingress_is_part_of_the_whole(spark):
 
 
 def test_replica_seconds_add_up(spark):
-    steps = ana.step_series(X.scaling_log(spark, SF), 60.0)
-    whole = {r.stage: r.replica_s for r in ana.replica_seconds(steps, 60.0).collect()}
+    steps = ana.step_series(X.scaling_log(spark, SF))
+    whole = {r.stage: r.replica_s for r in ana.replica_seconds(steps).collect()}
     cut = lambda low, high: steps.withColumns({"t_s": F.greatest("t_s", F.lit(low)), "until": F.least("until", F.lit(high))})
-    halves = [{r.stage: r.replica_s for r in ana.replica_seconds(cut(a, b), 30.0).collect()} for a, b in ((0.0, 30.0), (30.0, 60.0))]
+    halves = [{r.stage: r.replica_s for r in ana.replica_seconds(cut(a, b)).collect()} for a, b in ((0.0, 30.0), (30.0, 60.0))]
     assert all(abs(whole[s] - halves[0][s] - halves[1][s]) < 1e-6 for s in whole)
 
 
+@FEW
+@given(st.lists(st.tuples(st.integers(0, 2), st.floats(-1e6, 1e6), st.integers(1, 4)), min_size=1, max_size=60))
+def test_linear_quantiles_are_those_of_numpy(spark, rows):
+    import numpy as np
+
+    df = spark.createDataFrame(rows, "g int, v double, w int").repartition(3)
+    points = {"a": 0.0, "b": 0.5, "c": 0.95, "d": 1.0}
+    for weight in (None, "w"):
+        got = {r.g: [r[k] for k in points] for r in linear_quantiles(df, "v", points, ["g"], weight).collect()}
+        for g in {r[0] for r in rows}:
+            own = [v for a, v, w in rows if a == g for _ in range(w if weight else 1)]
+            assert np.allclose(got[g], np.quantile(own, list(points.values())), rtol=1e-9, atol=1e-9)
+
+
+@FEW
+@given(st.lists(st.tuples(st.sampled_from([0.0, 1.0, 2.5]), st.integers(-5, 5)), min_size=1, max_size=80))
+def test_running_sums(spark, rows):
+    numbered = [(t, i, d) for i, (t, d) in enumerate(rows)]
+    got = running_sum(spark.createDataFrame(numbered, "t double, i int, d int").repartition(4), ["t", "i"], "d", "sum").collect()
+    total, told = 0, {}
+    for _, i, d in sorted(numbered):
+        total += d
+        told[i] = total
+    assert {r.i: r["sum"] for r in got} == told
+
+
+@FEW
+@given(st.lists(st.integers(0, 60), max_size=25), st.lists(st.integers(0, 60), max_size=25))
+def test_nearest_match_against_a_search(spark, runs, logs):
+    a = [(i, t / 7) for i, t in enumerate(runs)]
+    b = [(100 + i, t / 7) for i, t in enumerate(logs)]
+    found = ana.nearest_match(spark.createDataFrame(a, "k long, t_s double"), spark.createDataFrame(b, "log_id long, t_s double"), 1.0, "k").collect()
+    told = {}
+    for k, t in a:
+        near = [(abs(u - t), u, i) for i, u in b if abs(u - t) < 1.0]
+        if near:
+            told[k] = min(near)[2]
+    got = {r.k: r.log_id for r in found}
+    assert got.keys() == told.keys() and all(abs(dict(b)[got[k]] - dict(a)[k]) <= abs(dict(b)[told[k]] - dict(a)[k]) + 1e-12 for k in told)
+
+
 def test_stages_keep_every_event(spark):
     reading, sample = X.reading(spark, SF), X.sensor_sample(spark, SF)
     for df in (stages.normalize(reading), stages.detect(reading), stages.tombstone(reading, "value > 10", "r"), signal.denoise(sample), signal.featurize(sample)):
@@ -64,6 +105,12 @@ def test_bootstrap_surrounds_the_median(spark):
     assert found and all(r.low <= r.m <= r.high for r in found)
 
 
+@given(st.lists(st.binary(max_size=5000), min_size=1, max_size=8))
+@settings(max_examples=20, deadline=None)
+def test_blake3_side_by_side_is_as_alone(messages):
+    assert blake3_hexes(messages) == [blake3_hex(m) for m in messages]
+
+
 @given(st.binary(max_size=3000))
 @settings(max_examples=20, deadline=None)
 def test_blake3_tells_inputs_apart(data):
@@ -75,7 +122,7 @@ def test_resampling_reaches_the_tables_end(spark):
 
     sf = "/root/testdata/sf0.1"
     last = spark.read.parquet(f"{sf}/events.parquet").agg({"event_id": "max"}).first()[0] * 5e-2
-    at = registry.QUERIES["asof_step_resample_whole"](spark, sf).toPandas()
+    at = registry.QUERIES["asof_step_resample"](spark, sf).toPandas()
     assert last > 600 and (at.groupby("stage").t_s.max() == round(last, 6)).all() and (at.groupby("stage").t_s.nunique() == 600).all()
 
 
@@ -84,7 +131,7 @@ def test_durations_are_the_tables(spark):
 
     sf = "/root/testdata/sf0.1"
     last = spark.read.parquet(f"{sf}/events.parquet").agg({"event_id": "max"}).first()[0] * 5e-2
-    made = {n: registry.QUERIES[f"ana_{n}_whole"](spark, sf).toPandas() for n in ("latency_timeseries", "step_series", "replica_seconds", "savings")}
+    made = {n: registry.QUERIES[f"ana_{n}"](spark, sf).toPandas() for n in ("latency_timeseries", "step_series", "replica_seconds", "savings")}
     assert len(made["latency_timeseries"]) == round(last) and made["latency_timeseries"].p50.notna().all()
     assert (made["step_series"].until >= made["step_series"].t_s).all() and made["step_series"].until.max() == round(last, 6)
     assert made["replica_seconds"].avg_replicas.between(1, 6).all() and made["savings"].saved_pct.between(0, 100).all()
@@ -95,7 +142,7 @@ def test_nearest_match_leaves_no_row_out(spark):
 
     rows = [(r.event_id, r.event_type) for r in spark.read.parquet(f"{SF}/events.parquet").select("event_id", "event_type").collect()]
     others = [i for i, kind in rows if kind != "view"]
-    got = {r.ord: r for r in registry.QUERIES["asof_nearest_whole"](spark, SF).collect()}
+    got = {r.ord: r for r in registry.QUERIES["asof_nearest"](spark, SF).collect()}
     for i, kind in rows:
         least = min(abs(j - i) for j in others)
         assert (i in got) == (kind == "view" and least < 20) and (i not in got or abs(got[i].log_id - i) == least)
@@ -104,5 +151,5 @@ def test_nearest_match_leaves_no_row_out(spark):
 def test_positional_join_holds_every_row(spark):
     from streamstage.plans import registry
 
-    got = registry.QUERIES["join_full_outer_positional_whole"](spark, SF).toPandas()
+    got = registry.QUERIES["join_full_outer_positional"](spark, SF).toPandas()
     assert got.cpu.notna().sum() + got.rss.notna().sum() == spark.read.parquet(f"{SF}/events.parquet").count()
