@@ -29,6 +29,8 @@ SEED = 17
 TOGETHER = 2 << 20
 #: Characters of filtered words that a worker keeps for the texts to come. Chances are the same without.
 KNOWN = 3 << 20
+#: Characters of words that are filtered side by side, and words that are sampled so; few enough for a core's own memory.
+SIDE_BY_SIDE, WORDS = 1 << 15, 1 << 14
 SPACE = "▁"
 _WORD = re.compile("[ ]*[^ ]+|[ ]+")
 #: Words longer than this are filtered one by one instead of side by side, in blocks of that many characters.
@@ -39,9 +41,9 @@ SAFE, RESCALE = 48, 16
 _models: dict[str, "Lattice"] = {}
 
 
-def _uniform(keys: np.ndarray, turn: np.ndarray) -> np.ndarray:
+def _uniform(keys: np.ndarray, turn: np.ndarray | int) -> np.ndarray:
     """Numbers in [0, 1) that depend on key and turn alone (SplitMix64)."""
-    z = keys + turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z = keys + np.asarray(turn, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
     return ((z ^ z >> np.uint64(31)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
@@ -63,6 +65,19 @@ def _portions(text_list: list[str]):
         yield portion
 
 
+class _Growing:
+    """An array that is added to."""
+
+    def __init__(self, dtype):
+        self.data, self.size = np.empty(1 << 12, dtype), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if (end := self.size + len(more)) > len(self.data):
+            self.data = np.concatenate([self.data[: self.size], np.empty(max(end, 2 * self.size) - self.size, self.data.dtype)])
+        self.data[self.size : end] = more
+        self.size = end
+
+
 class Lattice:
     def __init__(self, path: str):
         import sentencepiece
@@ -178,23 +193,25 @@ class Lattice:
 
     def _learn(self, words: list[str]) -> None:
         """Filter words (longest first) and keep what sampling needs beside that of the words before."""
-        if not words:
-            return
-        last, place, arcs, share, length, ids, chars = self.prepare(words)
-        self.known.update(zip(words, (last + self.kept).tolist(), strict=True))
-        first = self.first[-1] + np.cumsum(arcs)
-        new = (place, chars, share, length, ids)
-        self.first = np.concatenate([self.first, first])
-        self.nodes = [np.concatenate([old, x.astype(old.dtype)]) for old, x in zip(self.nodes, new[:2], strict=True)]
-        self.arcs = [np.concatenate([old, x.astype(old.dtype)]) for old, x in zip(self.arcs, new[2:], strict=True)]
-        self.kept += len(chars)
+        begin = size = 0
+        for end, word in enumerate(words, 1):
+            size += len(word)
+            if size >= SIDE_BY_SIDE or end == len(words):
+                last, place, arcs, share, length, ids, chars = self.prepare(words[begin:end])
+                self.known.update(zip(words[begin:end], (last + self.kept).tolist(), strict=True))
+                self.first.add(self.first.data[self.first.size - 1] + np.cumsum(arcs))
+                for kept, new in zip((self.place, self.char, self.share, self.length, self.ids), (place, chars, share, length, ids), strict=True):
+                    kept.add(new)
+                self.kept += size
+                begin, size = end, 0
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}  # each word's last node
         self.kept = 0
-        self.first = np.zeros(1, np.int64)  # first arc of each node
-        self.nodes = [np.zeros(0, np.int16), np.zeros(0, np.int32)]  # place, character
-        self.arcs = [np.zeros(0), np.zeros(0, np.int8), np.zeros(0, np.int32)]  # cumulated chance, length, id
+        self.first = _Growing(np.int64)  # first arc of each node
+        self.first.add(np.zeros(1, np.int64))
+        self.place, self.char = _Growing(np.int16), _Growing(np.int32)  # of nodes
+        self.share, self.length, self.ids = _Growing(np.float64), _Growing(np.int8), _Growing(np.int32)  # of arcs
 
     def sample_long(self, word: str, keys: np.ndarray) -> list[np.ndarray]:
         """Samples of one long word, by a key each. Only the logarithms of the forward sums are kept for the whole word;
@@ -278,7 +295,7 @@ class Lattice:
             self.forget()
             new = own - long.keys()
         self._learn(sorted(new, key=len, reverse=True))
-        (place, chars), (share, length, ids), first = self.nodes, self.arcs, self.first
+        first, place, chars, share, length, ids = (x.data for x in (self.first, self.place, self.char, self.share, self.length, self.ids))
         counts = np.array([len(x) for x in split], np.int64)
         doc = np.repeat(np.arange(len(split)), counts)
         last = np.fromiter(map((self.known | long if long else self.known).__getitem__, flat), np.int64, len(flat))
@@ -286,30 +303,30 @@ class Lattice:
         key = mixed[[d for d, _, _ in portion]][doc] + nth.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
         live = np.argsort(last, kind="stable")  # equal words side by side look up the same places
         one_by_one, live = np.split(live, [int((last < 0).sum()) if long else 0])
-        node = last[live]
         taken = np.zeros(len(flat), np.int64)
         got = []
-        turn = 0
-        while len(live):
-            draw = _uniform(key[live], np.full(len(live), turn))
-            at, low = first[node + 1] - 1, first[node]
-            high = np.flatnonzero((at > low) & (draw < share[np.maximum(at - 1, 0)]))  # the longest arc is the likeliest
-            while len(high):
-                at[high] -= 1
-                k = at[high]
-                high = high[(k > low[high]) & (draw[high] < share[np.maximum(k - 1, 0)])]
-            got.append((live, ids[at], chars[node]))
-            taken[live] += 1
-            step = length[at]
-            more = place[node] >= step
-            node = (node - step)[more]
-            live = live[more]
-            turn += 1
+        for begin in range(0, len(live), WORDS):
+            who, turn = live[begin : begin + WORDS], 0
+            node, own = last[who], key[who]
+            while len(who):
+                draw = _uniform(own, turn)
+                at, low = first[node + 1] - 1, first[node]
+                high = np.flatnonzero((at > low) & (draw < share[np.maximum(at - 1, 0)]))  # the longest arc is the likeliest
+                while len(high):
+                    at[high] -= 1
+                    k = at[high]
+                    high = high[(k > low[high]) & (draw[high] < share[np.maximum(k - 1, 0)])]
+                got.append((turn, who, ids[at], chars[node]))
+                turn += 1
+                step = length[at]
+                more = place[node] >= step
+                taken[who[~more]] = turn
+                who, node, own = who[more], (node - step)[more], own[more]
         # The pieces came from back to front.
         ends = np.cumsum(taken)
         got_word = np.repeat(np.arange(len(flat)), taken)
         got_id, got_char = np.empty(len(got_word), np.int64), np.empty(len(got_word), np.int64)
-        for turn, (who, i, c) in enumerate(got):
+        for turn, who, i, c in got:
             at = ends[who] - 1 - turn
             got_id[at], got_char[at] = i, c
         if (got_id < 0).any():  # characters as bytes

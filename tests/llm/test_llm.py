@@ -746,7 +746,7 @@ def test_a_words_chances_are_the_same_in_any_batch(lattice, monkeypatch):
 
     def chances():
         first = {w: lattice.known[w] for w in segment._WORD.findall(text)}
-        return [(w, lattice.arcs[0][lattice.first[n - len(w) + 1] : lattice.first[n + 1]].tobytes()) for w, n in first.items()]
+        return [(w, lattice.share.data[lattice.first.data[n - len(w) + 1] : lattice.first.data[n + 1]].tobytes()) for w, n in first.items()]
 
     lattice.forget()
     alone = lattice.sample([text], [3])[0]
@@ -775,7 +775,7 @@ def test_two_hundred_characters_follow_the_weights(lattice):
     lattice.forget()
     lattice.sample([word], [1])
     n = lattice.known[word]
-    assert np.allclose(lattice.arcs[0][lattice.first[n] : lattice.first[n + 1]], arcs, rtol=1e-9)
+    assert np.allclose(lattice.share.data[lattice.first.data[n] : lattice.first.data[n + 1]], arcs, rtol=1e-9)
 
 
 # The pipeline, and the queries.
