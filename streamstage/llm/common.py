@@ -1,9 +1,11 @@
-"""What the operators of this subpackage share."""
+"""What the operators of this subpackage share.
+
+Ids are whole numbers: operators that hand them to Python read them as such (an id of another type is cast, one that is no
+number counts as null).
+"""
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,31 +14,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from streamstage.storage import checkpoint_dir, cut  # noqa: F401  for the operators
+
 #: Rows of text that a Python operator handles at once: so many bytes, or a single longer text.
 CHUNK_BYTES = 8 << 20
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where none is set and all run on this machine (tests), a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-        if not found:
-            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="streamstage-"))
-            found = spark.sparkContext.getCheckpointDir()
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and go on from there: what follows survives lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the shared folder, for files that an operator writes itself."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -138,7 +138,8 @@ class Scanner:
 
 
 def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: its id and what Scanner.scan finds. Null texts count as empty; nothing is shuffled."""
+    """Per row of ``docs``: its id and what Scanner.scan finds. Null texts count as empty; rows that repeat give a row each;
+    columns other than the two are ignored, whatever their names. Nothing is shuffled."""
     ddl = "id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
     def scan(batches):

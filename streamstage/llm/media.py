@@ -1,8 +1,8 @@
 """FLAC media columns: 8-bit mono streams, all frames of a batch coded and decoded side by side in numpy.
 
 The decoder takes constant, verbatim, fixed and LPC subframes with partitioned Rice residuals of both kinds; it finds
-frames by the stream's seek table, which the encoder writes with a point for each frame. Header CRC-8, frame CRC-16 and
-the MD5 of the samples are verified.
+frames by the stream's seek table, which the encoder writes with a point for each frame, or else by their headers. Header
+CRC-8, frame CRC-16, frame numbers and the MD5 of the samples are verified.
 """
 
 from __future__ import annotations
@@ -244,12 +244,37 @@ def _index(stream: bytes) -> tuple[int, bytes, list[tuple[int, int, int, int]]]:
     told = int.from_bytes(info[10:18], "big")
     if told >> 36 & 0x1F != 7 or told >> 41 & 7:
         raise Damaged("not 8-bit mono")
+    total = told & (1 << 36) - 1
     seek = [x for x in struct.iter_unpack(">QQH", points) if x[0] != (1 << 64) - 1]
+    if sum(x[2] for x in seek) != total:  # a point for some frames only, or none, as other writers have it
+        return total, info[18:34], _found(stream, at, total)
     ends = [x[1] for x in seek[1:]] + [len(stream) - at]
-    index = [(first, n, at + begin, at + end) for (first, begin, n), end in zip(seek, ends, strict=True)]
-    if sum(x[1] for x in index) != told & (1 << 36) - 1:
-        raise Damaged("the seek table doesn't cover all frames")
-    return told & (1 << 36) - 1, info[18:34], index
+    return total, info[18:34], [(first, n, at + begin, at + end) for (first, begin, n), end in zip(seek, ends, strict=True)]
+
+
+def _found(stream: bytes, at: int, total: int) -> list[tuple[int, int, int, int]]:
+    """The frames from ``at`` on without a seek table: a frame ends where the next header, of the next number and with a
+    right CRC-8, begins and the CRC-16 so far is right."""
+    out, first, begin = [], 0, at
+    while first < total:
+        size, number, _ = _head(stream[begin : begin + 32])
+        if number != len(out):
+            raise Damaged("a frame stands where another should")
+        end = len(stream) if first + size >= total else stream.find(b"\xff\xf8", begin + 2)
+        while end >= 0 and (crc16([stream[begin:end]])[0] or end < len(stream) and not _starts(stream[end : end + 32], len(out) + 1)):
+            end = stream.find(b"\xff\xf8", end + 1) if end < len(stream) else -1
+        if end < 0:
+            raise Damaged("a frame's CRC-16 is wrong")
+        out.append((first, size, begin, end))
+        first, begin = first + size, end
+    return out
+
+
+def _starts(head: bytes, number: int) -> bool:
+    try:
+        return _head(head)[1] == number
+    except (Damaged, IndexError, KeyError):
+        return False
 
 
 def _head(frame: bytes) -> tuple[int, int, int]:
@@ -380,9 +405,12 @@ def read_blocks(streams: list[bytes], ranges: list[tuple[int, int]] | None = Non
     the MD5 of its samples.
     """
 
+    told: dict[int, tuple[int, bytes]] = {}
+
     def jobs():
         for i, s in enumerate(streams):
-            total, _, index = _index(s)
+            total, md5, index = _index(s)
+            told[i] = total, md5
             first, n = ranges[i] if ranges else (0, total)
             for k, (x_first, x_n, begin, end) in enumerate(index):
                 if x_first < first + n and x_first + x_n > first:
@@ -410,7 +438,7 @@ def read_blocks(streams: list[bytes], ranges: list[tuple[int, int]] | None = Non
             block = b"".join(pcm[j] for j in own)
             if not ranges:
                 sums[i] = _md5(block, sums.get(i))
-                if slab[own[-1]][2] + slab[own[-1]][3] == _index(streams[i])[0] and sums.pop(i).digest() != _index(streams[i])[1]:
+                if slab[own[-1]][2] + slab[own[-1]][3] == told[i][0] and sums.pop(i).digest() != told[i][1]:
                     raise Damaged("the samples' MD5 is wrong")
             yield i, slab[own[0]][2] + slab[own[0]][5], block
 

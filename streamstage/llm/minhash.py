@@ -21,7 +21,7 @@ BASE, RATE, LAST = 1.001, 20.0, (1 << 16) - 2
 #: Standard deviations below the threshold at which an estimate still sends a pair to verification.
 MARGIN = 6.0
 #: A bucket's members are compared with each other in blocks of at most so many members and so many shingles.
-BLOCK_NODES, BLOCK_SHINGLES = 4096, 1 << 22
+BLOCK_NODES, BLOCK_SHINGLES = 1024, 1 << 21
 SALTS = 64
 #: Bits of the filter that keeps texts out of a shuffle.
 FILTER_BITS = 1 << 26
@@ -60,7 +60,9 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def shingle_set(words: list[bytes], k: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of ``k`` words; of the whole sequence if shorter; none without words."""
+    """Sorted distinct 64-bit hashes of the shingles of ``k`` words; of the whole sequence if shorter; none without words.
+    These stand for the shingles everywhere, full sets included: two shingles of a pair of texts of 10,000 words have one
+    hash with a chance of 1 in 10^11. Sets are equal if a 128-bit digest of them is."""
     if not words:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
@@ -199,14 +201,13 @@ def _bodies(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return some.mapInArrow(compute, "node long, body binary").join(nodes, "node", "left_semi")
 
 
-def _compared(group: list[tuple], k: int, least: int) -> list[tuple[int, int]]:
-    """Links among one block pair's rows (key, band, one, two, node, component, n, registers, body) between components.
+def _candidates(group: list[tuple], least: int):
+    """(row, rows that it may be linked with) among one block pair's rows (key, band, one, two, own, node, component, n,
+    registers, ...): pairs of different components whose sizes and sketches don't rule out the similarity.
 
-    A pair is looked at in the first band that it shares only. Once a link joins two components, their other pairs are
-    skipped: one link is enough.
+    A pair is looked at in the first band that it shares only.
     """
     band, first, second = group[0][1], group[0][2], group[0][3]
-    nodes, root = [r[5] for r in group], {r[6]: r[6] for r in group}
     side = np.array([r[4] for r in group])
     comp = np.array([r[6] for r in group])
     n = np.array([r[7] for r in group], np.float64)
@@ -214,6 +215,31 @@ def _compared(group: list[tuple], k: int, least: int) -> list[tuple[int, int]]:
     rows = np.flatnonzero(side == first)
     columns = rows if first == second else np.flatnonzero(side == second)
     floor = least / 100 - MARGIN * (0.2 * 0.8 / REGISTERS) ** 0.5
+    turned = np.ascontiguousarray(registers[columns].T)
+    for i in rows.tolist():
+        close = (comp[columns] != comp[i]) & (100 * np.minimum(n[columns], n[i]) >= least * np.maximum(n[columns], n[i]))
+        if first == second:
+            close &= columns > i
+        at = np.flatnonzero(close)
+        if not len(at):
+            continue
+        equal = (turned if len(at) == len(columns) else turned[:, at]) == registers[i][:, None]
+        enough = np.flatnonzero(np.count_nonzero(equal, axis=0) >= floor * REGISTERS)
+        if not len(enough):
+            continue
+        whole = equal[:, enough].reshape(BANDS, ROWS, -1).all(axis=1)
+        at = at[enough[whole.argmax(axis=0) == band]]
+        if not len(at):
+            continue
+        other = columns[at]
+        near = estimate(np.broadcast_to(registers[i], (len(at), REGISTERS)), registers[other], np.full(len(at), n[i]), n[other])
+        yield i, other[near >= floor].tolist()
+
+
+def _compared(group: list[tuple], k: int, least: int) -> list[tuple[int, int]]:
+    """Links among one block pair's rows (..., body). Once a link joins two components, their other pairs are skipped: one
+    link is enough."""
+    nodes, root = [r[5] for r in group], {r[6]: r[6] for r in group}
 
     def up(c: int) -> int:
         while root[c] != c:
@@ -229,23 +255,8 @@ def _compared(group: list[tuple], k: int, least: int) -> list[tuple[int, int]]:
         return sets[i]
 
     out = []
-    turned = np.ascontiguousarray(registers[columns].T)
-    for i in rows.tolist():
-        equal = (turned == registers[i][:, None]).astype(np.uint8)
-        close = (equal.sum(axis=0, dtype=np.int64) >= floor * REGISTERS) & (comp[columns] != comp[i])
-        close &= 100 * np.minimum(n[columns], n[i]) >= least * np.maximum(n[columns], n[i])
-        if first == second:
-            close &= columns > i
-        at = np.flatnonzero(close)
-        if not len(at):
-            continue
-        whole = equal[:, at].reshape(BANDS, ROWS, -1).all(axis=1)
-        at = at[whole.argmax(axis=0) == band]
-        if not len(at):
-            continue
-        other = columns[at]
-        near = estimate(np.broadcast_to(registers[i], (len(at), REGISTERS)), registers[other], np.full(len(at), n[i]), n[other])
-        for j in other[near >= floor].tolist():
+    for i, others in _candidates(group, least):
+        for j in others:
             x, y = up(group[i][6]), up(group[j][6])
             if x == y:
                 continue
@@ -257,12 +268,38 @@ def _compared(group: list[tuple], k: int, least: int) -> list[tuple[int, int]]:
     return out
 
 
+def _by_block_pair(rows: DataFrame, ddl: str, look) -> DataFrame:
+    """``look`` at all rows (key, band, one, two, own, node, ...) of each block pair together."""
+    dealt = rows.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "node")
+    schema = schema_of(ddl)
+
+    def table(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), schema.types, strict=True)], schema=schema)
+
+    def compute(batches):
+        group: list[tuple] = []
+        for batch in batches:
+            found = []
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if group and (group[0][0], *group[0][2:4]) != (row[0], *row[2:4]):
+                    found += look(group) if len(group) > 1 else []
+                    group = []
+                group.append(row)
+            if found:
+                yield table(found)
+        if len(group) > 1 and (found := look(group)):
+            yield table(found)
+
+    return dealt.mapInArrow(compute, ddl)
+
+
 def _rest(shared: DataFrame, comps: DataFrame, held: DataFrame, k: int, least: int) -> DataFrame:
     """Links (a, b) between nodes of different components that share a bucket: each such pair is looked at.
 
     Buckets with members of one component only are done with, and of buckets with the same members one is enough (that
     of the lowest band). Members are dealt into blocks; a task compares two blocks at a time and gives links only, so
-    that neither memory nor rows grow with the square of a bucket.
+    that memory doesn't grow with the bucket. A member of a bucket of several blocks travels to each of them, at first
+    as its sketch alone; its text follows only to those in which the sketches leave it a partner.
     """
     sizes = held.select("node", "n")
     placed = cut(shared.join(comps, "node").join(sizes, "node"))
@@ -271,28 +308,24 @@ def _rest(shared: DataFrame, comps: DataFrame, held: DataFrame, k: int, least: i
     )
     buckets = buckets.where("low < high").groupBy("who", "members").agg(F.min_by(F.struct("key", "shingles"), "band").alias("b"))
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK_NODES), F.ceil(F.col("b.shingles") / BLOCK_SHINGLES)).cast("int")
-    left = placed.join(cut(buckets.select("b.key", blocks.alias("blocks"))), "key")
+    buckets = cut(buckets.select("b.key", blocks.alias("blocks")))
+    left = placed.join(buckets, "key")
     own = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")
     left = left.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("key", "band", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two"), "own", "node", "component")
-    full = left.join(held, "node").select("key", "band", "one", "two", "own", "node", "component", "n", "registers", "body")
-    dealt = full.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "node")
-
-    def compute(batches):
-        group: list[tuple] = []
-        for batch in batches:
-            found = []
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if group and (group[0][0], *group[0][2:4]) != (row[0], *row[2:4]):
-                    found += _compared(group, k, least) if len(group) > 1 else []
-                    group = []
-                group.append(row)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
-        if len(group) > 1 and (found := _compared(group, k, least)):
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
-
-    return dealt.mapInArrow(compute, "a long, b long").distinct()
+    left = left.select("key", "band", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two"), "own", "node", "component", "blocks")
+    names = ["key", "band", "one", "two", "own", "node", "component", "n", "registers"]
+    if not buckets.where("blocks > 1").isEmpty():
+        large = left.where("blocks > 1")
+        some = _by_block_pair(large.join(held.drop("body"), "node").select(*names), "key long, one int, two int, node long", lambda group: _with_partner(group, least)).distinct()
+        left = left.where("blocks = 1").unionByName(large.join(some, ["key", "one", "two", "node"], "left_semi"))
+    full = left.join(held, "node").select(*names, "body")
+    return _by_block_pair(full, "a long, b long", lambda group: _compared(group, k, least)).distinct()
+
+
+def _with_partner(group: list[tuple], least: int) -> list[tuple[int, int, int, int]]:
+    """(key, one, two, node) of a block pair's rows that are in any candidate pair."""
+    hit = {j for i, others in _candidates(group, least) if others for j in (i, *others)}
+    return [(*[group[j][c] for c in (0, 2, 3)], group[j][5]) for j in sorted(hit)]
 
 
 def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:

@@ -35,8 +35,6 @@ _HEAD = struct.Struct("<IIQQ")
 BLOCK_IDS = 4 << 20
 #: Words of which an encoder remembers the ids; then it starts anew.
 REMEMBERED = 700_000
-#: Bytes of text for one file, more or less.
-FILE_BYTES = 64 << 20
 
 _SPACES = str.maketrans("\t\n\r", "   ")
 _encoders: dict[str, "Encoder"] = {}
@@ -177,7 +175,8 @@ def write_token_files(docs: DataFrame, vocab: str, end_id: int | None = 2, id_co
     Returns (path, part, n_ids, n_docs), a row per file, in ``part``'s order; an empty table writes no file. Texts are
     dealt by ranges of ids, so files follow each other. A task that is run again writes the same bytes to a name of its
     own and renames the file in one step. Null texts count as empty, a null id sorts first and is written as -2^63;
-    rows that repeat an id stand side by side, shorter texts first.
+    rows that repeat an id stand side by side, shorter texts first. Columns other than the two are ignored, whatever their
+    names.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")

@@ -107,6 +107,24 @@ def test_flac_in_slabs(monkeypatch):
     assert media.decode_flac(media.encode_flac(made)) == made
 
 
+def test_flac_without_a_seek_table():
+    """As other writers leave it out: frames are found by their headers; damage is seen all the same."""
+    random.seed(23)
+    payload = bytes(random.choices(range(256), k=576 * 9)) + b"\xff\xf8\x74\x02" * 48 + bytes(576)  # verbatim frames hold what looks like a frame's begin
+    stream = media.encode_flac([payload])[0]
+    at = 4 + 4 + 34
+    size = int.from_bytes(stream[at + 1 : at + 4], "big")
+    bare = stream[:4] + bytes([0x80]) + stream[5:at] + stream[at + 4 + size :]
+    assert media.decode_flac([bare, stream]) == [payload, payload] and media.decode_flac([bare], [(700, 1000)]) == [payload[700:1700]]
+    some = stream[:at] + bytes([0x83, 0, 0, 18]) + stream[at + 4 : at + 22] + stream[at + 4 + size :]  # one seek point only
+    assert media.decode_flac([some]) == [payload]
+    for place in (len(bare) // 2, len(bare) - 3):
+        broken = bytearray(bare)
+        broken[place] ^= 1
+        with pytest.raises(media.Damaged):
+            media.decode_flac([bytes(broken)])
+
+
 def test_a_long_text_takes_bounded_memory():
     """Beside the payload and the stream, far less than the payload's size."""
     import subprocess
