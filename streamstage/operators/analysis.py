@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -363,3 +365,20 @@ def equal_bins(df: DataFrame, value: str, bins: int) -> DataFrame:
     counts = df.crossJoin(F.broadcast(ends)).groupBy(place.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     grid = df.sparkSession.range(bins).select(F.col("id").alias("bin")).crossJoin(F.broadcast(ends))
     return grid.join(counts, "bin", "left").select("bin", (F.col("lo") + F.col("bin") * width).alias("low"), (F.col("lo") + (F.col("bin") + 1) * width).alias("high"), F.coalesce("count", F.lit(0)).alias("count"))
+
+
+def density(df: DataFrame, group: str, value: str, grid: DataFrame, bandwidth: float, bins: int = 512) -> DataFrame:
+    """(group, x, density): a Gaussian kernel density at the grid's points ``x``, of values taken together in ``bins``
+    equal bins at their means (exact where a bin holds one value), so that the work at a point is bounded."""
+    ends = df.agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    place = F.least(F.floor((F.col(value) - F.col("__lo")) * bins / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0))), F.lit(bins - 1))
+    binned = df.crossJoin(F.broadcast(ends)).groupBy(group, F.coalesce(place, F.lit(0)).alias("__b")).agg(F.avg(value).alias("__m"), F.count(value).alias("__n"))
+    total = F.sum("__n").over(Window.partitionBy(group))
+    u = (F.col("x") - F.col("__m")) / bandwidth
+    at = binned.withColumn("__total", total).crossJoin(F.broadcast(grid.select("x")))
+    return at.groupBy(group, "x").agg((F.sum(F.col("__n") / F.col("__total") * F.exp(-u * u / 2)) / (bandwidth * (2 * math.pi) ** 0.5)).alias("density"))
+
+
+def jitter(df: DataFrame, key: list[str], width: float, seed: int = 1) -> DataFrame:
+    """``df`` with ``offset`` within half of ``width`` on each side, by the key and the seed alone."""
+    return df.withColumn("offset", (F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 40)) / float(1 << 40) - 0.5) * width)

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from streamstage.functions import codec, scalar
 from streamstage.operators import logs, signal, stages
 from streamstage.operators.telemetry import hop_rows, received, without_end_marks
 from streamstage.plans import fixtures as X
-from streamstage.plans.engine import compile_pipeline
-from streamstage.sources import files
+from streamstage.plans.engine import compile_pipeline, run_batch
+from streamstage.sources import files, sinks
 from streamstage.sources.generator import sensor_readings
 from streamstage.sources.profiles import Profile, profile_rates, round_robin, token_bucket
 from streamstage.spec import Node, PipelineSpec, Scaling, Stage
+from streamstage.storage import checkpoint_dir
 from streamstage.types import Record
 
 QUERIES: dict = {}
@@ -126,6 +129,43 @@ def scan_filename_columns(spark, sf_dir):
     return spark.createDataFrame([(p,) for p, *_ in _PATHS], "path string").select("path", found["mode"].alias("mode"), *[F.coalesce(found[c], F.lit(-1)).alias(c) for c in ("rate", "iteration", "window")])
 
 
+def _folder(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT round(event_id * 5e-2, 4) AS ts, 'info' AS level, CASE event_type WHEN 'click' THEN CASE WHEN event_id % 2 = 0 THEN 'worker/a/b' ELSE 'worker/c' END WHEN 'view' THEN 'autoscaler/s' || event_id % 9 ELSE 'loadgen' END AS component, CASE event_type WHEN 'click' THEN 'worker booted' WHEN 'view' THEN 'autoscaler ready' ELSE 'progress' END AS msg, CAST(event_id * 2 AS VARCHAR) AS sent FROM events")
+def scan_log(spark, sf_dir):
+    """Log lines written, and read back."""
+    path = _folder(spark, "log")
+    sinks.append_log(X.log_lines(spark, sf_dir), path)
+    return files.read_log(spark, path).select(F.round("ts", 4).alias("ts"), "level", "component", "msg", F.col("fields")["sent"].alias("sent"))
+
+
+@query("SELECT event_id AS seq, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 10 <> 0")
+def scan_jsonl(spark, sf_dir):
+    """Files with blank and broken lines."""
+    e, path = X.events(spark, sf_dir), _folder(spark, "jsonl")
+    line = F.concat(F.lit('{"seq": '), F.col("event_id").cast("string"), F.lit(", "), F.expr("substring(props, 2)"))
+    e.select(F.when(F.col("event_id") % 20 == 0, "").when(F.col("event_id") % 10 == 0, F.concat(F.lit("{bad"), "props")).otherwise(line).alias("value")).write.text(path)
+    return files.read_jsonl(spark, path, "seq bigint, k bigint")
+
+
+@query("SELECT event_id AS seq, CASE event_type WHEN 'click' THEN 'AOT' WHEN 'view' THEN 'JIT' ELSE event_type END AS mode, value FROM events")
+def scan_csv(spark, sf_dir):
+    """A table written as CSV and read back with other names for two modes."""
+    path = _folder(spark, "csv")
+    sinks.write_csv(X.events(spark, sf_dir).select(F.col("event_id").alias("seq"), F.col("event_type").alias("mode"), "value"), path)
+    return files.read_csv(spark, path, "seq bigint, mode string, value double", {"mode": {"click": "AOT", "view": "JIT"}})
+
+
+@query("SELECT event_id AS seq, CASE WHEN event_id % 3 = 0 THEN event_id WHEN event_id % 3 = 1 THEN 60000 ELSE -1 END AS rate FROM events")
+def scan_resolved(spark, sf_dir):
+    """A rate by the first of a flag, the file's name and a setting that tells it."""
+    i = F.col("event_id")
+    told = X.events(spark, sf_dir).select(i.alias("seq"), F.when(i % 3 == 0, i).alias("flag"), F.when(i % 3 == 1, "/runs/aot_60k_rate.json").otherwise("/runs/aot.json").alias("path"))
+    return told.select("seq", files.resolved(F.col("flag"), files.filename_columns(F.col("path"))["rate"], F.lit(-1).cast("long")).alias("rate"))
+
+
 # Codec and stages.
 
 
@@ -184,6 +224,15 @@ def pipeline_three_stage(spark, sf_dir):
     return compile_pipeline(THREE, X.reading(spark, sf_dir))
 
 
+@query(f"WITH {X.READING} SELECT seq, sensor_id, value AS value, value > 75e0 AS anomaly, {_SEVERITY.format(v='value')} AS severity FROM (SELECT seq, CASE WHEN seq % 5 = 1 THEN '' ELSE sensor_id END AS sensor_id, CASE WHEN seq % 5 = 2 THEN 0e0 ELSE least(CAST(floor(value) AS DOUBLE), 150e0) END AS value FROM reading WHERE seq % 5 <> 0)")
+def pipeline_payloads(spark, sf_dir):
+    """Raw JSON events through the stages: every fifth is broken, others lack the sensor or have text for the value."""
+    i = F.col("event_id") % 5
+    body = F.when(i == 0, "{bad").when(i == 1, F.format_string('{"value": %.1f}', F.floor("value").cast("double"))).when(i == 2, F.format_string('{"sensor_id": "%s", "value": "x"}', "event_type"))
+    raw = X.events(spark, sf_dir).select(F.col("event_id").alias("seq"), F.coalesce(body, F.format_string('{"sensor_id": "%s", "value": %.1f, "unit": "C"}', "event_type", F.floor("value").cast("double"))).alias("payload"))
+    return run_batch(THREE, raw)
+
+
 @query(f"WITH {X.READING} SELECT seq, sensor_id, {_CLAMPED} AS value, CAST(NULL AS BOOLEAN) AS anomaly, 'unknown' AS severity FROM reading")
 def pipeline_three_stage_wire(spark, sf_dir):
     return compile_pipeline(THREE, X.reading(spark, sf_dir), "wire")

@@ -368,3 +368,13 @@ def agg_median_ratio(spark, sf_dir):
 @query("WITH e AS (SELECT min(value) AS lo, max(value) AS hi FROM events) SELECT range AS bin, round(lo + range * ((hi - lo) / 50), 6) AS low, round(lo + (range + 1) * ((hi - lo) / 50), 6) AS high, count(value) AS count FROM range(50) CROSS JOIN e LEFT JOIN events ON least(CAST(floor((value - lo) / ((hi - lo) / 50)) AS BIGINT), 49) = range GROUP BY range, lo, hi")
 def ana_hist_equal_width(spark, sf_dir):
     return _rounded(ana.equal_bins(X.events(spark, sf_dir).select("value"), "value", 50), "low", "high")
+
+
+@query(
+    f"WITH {ROWS}, e AS (SELECT min(value) AS lo, max(value) AS hi FROM rows_), b AS (SELECT stage, least(CAST(floor((value - lo) * 512 / (hi - lo)) AS BIGINT), 511) AS b, avg(value) AS m, count(*) AS n FROM rows_, e GROUP BY 1, 2), t AS (SELECT *, sum(n) OVER (PARTITION BY stage) AS total FROM b) "
+    "SELECT stage, CAST(range AS DOUBLE) * 2 AS x, round(sum(n / total * exp(-power((range * 2 - m) / 5e0, 2) / 2)) / (5e0 * sqrt(2 * pi())), 9) AS density FROM t, range(100) GROUP BY 1, 2"
+)
+def ana_density(spark, sf_dir):
+    grid_points = spark.range(100).select((F.col("id").cast("double") * 2).alias("x"))
+    out = ana.density(_rows(spark, sf_dir), "stage", "value", grid_points, 5.0)
+    return out.withColumn("density", F.round("density", 9))
