@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamstage.operators.keyed import recurrence
-from streamstage.operators.ranking import linear_quantiles, positions, running_sum
+from streamstage.operators.ranking import linear_quantiles, matched, positions, running_sum
 from streamstage.operators.telemetry import gap_rows, hop_rows
 
 
@@ -66,10 +66,7 @@ def group_stats(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """n, mean, median, p95, p99, min, max and sample deviation."""
     sums = df.groupBy(*group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), F.stddev_samp(value).alias("std"))
     ranks = linear_quantiles(df, value, {"median": 0.5, "p95": 0.95, "p99": 0.99}, group)
-    on = F.lit(True)
-    for g in group:
-        on = on & sums[g].eqNullSafe(ranks[g])
-    return sums.join(ranks, on, "left").select(*[sums[g] for g in group], "n", "mean", "median", "p95", "p99", "min", "max", "std")
+    return matched(sums, ranks, group, "left").select(*group, "n", "mean", "median", "p95", "p99", "min", "max", "std")
 
 
 def pivot_ratio(df: DataFrame, row: str, column: str, value: str, columns: tuple[str, str]) -> DataFrame:

@@ -43,16 +43,17 @@ def positions(df: DataFrame, order: list[str], group: list[str] | None = None, w
     else:
         ranged = ranged.withColumn("__own", F.col(_AT))
         parts = parts.withColumn("__before", F.col("__before") - F.col("__first"))
-    on = [ranged[k].eqNullSafe(parts[k]) for k in group] + [ranged[_PART] == parts[_PART]]
-    joined = ranged.join(parts.select(*keys, "__before", "n"), on[0] if len(on) == 1 else _all(on))
-    return joined.select(*[ranged[c] for c in df.columns], (F.col("__before") + F.col("__own") + 1).cast("long").alias("rn"), F.col("n").cast("long").alias("n"))
+    joined = matched(ranged, parts.select(*keys, "__before", "n"), keys)
+    return joined.select(*df.columns, (F.col("__before") + F.col("__own") + 1).cast("long").alias("rn"), F.col("n").cast("long").alias("n"))
 
 
-def _all(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out
+def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on equal keys, null among them, that keeps the left ones."""
+    other = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__right_{k}"))
+    return left.join(other, on, how).drop(*[f"__right_{k}" for k in keys])
 
 
 def running_sum(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:

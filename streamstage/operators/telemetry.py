@@ -30,15 +30,15 @@ def hop_rows(log: DataFrame) -> DataFrame:
 
 def gap_rows(log: DataFrame) -> DataFrame:
     """A row per pair of hops in a row that doesn't run backwards: from_stage, to_stage, gap_ms. Within the array; no shuffle."""
-    hops = log.withColumn("hops", valid_hops("hops"))
-    pairs = F.expr("zip_with(slice(hops, 1, greatest(size(hops) - 1, 0)), slice(hops, 2, greatest(size(hops) - 1, 0)), (a, b) -> struct(a.stage as from_stage, b.stage as to_stage, (b.enter_ts - a.exit_ts) * 1000 as gap_ms, a.exit_ts as from_exit, b.enter_ts as to_enter))")
-    rows = hops.select("*", F.explode(pairs).alias("__p")).drop("hops").select("*", "__p.*").drop("__p")
+    pair = "named_struct('from_stage', a.stage, 'to_stage', b.stage, 'from_exit', a.exit_ts, 'to_enter', b.enter_ts)"
+    pairs = log.withColumn("__h", valid_hops("hops")).select("*", F.expr(f"inline(element_at(transform(array(__h), h -> zip_with(slice(h, 1, greatest(size(h) - 1, 0)), slice(h, 2, greatest(size(h) - 1, 0)), (a, b) -> {pair})), 1))"))
+    rows = pairs.drop("__h", "hops").withColumn("gap_ms", (F.col("to_enter") - F.col("from_exit")) * 1000)
     return rows.where("to_enter >= from_exit").drop("from_exit", "to_enter")
 
 
 def ingress_rows(log: DataFrame) -> DataFrame:
     """ingress_ms: from sending to the first hop; negative ones are left out."""
-    rows = log.withColumn("ingress_ms", (F.expr("try_element_at(hops, 1).enter_ts") - F.col("bench_ts")) * 1000)
+    rows = log.withColumn("ingress_ms", (F.get("hops", 0)["enter_ts"] - F.col("bench_ts")) * 1000)
     return rows.where("ingress_ms >= 0")
 
 

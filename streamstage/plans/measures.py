@@ -190,7 +190,7 @@ def _one(rows: str, value: str, p: str, where: str = "true") -> str:
 
 @query(
     f"WITH {X.HOPS}, {X.LOG}, {_SPAN}, {_RATES} SELECT received, round(warm_eps, 6) AS warm_eps, {_one(_E2E, 'e2e_ms', 'p50')} AS e2e_p50, {_one(_E2E, 'e2e_ms', 'p999')} AS e2e_p999, {_one(_RES, 'residence_ms', 'p99', chr(39) + 'detect' + chr(39) + ' = stage')} AS detect_p99, "
-    f"{_one(_GAP, 'gap_ms', 'p95', chr(39) + 'detect' + chr(39) + ' = from_stage')} AS gap_p95, {_one(_IN, 'ingress_ms', 'p99')} AS ingress_p99, (SELECT count(*) FROM hop WHERE stage = 'finalize') AS finalized, round((SELECT count(*) FROM hop WHERE stage = 'finalize') / duration_s, 6) AS finalize_eps, 3 AS stages, 2 AS edges, 4 AS counted FROM rates"
+    f"{_one(_GAP, 'gap_ms', 'p95', chr(39) + 'detect' + chr(39) + ' = from_stage')} AS gap_p95, {_one(_IN, 'ingress_ms', 'p99')} AS ingress_p99, (SELECT count(*) FROM hop WHERE stage = 'finalize') AS finalized, round((SELECT count(*) FROM hop WHERE stage = 'finalize') / duration_s, 6) AS finalize_eps, CAST(3 AS BIGINT) AS stages, CAST(2 AS BIGINT) AS edges, CAST(4 AS BIGINT) AS counted FROM rates"
 )
 def tel_run_summary(spark, sf_dir):
     """Figures from all blocks of a run's summary."""

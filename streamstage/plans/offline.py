@@ -334,7 +334,7 @@ def log_cold_starts(spark, sf_dir):
     return _rounded(logs.boots(X.log_lines(spark, sf_dir), 10.0), "t_s").select("stage", "t_s", "cold_start_ms")
 
 
-@query("SELECT 's' || event_id % 9 AS stage, CAST(event_id % 70 AS DOUBLE) AS queue_up, 0e0 AS queue_down, 1 AS min_rep, 8 AS max_rep FROM events WHERE event_type = 'view'")
+@query("SELECT 's' || event_id % 9 AS stage, CAST(event_id % 70 AS DOUBLE) AS queue_up, 0e0 AS queue_down, CAST(1 AS BIGINT) AS min_rep, CAST(8 AS BIGINT) AS max_rep FROM events WHERE event_type = 'view'")
 def log_scaling_params(spark, sf_dir):
     return logs.scaling_params(X.log_lines(spark, sf_dir))
 
