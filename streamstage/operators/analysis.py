@@ -112,20 +112,27 @@ def cdf_on_grid(df: DataFrame, run: str, value: str, grid: DataFrame) -> DataFra
     """(run, x, y): each run's distribution function (x sorted, y = rank / n) at the grid's points ``x``, between its
     points by linear interpolation, 0 before the first and 1 after the last.
 
-    Points and grid are merged in one sorted pass per run, with no join of ranges.
+    Each point finds the grid's gap that it lies in by bisection (the grid travels to all tasks, so it is to be of modest
+    size); of each gap only the first and last point are needed, so that no task holds a run.
     """
-    points = positions(df.select(run, F.col(value).alias("x")), ["x"], [run]).groupBy(run, "x").agg((F.max("rn") / F.max("n")).alias("hi"), (F.min("rn") / F.max("n")).alias("lo"))
-    asked = df.select(run).distinct().crossJoin(F.broadcast(grid.select("x"))).select(run, "x", F.lit(None).cast("double").alias("hi"), F.lit(None).cast("double").alias("lo"), F.lit(1).alias("q"))
-    both = points.select(run, "x", "hi", "lo", F.lit(0).alias("q")).unionByName(asked)
-    so_far = lambda *order: Window.partitionBy(run).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before, after = so_far("x", "q"), so_far(F.desc("x"), F.desc("q"))  # what comes after is what came before on the way down
-    x0 = F.last(F.when(F.col("q") == 0, F.col("x")), True).over(before)
-    y0 = F.last("hi", True).over(before)
-    x1 = F.last(F.when(F.col("q") == 0, F.col("x")), True).over(after)
-    y1 = F.last("lo", True).over(after)
-    marked = both.withColumns({"x0": x0, "y0": y0, "x1": x1, "y1": y1}).where("q = 1")
-    y = F.when(F.col("x0").isNull(), 0.0).when(F.col("x1").isNull(), F.when(F.col("x") > F.col("x0"), 1.0).otherwise(F.col("y0"))).when(F.col("x") == F.col("x0"), F.col("y0"))
-    return marked.select(run, "x", y.otherwise(F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col("x") - F.col("x0")) / (F.col("x1") - F.col("x0"))).alias("y"))
+    points = positions(df.select(run, F.col(value).cast("double").alias("x")), ["x"], [run]).groupBy(run, "x").agg((F.max("rn") / F.max("n")).alias("hi"), (F.min("rn") / F.max("n")).alias("lo"))
+    listed = grid.agg(F.sort_array(F.collect_set(F.col("x").cast("double"))).alias("__g"))
+    # How many of the grid's points lie below x: each halving keeps g[low - 1] < x <= g[high].
+    below = F.expr("aggregate(sequence(0, cast(ceil(log2(size(__g) + 1)) as int)), named_struct('low', 0, 'high', size(__g)), (a, i) -> if(a.low >= a.high, a, if(__g[(a.low + a.high) div 2] < x, named_struct('low', cast((a.low + a.high) div 2 + 1 as int), 'high', a.high), named_struct('low', a.low, 'high', cast((a.low + a.high) div 2 as int)))), a -> a.low)")
+    placed = points.crossJoin(F.broadcast(listed)).withColumn("gap", below)
+    ends = placed.groupBy(run, "gap").agg(F.min(F.struct("x", "lo", "hi")).alias("first"), F.max(F.struct("x", "lo", "hi")).alias("last"))
+    asked = points.select(run).distinct().crossJoin(F.broadcast(listed.select(F.posexplode("__g").alias("gap", "at"))))
+    both = asked.join(ends, [run, "gap"], "left")
+    # A grid point's own gap ends at it, so that its last point lies at or below it; the next gaps lie above.
+    order = Window.partitionBy(run).orderBy("gap")
+    low = F.last("last", True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.last("first", True).over(Window.partitionBy(run).orderBy(F.desc("gap")).rowsBetween(Window.unboundedPreceding, -1))
+    last = ends.groupBy(run).agg(F.max(F.struct("gap", "first")).alias("__top"))  # points above the whole grid have a gap of their own
+    found = both.withColumns({"low": low, "high": after}).join(last, run)
+    found = found.withColumn("high", F.coalesce("high", F.when(F.col("__top.gap") > F.col("gap"), F.col("__top.first"))))
+    x, x0, y0, x1, y1 = F.col("at"), F.col("low.x"), F.col("low.hi"), F.col("high.x"), F.col("high.lo")
+    y = F.when(x0.isNull(), 0.0).when(x1.isNull(), F.when(x > x0, 1.0).otherwise(y0)).when(x == x0, y0).otherwise(y0 + (y1 - y0) * (x - x0) / (x1 - x0))
+    return found.select(run, x.alias("x"), y.alias("y"))
 
 
 def log_grid(df: DataFrame, value: str, points: int = 1000, least: float = 0.01) -> DataFrame:

@@ -108,6 +108,15 @@ def src_bounded(spark, sf_dir):
     return sensor_readings(spark, 5000, 16).groupBy("sensor_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "SELECT range AS seq, printf('sensor-%04d', range % 16) AS sensor_id, ['temperature', 'vibration', 'pressure', 'humidity', 'current'][range % 16 % 5 + 1] AS sensor_type, ['zone-A', 'zone-B', 'zone-C', 'zone-D'][range % 16 % 4 + 1] AS location, "
+    "['°C', 'mm/s', 'kPa', '%', 'A'][range % 16 % 5 + 1] AS unit, round(range / 5e2, 6) AS at FROM range(5000)"
+)
+def src_sensor_columns(spark, sf_dir):
+    """All of a reading that isn't drawn."""
+    return sensor_readings(spark, 5000, 16).select(F.col("bench_seq").alias("seq"), "sensor_id", "sensor_type", "location", "unit", F.round("bench_ts", 6).alias("at"))
+
+
 @query("SELECT event_id AS seq, value FROM events WHERE event_id % 100 <> 99")
 def src_eos_filter(spark, sf_dir):
     marked = X.events(spark, sf_dir).select(F.col("event_id").alias("seq"), "value", F.when(F.col("event_id") % 100 == 99, True).alias("eos"))
@@ -413,6 +422,16 @@ def pipeline_complex(spark, sf_dir):
     return compile_pipeline(COMPLEX, _complex_input(spark, sf_dir))
 
 
+@query(
+    f"WITH {X.SAMPLE}, {_DENOISE}, {_dft('den')} SELECT n.seq, n.sensor_id, CAST(n.ts_ns AS BIGINT) AS ts_ns, round(coalesce(b.rms, 0e0), 5) AS rms, round(coalesce(s.centroid, 0e0), 3) AS centroid, round(coalesce(s.flatness, 0e0), 4) AS flatness, "
+    "round(coalesce(b.kurtosis, 0e0), 5) AS kurtosis, 64 AS hash_chars, 64 AS hmac_chars FROM num n LEFT JOIN blk b ON n.sensor_id = b.sensor_id AND n.rn // 256 - 1 = b.block LEFT JOIN spec s ON b.sensor_id = s.sensor_id AND b.block = s.block"
+)
+def pipeline_complex_features(spark, sf_dir):
+    """What SQL can tell of pipeline_complex: all but the hashes."""
+    done = compile_pipeline(COMPLEX, _complex_input(spark, sf_dir))
+    return done.select("seq", "sensor_id", F.col("ts_ns").cast("long").alias("ts_ns"), F.round("rms", 5).alias("rms"), F.round("centroid", 3).alias("centroid"), F.round("flatness", 4).alias("flatness"), F.round("kurtosis", 5).alias("kurtosis"), F.length("content_hash").alias("hash_chars"), F.length("hmac").alias("hmac_chars"))
+
+
 @query(f"WITH {X.SAMPLE} SELECT seq, sensor_id, CAST(ts_ns AS BIGINT) AS ts_ns, 0e0 AS rms, 0e0 AS centroid, 0e0 AS flatness, 0e0 AS kurtosis FROM sample")
 def pipeline_complex_wire(spark, sf_dir):
     """Features and signatures don't survive the wire; what is left of an event has zeros."""

@@ -60,6 +60,27 @@ def test_linear_quantiles_are_those_of_numpy(spark, rows):
             assert np.allclose(got[g], np.quantile(own, list(points.values())), rtol=1e-9, atol=1e-9)
 
 
+@FEW
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.floats(0, 20) | st.integers(0, 20).map(float)), min_size=1, max_size=50), st.sets(st.integers(-3, 23), min_size=1, max_size=17))
+def test_cdf_on_a_grid_against_a_search(spark, rows, points):
+    df, grid = spark.createDataFrame(rows, "run string, v double"), spark.createDataFrame([(float(x),) for x in points], "x double")
+    got = {(r.run, r.x): r.y for r in ana.cdf_on_grid(df, "run", "v", grid).collect()}
+    assert len(got) == len({r for r, _ in rows}) * len(points)
+    for (run, x), y in got.items():
+        v = sorted(b for a, b in rows if a == run)
+        n, below, above = len(v), [i for i, u in enumerate(v) if u <= x], [i for i, u in enumerate(v) if u > x]
+        if not below:
+            told = 0.0
+        elif v[below[-1]] == x:
+            told = (below[-1] + 1) / n
+        elif not above:
+            told = 1.0
+        else:
+            (x0, y0), (x1, y1) = (v[below[-1]], (below[-1] + 1) / n), (v[above[0]], (above[0] + 1) / n)
+            told = y0 + (y1 - y0) * (x - x0) / (x1 - x0)
+        assert abs(y - told) < 1e-9
+
+
 @FEW
 @given(st.lists(st.tuples(st.sampled_from([0.0, 1.0, 2.5]), st.integers(-5, 5)), min_size=1, max_size=80))
 def test_running_sums(spark, rows):
