@@ -6,6 +6,7 @@ number counts as null).
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -56,6 +57,16 @@ def text_of(col: str) -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def salts_of(salt: str) -> Column:
+    """An aggregate: which salts (0 to 63) a group has, a bit for each. Of fixed size, unlike a set."""
+    return F.expr(f"bit_or(shiftleft(1L, {salt}))")
+
+
+def each_salt(bits: str) -> Column:
+    """A row for each salt of salts_of."""
+    return F.explode(F.expr(f"filter(sequence(0, 63), s -> (shiftright({bits}, s) & 1) = 1)"))
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most ``most`` bytes of column ``text`` (or one longer row)."""
     for batch in batches:
@@ -69,6 +80,16 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES
                 start, total = i, 0
             total += n
         yield batch.slice(start)
+    _give_back()
+
+
+def _give_back() -> None:
+    """Hand memory that a worker has freed back to the machine: workers live on, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def texts(batch: pa.RecordBatch, column: str) -> list[str]:

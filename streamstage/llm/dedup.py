@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streamstage.llm.common import cut, fresh, text_of
+from streamstage.llm.common import cut, each_salt, fresh, salts_of, text_of
 
 #: Sub-groups into which the copies of one text are dealt. A group with a third of all rows puts 1/192 of them in one.
 SALTS = 64
@@ -32,14 +32,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "__id", "__text", digest(F.col("__text")).alias("__digest"), F.pmod(F.xxhash64("__id"), F.lit(salts)).cast("int").alias("__salt")
     )
     local = rows.groupBy("__digest", "__salt", "__text").agg(F.max("__id").alias("__keep"), F.count(F.lit(1)).alias("__n"))
-    merged = local.repartition("__digest").groupBy("__digest", "__text").agg(F.max("__keep").alias("keep_id"), F.sum("__n").alias("group_size"), F.collect_set("__salt").alias("__salts"))
+    merged = local.repartition("__digest").groupBy("__digest", "__text").agg(F.max("__keep").alias("keep_id"), F.sum("__n").alias("group_size"), salts_of("__salt").alias("__salts"))
     groups = cut(merged.select("__digest", F.sha2("__text", 256).alias("text_sha256"), "keep_id", "group_size", "__salts"))
     on = ["__digest", "__salt"]
     if groups.groupBy("__digest").count().where("count > 1").isEmpty():
-        found = groups.withColumn("__salt", F.explode("__salts"))
+        found = groups.withColumn("__salt", each_salt("__salts"))
     else:
         on.append("__text")
-        found = merged.withColumn("text_sha256", F.sha2("__text", 256)).withColumn("__salt", F.explode("__salts"))
+        found = merged.withColumn("text_sha256", F.sha2("__text", 256)).withColumn("__salt", each_salt("__salts"))
     out = rows.select("__id", *on).join(found.drop("__salts"), on)
     return out.select(F.col("__id").alias(id_col), "keep_id", "group_size", F.col("__id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamstage.llm.common import cut
+from streamstage.llm.common import cut, each_salt, salts_of
 
 #: Sub-groups into which a node's edges are dealt.
 SALTS = 32
@@ -37,8 +37,8 @@ def _with_least(edges: DataFrame) -> DataFrame:
     way back, so that none of its tasks holds all of them."""
     salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
     part = salted.groupBy("a", "salt").agg(F.min("b").alias("m"))
-    whole = part.groupBy("a").agg(F.min("m").alias("m"), F.collect_set("salt").alias("salts"))
-    return salted.join(whole.select("a", "m", F.explode("salts").alias("salt")), ["a", "salt"]).drop("salt")
+    whole = part.groupBy("a").agg(F.min("m").alias("m"), salts_of("salt").alias("salts"))
+    return salted.join(whole.select("a", "m", each_salt("salts").alias("salt")), ["a", "salt"]).drop("salt")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamstage.llm.common import chunks, cut, fresh, schema_of, texts
+from streamstage.llm.common import chunks, cut, each_salt, fresh, salts_of, schema_of, texts
 from streamstage.llm.graph import components
 
 #: Bands of so many registers. A pair at similarity 0.8 shares no band with probability (1 - 0.8^5)^36 < 1e-6.
@@ -33,7 +33,7 @@ _ADD = _rng.integers(0, 1 << 64, REGISTERS, np.uint64)
 _BAND = _rng.integers(0, 1 << 64, (BANDS, ROWS + 1), np.uint64) | np.uint64(1)
 _PLACE = _rng.integers(0, 1 << 64, 64, np.uint64) | np.uint64(1)
 #: Words of which a worker remembers the hash; then it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 
 class _Words(dict):
@@ -133,8 +133,8 @@ def _representatives(rows: DataFrame) -> DataFrame:
     """(node, digest, rep): the smallest node with the same set. Salted: a hot set's rows never meet in one task."""
     salted = rows.select("node", "digest", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt"))
     part = salted.groupBy("digest", "salt").agg(F.min("node").alias("rep"))
-    whole = part.groupBy("digest").agg(F.min("rep").alias("rep"), F.collect_set("salt").alias("salts"))
-    return salted.join(whole.select("digest", "rep", F.explode("salts").alias("salt")), ["digest", "salt"]).select("node", "digest", "rep")
+    whole = part.groupBy("digest").agg(F.min("rep").alias("rep"), salts_of("salt").alias("salts"))
+    return salted.join(whole.select("digest", "rep", each_salt("salts").alias("salt")), ["digest", "salt"]).select("node", "digest", "rep")
 
 
 def _likely(pairs: DataFrame, known: DataFrame, least: int) -> DataFrame:

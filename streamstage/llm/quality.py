@@ -169,11 +169,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that count as good, all columns as they were. Each row's own text decides, whatever other
-    rows share its id; rows are passed through, not joined."""
+    rows share its id; only texts go to Python and only the decisions come back, and nothing is joined."""
     model = train(docs, labels, id_col=id_col, text_col=text_col)
 
-    def compute(batches):
-        for batch in chunks(batches, text_col):
-            yield batch.filter(pa.array(model.score([features(x) for x in texts(batch, text_col)]) >= THRESHOLD))
+    @F.arrow_udf("boolean")
+    def good(column: pa.Array) -> pa.Array:
+        found = [pa.array(model.score([features(x) for x in texts(part, "t")]) >= THRESHOLD) for part in chunks([pa.RecordBatch.from_arrays([column], names=["t"])], "t")]
+        return pa.concat_arrays(found) if found else pa.array([], pa.bool_())
 
-    return docs.mapInArrow(compute, docs.schema)
+    return docs.where(good(F.col(text_col).cast("string")))

@@ -34,7 +34,7 @@ _HEAD = struct.Struct("<IIQQ")
 #: Ids after which a block ends (at a document's end).
 BLOCK_IDS = 4 << 20
 #: Words of which an encoder remembers the ids; then it starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 350_000
 
 _SPACES = str.maketrans("\t\n\r", "   ")
 _encoders: dict[str, "Encoder"] = {}

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamstage.llm.common import chunks, cut, filesystem, new_folder, schema_of
+from streamstage.llm.common import chunks, cut, each_salt, filesystem, new_folder, salts_of, schema_of
 
 #: Payloads of fewer bytes are never written as revisits.
 REVISIT_BYTES = 1000
@@ -174,8 +174,8 @@ def record_types(pages: DataFrame, id_col: str, payload_col: str, salts: int = 6
     rows = pages.select(F.col(id_col).alias("__id"), F.coalesce(F.col(payload_col), F.lit("")).alias("__p")).where(F.octet_length("__p") >= REVISIT_BYTES)
     rows = rows.select("__id", F.sha2("__p", 256).alias("__d"), F.pmod(F.xxhash64("__id"), F.lit(salts)).cast("int").alias("__salt"))
     salted = rows.groupBy("__d", "__salt").agg(F.max("__id").alias("__top"), F.count(F.lit(1)).alias("__n"))
-    tops = salted.groupBy("__d").agg(F.max("__top").alias("refers_to"), F.collect_set("__salt").alias("__salts"), F.sum("__n").alias("__n")).where("__n > 1")
-    found = cut(tops.select("__d", "refers_to", F.explode("__salts").alias("__salt")))
+    tops = salted.groupBy("__d").agg(F.max("__top").alias("refers_to"), salts_of("__salt").alias("__salts"), F.sum("__n").alias("__n")).where("__n > 1")
+    found = cut(tops.select("__d", "refers_to", each_salt("__salts").alias("__salt")))
     return rows.join(found, ["__d", "__salt"]).where("__id < refers_to").select(F.col("__id").alias(id_col), "__d", "refers_to").distinct()
 
 
