@@ -7,6 +7,7 @@ number counts as null).
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -21,6 +22,13 @@ from streamstage.storage import checkpoint_dir, cut  # noqa: F401  for the opera
 CHUNK_BYTES = 8 << 20
 
 
+def sweep(spark: SparkSession) -> None:
+    """Have the files of shuffles and checkpoints deleted that nothing refers to any more. Spark does so whenever the
+    driver's memory is cleaned, which on a large driver may be long after the disks are full."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the shared folder, for files that an operator writes itself."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamstage.llm.common import cut, each_salt, salts_of
+from streamstage.llm.common import cut, each_salt, salts_of, sweep
 
 #: Sub-groups into which a node's edges are dealt.
 SALTS = 32
@@ -22,6 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
     while mark[0]:
         now = cut(_large_star(_small_star(now)))
         before, mark = mark, _mark(now)
+        sweep(now.sparkSession)
         if mark == before:
             break
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamstage.llm.common import chunks, cut, each_salt, fresh, salts_of, schema_of, texts
+from streamstage.llm.common import chunks, cut, each_salt, fresh, salts_of, schema_of, sweep, texts
 from streamstage.llm.graph import components
 
 #: Bands of so many registers. A pair at similarity 0.8 shares no band with probability (1 - 0.8^5)^36 < 1e-6.
@@ -348,6 +348,7 @@ def near_groups(docs: DataFrame, k: int = 5, least: int = 80, id_col: str = "doc
     Null texts count as empty; empty sets have no links. A row without an id stays alone: its component_id is null and
     it is kept. Rows that repeat an id count as one document, and are all kept if it is.
     """
+    sweep(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = cut(_sketches(plain, k))
     alike = cut(_representatives(rows.where("n > 0 AND node IS NOT NULL")))
@@ -363,7 +364,9 @@ def near_groups(docs: DataFrame, k: int = 5, least: int = 80, id_col: str = "doc
         F.max_by("lead", F.struct("bands", "lead")).alias("often"), F.min_by("lead", F.struct(F.xxhash64("lead"), "lead")).alias("first")
     )
     pairs = met.select("node", F.explode(F.array("often", "first")).alias("to")).select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
+    sweep(docs.sparkSession)
     comps = _joined(comps, cut(_verified(_likely(pairs, held, least), held, k, least)))
+    sweep(docs.sparkSession)
     comps = _joined(comps, cut(_rest(shared.drop("lead"), comps, held, k, least)))
     reps = alike.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
     reps = reps.groupBy("node").agg(F.min("component").alias("component_id"))
