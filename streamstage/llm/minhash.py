@@ -364,7 +364,6 @@ def near_groups(docs: DataFrame, k: int = 5, least: int = 80, id_col: str = "doc
         F.max_by("lead", F.struct("bands", "lead")).alias("often"), F.min_by("lead", F.struct(F.xxhash64("lead"), "lead")).alias("first")
     )
     pairs = met.select("node", F.explode(F.array("often", "first")).alias("to")).select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
-    sweep(docs.sparkSession)
     comps = _joined(comps, cut(_verified(_likely(pairs, held, least), held, k, least)))
     sweep(docs.sparkSession)
     comps = _joined(comps, cut(_rest(shared.drop("lead"), comps, held, k, least)))
