@@ -1,7 +1,7 @@
 """Keyed-stateful signal stages as window plans; ``streaming.stateful`` has the same for streams.
 
 State is kept per key, so a key's rows are one task's work in order. All windows of a stage share one exchange on the
-key, and denoise, featurize and attest in a row share it too.
+key; a block's features come back to its rows by a join on key and block.
 """
 
 from __future__ import annotations
