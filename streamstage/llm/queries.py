@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from streamstage.llm import dedup, licenses, media, minhash, packing, quality, secret_scan, segment, tokens, warc
 from streamstage.llm.common import cut, documents, drop_folder, new_folder
 
@@ -61,7 +63,9 @@ def op10_sampled_segmentation(spark, sf_dir):
 
 
 def license_base_columns(spark, sf_dir):
-    return op6_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+    """Places are -1 here where there are none."""
+    place = lambda c: F.coalesce(c, F.lit(-1).cast("long")).alias(c)
+    return op6_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", place("first_word"), place("last_word"), "base_labels")
 
 
 def secret_base_columns(spark, sf_dir):
@@ -111,7 +115,7 @@ ORACLE_SQL = {
     "license_base_columns": f"""
         WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
         hits AS (SELECT doc_id, w, {_places("cc by")} AS a, {_places("general public license")} AS b, {_places("all rights reserved")} AS c FROM words)
-        SELECT doc_id, len(w) AS n_words, len(a || b || c) AS n_base, list_min(a || b || c) - 1 AS first_word, list_max(a || b || c) - 1 AS last_word,
+        SELECT doc_id, len(w) AS n_words, len(a || b || c) AS n_base, coalesce(list_min(a || b || c) - 1, -1) AS first_word, coalesce(list_max(a || b || c) - 1, -1) AS last_word,
                array_to_string(list_filter([CASE WHEN len(a) > 0 THEN 'cc-by' END, CASE WHEN len(b) > 0 THEN 'gpl' END, CASE WHEN len(c) > 0 THEN 'reserved' END], lambda x: x IS NOT NULL), ',') AS base_labels
         FROM hits""",
     "secret_base_columns": f"""
